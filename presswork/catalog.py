@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import expr_queries, queries
+
+QUERIES = expr_queries.Q | queries.Q
+ORACLE_SQL = expr_queries.SQL | queries.SQL
