@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ _OWN_DIRS: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches, as one row may hold a very long text."""
+    """Bound the Arrow batches, as one row may hold a very long text, and let local workers import this package."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 

@@ -3,9 +3,10 @@
 Two sets x, y of hashed shingles link when 100 |x & y| >= 80 |x | y|. Then they differ in at most (|x| + |y|) / 9 shingles.
 
 Where sets meet. The range of hashes is cut into equal parts, more parts than a linked pair can have differences; a
-difference spoils one part, so at least one part is the same in both sets. The digest of a part is a signature, and
-sets that share no signature cannot link. Common passages do not bring unrelated documents together, as a part also
-holds what is around them.
+difference spoils one part, so most parts are the same in both sets. The digest of a part is a signature. Of a set with
+m filled parts and at most d differences, a partner shares m - d signatures at least, so it shares one of the d + 1 that
+the fewest classes have: only those are kept (prefix filtering, in the order of frequency). A document that shares no
+more than a passage with others has d + 1 signatures of its own, and drops out.
 
 What is compared. Sets that are equal are one class. Every class is first compared with one centre, the least class
 that it shares a signature with; that joins up families of copies with as many comparisons as members. Then only
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, join_groups, materialize, shared_bits, text_or_empty, with_bits
@@ -29,8 +30,9 @@ from .quality import _IDS
 WORDS = 5
 PERCENT = 80
 #: Parts for each shingle, at least; over 1/4 is needed, the most differences that a set can have.
-PARTS = 0.3
-BLOCK = 512
+PARTS = 0.4
+#: Classes that meet a centre, or one another's block, in one task.
+BLOCK = 1024
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -68,24 +70,25 @@ def level_of(n: int) -> int:
     return level
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """The signatures of a set: those of its parts at its own level, and at the next if a larger partner may be there.
+def signatures(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """(signatures, how) of a set: those of its parts at its own level, and at the next if a larger partner may be there.
 
-    Empty parts count only for a set with no more filled parts than differences: any other set has a filled part in
-    common with each partner, and two sets of the first kind meet on their empty parts too.
+    how is 64 times the least number of signatures that a partner shares, plus the level. Empty parts count only for a
+    set with no more filled parts than differences, which then keeps them all: any other set shares a filled part with
+    each partner, and two sets of the first kind meet on their empty parts too.
     """
     n = len(s)
-    levels = {level_of(n), level_of(n * 100 // PERCENT)}
     mixed, out = mix(s ^ _A), []
-    for level in levels:
+    for level in {level_of(n), level_of(n * 100 // PERCENT)}:
         part = s >> np.uint64(64 - level) if level else np.zeros(n, np.uint64)
         start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         salt = part[start] * _C + np.uint64(level + 1)
-        out.append(mix(np.add.reduceat(mixed, start) ^ mix(salt)))
-        if len(start) <= n // 4:
+        found, least = mix(np.add.reduceat(mixed, start) ^ mix(salt)), len(start) - n // 4
+        if least < 1:
             empty = np.setdiff1d(np.arange(1 << level, dtype=np.uint64), part)
-            out.append(mix(empty * _C + np.uint64(level + 1 + 64)))
-    return np.concatenate(out)
+            found, least = np.concatenate([found, mix(empty * _C + np.uint64(level + 1 + 64))]), 1
+        out.append((found, 64 * least + level))
+    return out
 
 
 class PrefixTree:
@@ -101,6 +104,7 @@ class PrefixTree:
             differ = a[:n] != b[:n]
             at = int(differ.argmax()) if n else 0
             self.shared.append(at if n and differ[at] else n)
+        self.shared = np.array(self.shared)
         self.longest = max(map(len, sets), default=0)
 
     def linked(self, probe: np.ndarray, wanted: list[bool] | None = None) -> list[int]:
@@ -113,33 +117,34 @@ class PrefixTree:
         if not n:
             return out
         most = (5 * min(self.longest, n * 100 // PERCENT) - 4 * n) // 9
-        overlap, common, dead = np.zeros(1, np.int64), 0, None
-        for i, s in enumerate(self.sets):
-            common = min(common, self.shared[i])
-            if dead is not None and common >= dead:
+        overlap, reached, dead, before = np.zeros(1, np.int64), 0, None, -1
+        fits = [len(s) * 100 >= PERCENT * n and n * 100 >= PERCENT * len(s) for s in self.sets]
+        for i in np.flatnonzero(fits if wanted is None else np.array(fits) & np.array(wanted)[self.order]):
+            common = int(self.shared[before + 1 : i + 1].min()) if before >= 0 else 0
+            before = i
+            if dead is not None and (reached := min(reached, common)) >= dead:
                 continue
-            if wanted is not None and not wanted[self.order[i]] or not len(s) * 100 >= PERCENT * n or not n * 100 >= PERCENT * len(s):
-                continue
-            dead, size, seen = None, len(s), min(common, len(overlap) - 1)
-            parts, last, at, step = [overlap[: seen + 1]], int(overlap[seen]), seen, 64
+            s, at = self.sets[i], min(reached, common)
+            size, step, dead = len(s), 64, None
+            parts, last = [overlap[: at + 1]], int(overlap[at])
             while at < size:
                 some = s[at : at + step]
                 where = np.searchsorted(probe, some)
                 hits = last + np.cumsum(probe[np.minimum(where, n - 1)] == some)
+                missed = np.arange(at + 1, at + len(some) + 1) - hits > most
                 parts.append(hits)
                 last, at, step = int(hits[-1]), at + len(some), 4 * step
-                if at - last > most:
-                    missed = np.arange(at - len(some) + 1, at + 1) - hits > most
+                if missed[-1]:
                     dead = at - len(some) + 1 + int(missed.argmax())
                     break
-            overlap, common = np.concatenate(parts), at
+            overlap, reached = np.concatenate(parts), at
             if dead is None and 100 * last >= PERCENT * (n + size - last):
                 out.append(self.order[i])
         return out
 
 
 def _sets_and_signatures(buckets: int):
-    names = ("bucket", "ids", "nulls", "sizes", "keys", "sigs", "of")
+    names = ("bucket", "ids", "nulls", "sizes", "keys", "sigs", "of", "how")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,63 +154,57 @@ def _sets_and_signatures(buckets: int):
             doc = np.array(b.column(0).to_pylist(), np.int64)
             null = np.array(b.column(1).to_pylist(), np.uint8)
             once = {int(k): i for i, k in enumerate(key) if size[i]}
-            found = [(signatures(sets[i]), k) for k, i in once.items()]
-            sigs = np.concatenate([s for s, _ in found]) if found else np.zeros(0, np.uint64)
-            of = np.repeat(np.array([k for _, k in found], np.int64), [len(s) for s, _ in found])
+            found = [(own, how, k) for k, i in once.items() for own, how in signatures(sets[i])]
+            sigs = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.uint64)
+            sizes = [len(x[0]) for x in found]
+            of = np.repeat(np.array([x[2] for x in found], np.int64), sizes)
+            how = np.repeat(np.array([x[1] for x in found], np.int32), sizes)
             to = (sigs >> np.uint64(32)) % np.uint64(buckets)
             order = np.argsort(to, kind="stable")
-            sigs, of, to = sigs[order].astype(np.uint32), of[order], to[order]
+            sigs, of, how, to = sigs[order].astype(np.uint32), of[order], how[order], to[order]
             ends = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
             own = key.view(np.uint64) % np.uint64(buckets)
             for at in np.union1d(np.unique(to), np.unique(own)).astype(int):
                 me, piece = own == at, slice(ends[at], ends[at + 1])
-                row = (int(at), doc[me].tobytes(), null[me].tobytes(), size[me].tobytes(), key[me].tobytes(), sigs[piece].tobytes(), of[piece].tobytes())
+                row = (int(at), doc[me].tobytes(), null[me].tobytes(), size[me].tobytes(), key[me].tobytes(), sigs[piece].tobytes(), of[piece].tobytes(), how[piece].tobytes())
                 yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(names, row, strict=True)}, schema=pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in names[1:])]))
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the buckets in this task: documents as (1, id, size, key, null), and the signatures that two or more classes
-    share as (0, a digest of the classes, -, key, -, least key), each set of classes once a bucket."""
+    """Of the buckets in this task: documents as rows (id, size, key, null), and the signatures that two or more classes
+    have as rows (signature, number of classes, key, how), one a class."""
     held: dict[int, list] = {}
-    schema = pa.schema([("is_doc", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("k", pa.int64()), ("is_null", pa.bool_()), ("centre", pa.int64())])
+    schema = pa.schema([("is_doc", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("k", pa.int64()), ("is_null", pa.bool_()), ("how", pa.int32())])
     for b in batches:
         for r in b.to_pylist():
             n = len(r["ids"]) // 8
             if n:
                 null = np.frombuffer(r["nulls"], np.uint8).astype(bool)
                 columns = (np.ones(n, bool), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["keys"], np.int64), null)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(n, pa.int64())], schema=schema)
-            held.setdefault(r["bucket"], []).append((r["sigs"], r["of"]))
-    for parts in held.values():
-        sig = np.frombuffer(b"".join(p[0] for p in parts), np.uint32)
-        key = np.frombuffer(b"".join(p[1] for p in parts), np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(n, pa.int32())], schema=schema)
+            held.setdefault(r["bucket"], []).append((r["sigs"], r["of"], r["how"]))
+    for bucket, parts in held.items():
+        sig, key, how = (np.frombuffer(b"".join(p[i] for p in parts), kind) for i, kind in enumerate((np.uint32, np.int64, np.int32)))
         parts.clear()
         if len(sig) < 2:
             continue
         order = np.argsort(sig, kind="stable")
         twin = sig[order][1:] == sig[order][:-1]
-        in_group = np.concatenate([[False], twin]) | np.concatenate([twin, [False]])
-        order = order[in_group]
+        order = order[np.concatenate([[False], twin]) | np.concatenate([twin, [False]])]
         order = order[np.lexsort((key[order], sig[order]))]
-        sig, key = sig[order], key[order]
+        sig, key, how = sig[order], key[order], how[order]
         if not len(sig):
             continue
         new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
-        sig, key = sig[new], key[new]
+        sig, key, how = sig[new], key[new], how[new]
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(np.append(start, len(sig)))
-        digest = mix(np.add.reduceat(mix(key.view(np.uint64)), start) + size.astype(np.uint64)).view(np.int64)
-        _, first = np.unique(digest, return_index=True)
-        first = first[size[first] > 1]
-        if not len(first):
-            continue
-        rows = np.concatenate([np.arange(start[i], start[i] + size[i]) for i in first])
-        n = len(rows)
-        group, centre = np.repeat(digest[first], size[first]), np.repeat(key[start[first]], size[first])
-        columns = [pa.array(np.zeros(n, bool)), pa.array(group), pa.nulls(n, pa.int64()), pa.array(key[rows]), pa.nulls(n, pa.bool_()), pa.array(centre)]
-        whole = pa.RecordBatch.from_arrays(columns, schema=schema)
+        classes = np.repeat(size := np.diff(np.append(start, len(sig))), size)
+        some = classes > 1
+        n = int(some.sum())
+        columns = (np.zeros(n, bool), (bucket << 32) + sig[some].astype(np.int64), classes[some], key[some])
+        whole = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(n, pa.bool_()), pa.array(how[some])], schema=schema)
         for at in range(0, n, 100_000):
             yield whole.slice(at, 100_000)
 
@@ -291,11 +290,11 @@ def jaccard_components(docs: DataFrame, docs_per_bucket: int = 2048) -> DataFram
     """
     own = _identified(docs)
     buckets = max(1, -(-docs.count() // docs_per_bucket))
-    blobs = own.mapInArrow(_sets_and_signatures(buckets), "bucket int, ids binary, nulls binary, sizes binary, keys binary, sigs binary, of binary")
-    met = blobs.repartition(buckets, "bucket").mapInArrow(_meet, "is_doc boolean, id long, n long, k long, is_null boolean, centre long")
+    blobs = own.mapInArrow(_sets_and_signatures(buckets), "bucket int, ids binary, nulls binary, sizes binary, keys binary, sigs binary, of binary, how binary")
+    met = blobs.repartition(buckets, "bucket").mapInArrow(_meet, "is_doc boolean, id long, n long, k long, is_null boolean, how int")
     met = materialize(met, "met")
     all_docs = met.where("is_doc").select("id", "is_null", "n", "k")
-    live = met.where("not is_doc").select(F.col("id").alias("group"), "k", "centre")
+    live = _shared(met.where("not is_doc").select(F.col("id").alias("group"), F.col("n").alias("classes"), "k", "how"))
     classes = all_docs.where("n > 0").groupBy("k").agg(F.min(F.when(~F.col("is_null"), F.col("id"))).alias("rep"), F.max(F.when(F.col("is_null"), F.col("id"))).alias("null_rep"), F.count("*").alias("size"))
     classes = materialize(classes, "classes")
     named = classes.select("k", F.coalesce("rep", "null_rep").alias("id"), F.col("rep").isNull().alias("is_null"))
@@ -329,10 +328,24 @@ def jaccard_components(docs: DataFrame, docs_per_bucket: int = 2048) -> DataFram
     return linked.unionByName(alone)
 
 
+def _shared(live: DataFrame) -> DataFrame:
+    """(group, k, centre): the signatures that each class keeps and another class keeps too, and their least class.
+
+    Of the signatures of a class and level those that most classes have are left out, one fewer than a partner must
+    share; a class whose own signatures leave too few to share keeps none.
+    """
+    one = Window.partitionBy("k", "how")
+    ranked = live.withColumns({"shared": F.count("*").over(one), "nth": F.row_number().over(one.orderBy("classes", "group"))})
+    kept = ranked.where(F.col("nth") <= F.col("shared") - F.floor(F.col("how") / 64) + 1)
+    kept = materialize(kept.select("group", "k"), "kept")
+    groups = kept.groupBy("group").agg(F.min("k").alias("centre"), F.count("*").alias("classes")).where("classes > 1")
+    return materialize(join_groups(kept, materialize(groups, "groups"), "group", "classes").select("group", "k", "centre"), "shared")
+
+
 def _rest(own: DataFrame, named: DataFrame, live: DataFrame, so_far: DataFrame) -> DataFrame | None:
     """Links between classes that share a signature and are in different components; None if there are no such classes."""
     known = so_far.select(F.col("node").alias("k"), "component")
-    placed = live.groupBy("group", "k").agg(F.min("centre").alias("centre")).hint("merge").join(known.hint("merge"), "k", "left")
+    placed = live.hint("merge").join(known.hint("merge"), "k", "left")
     placed = materialize(placed.withColumn("component", F.coalesce("component", "k")), "shared")
     mixed = placed.groupBy("group").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("rows"))
     mixed = materialize(mixed.where("a <> b").select("group", "rows"), "mixed")
@@ -356,6 +369,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, with the columns of docs; rows without doc_id
     stay where their component has no doc_id."""
     found = jaccard_components(docs)
-    gone = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct()
+    gone = found.where("not (doc_id <=> component_id)").select("doc_id").distinct()
     gone = materialize(gone, "gone")
-    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("gone")), "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]), "left_anti")
