@@ -64,7 +64,10 @@ def read_archive(data: bytes) -> Iterator[bytes]:
     unpacker = zstandard.ZstdDecompressor(dict_data=trained) if trained else zstandard.ZstdDecompressor()
     while at < len(data):
         one = unpacker.decompressobj()
-        yield one.decompress(view[at:])
+        whole = one.decompress(view[at:])
+        if not one.eof:
+            raise ValueError("the archive ends inside a record")
+        yield whole
         at = len(data) - len(one.unused_data)
 
 
