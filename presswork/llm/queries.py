@@ -83,7 +83,68 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_line_dedup, op2_url_filter, op3_pii, op4_exact_dedup, op5_best_fit_packing, op6_quality_rules, op7_packed_output, op8_mixing, op9_warc, op10_jaccard_join, pipeline)
 }
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_RULES = (("example.org", "/es/", "example.org/es/", "block"), ("example.org", "/en/1", "example.org/en/1", "block"), ("com", "/fr/", "com/fr/", "allow"), ("com", "/de/", "com/de/", "block"), ("org", "/", "org/", "allow"))
+
+
+def _rule_sql(host: str, path: str, what: int) -> str:
+    """The longest rule first; what: 2 for the rule, 3 for its verdict."""
+    cases = " ".join(f"WHEN ({host} = '{r[0]}' OR {host} LIKE '%.{r[0]}') AND starts_with({path}, '{r[1]}') THEN '{r[what]}'" for r in _RULES)
+    return f"CASE {cases} END"
+
+
+def _host_sql(url: str) -> str:
+    return f"coalesce(translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), {_AZ}), '')"
+
+
+def _path_sql(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": rf"""
+WITH l AS (
+  SELECT doc_id, i, x AS line,
+         translate(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), {_AZ}) AS k
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+), h AS (
+  SELECT k, min(doc_id) AS first, count(DISTINCT doc_id) AS n FROM l WHERE length(k) >= 10 GROUP BY k
+), j AS (
+  SELECT l.doc_id, l.i, l.line, coalesce(h.n > 1 AND h.first <> l.doc_id, FALSE) AS gone FROM l LEFT JOIN h USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+""",
+    "op2_url_filter": rf"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, html, {_host_sql("url")} AS host, {_path_sql("url")} AS path FROM pages
+), t AS (
+  SELECT host, path, unnest([
+    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?\s*([^"''>\s]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?\s*([^"''>\s]+)', 1)
+  ]) AS a FROM p WHERE url IS NOT NULL
+), w AS (
+  SELECT host || path AS src, CASE WHEN contains(a, '://') THEN a WHEN starts_with(a, '//') THEN 'http:' || a
+    WHEN starts_with(a, '/') THEN 'http://' || host || a
+    ELSE 'http://' || host || CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*/)', 1) ELSE '/' END || a END AS u
+  FROM t WHERE a <> ''
+), e AS (
+  SELECT src, {_host_sql("u")} || {_path_sql("u")} AS dst FROM w
+), both_ways AS (
+  SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e
+), reach AS (
+  SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, x.b FROM reach r JOIN both_ways x ON x.a = r.other
+), ruled AS (
+  SELECT node, {_rule_sql("split_part(other, '/', 1)", "substr(other, length(split_part(other, '/', 1)) + 1)", 3)} AS v FROM reach
+), spread AS (
+  SELECT node, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' ELSE 'allow' END AS v FROM ruled GROUP BY node
+)
+SELECT page_id, host, path, {_rule_sql("host", "path", 2)} AS rule,
+       coalesce({_rule_sql("host", "path", 3)}, s.v, 'allow') AS verdict
+FROM p LEFT JOIN spread s ON s.node = host || path
+""",
     "op4_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -96,5 +157,43 @@ WITH d AS (
   FROM d
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
+""",
+    "op9_warc": """
+WITH d AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages
+), f AS (
+  SELECT x, min(page_id) AS first FROM d GROUP BY x
+), b AS (
+  SELECT x, array_to_string(list_transform(string_split(x, ''), lambda c: right('000' || bin(strpos('0123456789abcdef', c) - 1), 4)), '') AS bits FROM f
+), g AS (
+  SELECT x, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + list_sum(list_transform(range(5), lambda k: CASE WHEN substr(bits, CAST(5 * i + k + 1 AS BIGINT), 1) = '1' THEN [16, 8, 4, 2, 1][k + 1] ELSE 0 END)) AS BIGINT), 1)), '') AS payload_digest FROM b
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN f USING (x) JOIN g USING (x)
+""",
+    "op10_jaccard_join": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS class FROM g GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), both_ways AS (
+  SELECT a, b FROM l UNION SELECT b, a FROM l
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, x.b FROM reach r JOIN both_ways x ON x.a = r.other
+), c AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id,
+       CASE WHEN n.n IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY n.class) END AS class_size
+FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """,
 }
