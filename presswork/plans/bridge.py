@@ -19,9 +19,13 @@ VIEWS = {
     "dim_topic": dims.values_sql([(t, i, dims.slug(t)) for i, t in enumerate(dims.TOPICS)], "topic, ord, slug"),
     "dim_source": dims.values_sql([(s, i) for i, s in enumerate(dims.SOURCES)], "source, ord"),
     "dim_feed": dims.values_sql(dims.feed_rows(), "topic, source, url, feed_ord"),
-    # 25 users; each follows some topics and sources, stored in no particular order, a few of them unknown or repeated.
-    "user_topics": "SELECT n.n_nationkey AS user_id, t.topic FROM nation n JOIN dim_topic t ON (n.n_nationkey * 7 + t.ord * 3) % 5 < 2 UNION ALL SELECT n_nationkey AS user_id, 'Gardening' AS topic FROM nation WHERE n_nationkey % 6 = 0 UNION ALL SELECT n_nationkey AS user_id, 'Tennis' AS topic FROM nation WHERE n_nationkey % 4 = 0",
-    "user_sources": "SELECT n.n_nationkey AS user_id, s.source FROM nation n JOIN dim_source s ON (n.n_nationkey * 5 + s.ord * 11) % 7 < 3 WHERE n.n_nationkey <> 3",
+    # Customers as users. Each follows five topics and twelve sources, in no particular order; some store an unknown or a
+    # repeated topic, or no source.
+    "user_topics": " UNION ALL ".join(
+        [f"SELECT c_custkey AS user_id, topic FROM customer JOIN dim_topic ON ord = (c_custkey * 7 + {3 * k}) % {len(dims.TOPICS)}" for k in range(5)]
+        + ["SELECT c_custkey AS user_id, 'Gardening' AS topic FROM customer WHERE c_custkey % 6 = 0", "SELECT c_custkey AS user_id, 'Tennis' AS topic FROM customer WHERE c_custkey % 4 = 0"]
+    ),
+    "user_sources": " UNION ALL ".join(f"SELECT c_custkey AS user_id, source FROM customer JOIN dim_source ON ord = (c_custkey * 5 + {11 * k}) % {len(dims.SOURCES)} WHERE c_custkey % 50 <> 3" for k in range(12)),
     "articles": f"SELECT concat('u', CAST(doc_id % 5 AS STRING)) AS user_id, concat('r', CAST(doc_id % 4 AS STRING)) AS run_id, doc_id AS pos, substr(coalesce(text, ''), 1, 60) AS title, substr(coalesce(text, ''), 61, 400) AS snippet, CASE WHEN doc_id % 97 = 0 THEN '' ELSE concat('https://news.example/', CAST(doc_id * 31 % 613 AS STRING)) END AS url, source, lang AS topic, {NOW_S} - (doc_id * 7919 % 259200) AS published_s FROM documents",
     "cursors": f"SELECT DISTINCT user_id, CASE user_id WHEN 'u0' THEN {NOW_S} - 86400 WHEN 'u1' THEN {NOW_S} + 300 WHEN 'u2' THEN {NOW_S} + 301 WHEN 'u3' THEN {NOW_S} - 864000 ELSE CAST(NULL AS BIGINT) END AS cursor_s FROM articles",
     "feed_items": "SELECT page_id, url, html FROM pages",

@@ -618,9 +618,9 @@ def key_violations(m):
     return quality.key_violations(m["digests"], m["cards"], m["bookmarks"])
 
 
-@query("SELECT user_id, 'unknown_topic' AS error, topic AS value FROM user_topics WHERE topic NOT IN (SELECT topic FROM dim_topic) UNION ALL SELECT n_nationkey, 'no_sources', '' FROM nation WHERE n_nationkey NOT IN (SELECT user_id FROM user_sources) UNION ALL SELECT n_nationkey, 'no_topics', '' FROM nation WHERE n_nationkey NOT IN (SELECT user_id FROM user_topics)")
+@query("SELECT user_id, 'unknown_topic' AS error, topic AS value FROM user_topics WHERE topic NOT IN (SELECT topic FROM dim_topic) UNION ALL SELECT c_custkey, 'no_sources', '' FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM user_sources) UNION ALL SELECT c_custkey, 'no_topics', '' FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM user_topics)")
 def preference_errors(m):
-    users = m.table("nation").select(F.col("n_nationkey").alias("user_id"))
+    users = m.table("customer").select(F.col("c_custkey").alias("user_id"))
     return quality.preference_errors(m["user_topics"], m["user_sources"], m["dim_topic"], m["dim_source"], users)
 
 
