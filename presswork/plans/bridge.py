@@ -6,6 +6,7 @@ EPOCH(x) stands for whole seconds since 1970 of a timestamp. Times are epoch sec
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,12 +71,19 @@ class Model:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """A model view over streams of its tables' files; the pattern fits a table of one file or a folder of them."""
+        return self._view(name, lambda t: self.spark.readStream.schema(self.table(t).schema).parquet(f"{self.sf_dir}/{t}.parquet*"))
+
     def __getitem__(self, name: str) -> DataFrame:
+        return self._view(name, self.table)
+
+    def _view(self, name: str, read: Callable[[str], DataFrame]) -> DataFrame:
         views = needed(name)
         text = " ".join(VIEWS[v] for v in views)
         for t in TABLES:
             if re.search(rf"\b{t}\b", text):
-                self.table(t).createOrReplaceTempView(t)
+                read(t).createOrReplaceTempView(t)
         return self.spark.sql(_with(views, "unix_timestamp(") + f"SELECT * FROM {name}")
 
 

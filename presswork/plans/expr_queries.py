@@ -151,11 +151,14 @@ def label_bucket(m):
     return m.table("part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("label"), X.label_bucket(F.col("p_name")).alias("bucket"))
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN floor(s + 0.5) >= 5 THEN 'hero' WHEN floor(s + 0.5) >= 3 THEN 'medium' ELSE 'small' END AS by_severity,
-CASE WHEN floor(s + 0.5) <= 1 THEN 'hero' WHEN floor(s + 0.5) <= 5 THEN 'medium' ELSE 'small' END AS by_rank FROM (SELECT o_orderkey, o_orderkey % 17 * 0.5 AS s FROM orders)""")
-def card_tiers(m):
-    s = (F.col("o_orderkey") % 17) * 0.5
-    return m.table("orders").select(F.col("o_orderkey").alias("id"), X.tier_for_severity(s).alias("by_severity"), X.tier_for_rank(s).alias("by_rank"))
+@query("SELECT o_orderkey AS id, CASE WHEN floor(s + 0.5) >= 5 THEN 'hero' WHEN floor(s + 0.5) >= 3 THEN 'medium' ELSE 'small' END AS tier FROM (SELECT o_orderkey, o_orderkey % 17 * 0.5 AS s FROM orders)")
+def tier_for_severity(m):
+    return m.table("orders").select(F.col("o_orderkey").alias("id"), X.tier_for_severity((F.col("o_orderkey") % 17) * 0.5).alias("tier"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN floor(s + 0.5) <= 1 THEN 'hero' WHEN floor(s + 0.5) <= 5 THEN 'medium' ELSE 'small' END AS tier FROM (SELECT o_orderkey, o_orderkey % 17 * 0.5 AS s FROM orders)")
+def tier_for_rank(m):
+    return m.table("orders").select(F.col("o_orderkey").alias("id"), X.tier_for_rank((F.col("o_orderkey") % 17) * 0.5).alias("tier"))
 
 
 @query("SELECT u.user_id, u.topic, t.slug FROM user_topics u LEFT JOIN dim_topic t ON t.topic = u.topic")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -88,7 +90,7 @@ def write_progress_events(m):
 
 
 @query("SELECT at_s, run_id, stage, model, CASE WHEN measured THEN input END AS input, CASE WHEN measured THEN output END AS output, measured FROM usage_calls")
-def parse_usage_log(m):
+def parse_capture_log(m):
     c = F.col
     full = F.format_string("[usage] %s %s in=%d out=%d cache_r=%d cache_w=%d $0.001", c("stage"), c("model"), c("input"), c("output"), c("cache_read"), c("cache_write"))
     none = F.format_string("[usage] %s %s no usage reported", c("stage"), c("model"))
@@ -642,16 +644,46 @@ def overlapping_runs(m):
 
 
 # ---- 2.12 streaming twins in batch form, and hooks
-@query("SELECT user_id, pos FROM articles a JOIN (SELECT user_id AS u, url AS l, min(pos) AS p FROM articles GROUP BY 1, 2) f ON f.u = a.user_id AND f.p = a.pos WHERE url <> ''")
+def _drained(stream, mode="append"):
+    """All that a stream gives for the files there are, by way of the shared folder."""
+    base = f"{stories.shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def save(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+
+    q = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+@query("SELECT DISTINCT user_id, url FROM articles")
 def stream_new_articles(m):
-    return ingest.first_sighting(m["articles"].where("url <> ''"), ["pos"]).select("user_id", "pos")
+    a = m.stream("articles").withColumn("published_at", F.timestamp_seconds("published_s"))
+    return _drained(streams.stream_new_articles(a)).select("user_id", "url")
 
 
-@query(f"WITH s AS (SELECT a.*, CASE WHEN c.cursor_s <= {NOW_S} + 300 AND c.cursor_s > {NOW_S} - 172800 THEN c.cursor_s ELSE {NOW_S} - 172800 END AS cut FROM articles a LEFT JOIN cursors c USING (user_id)) SELECT user_id, pos FROM s WHERE published_s < cut")
+@query(f"SELECT user_id, pos FROM articles WHERE published_s < {NOW_S} - 172800")
 def late_articles(m):
+    a = m.stream("articles").withColumn("published_at", F.timestamp_seconds("published_s")).select("user_id", "pos", "published_at")
+    base = f"{stories.shared_folder(m.spark)}/late-{uuid.uuid4().hex}"
+    save = streams.late_articles_sink(lambda batch, k: batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={k}"), NOW_S - ingest.LOOKBACK_S)
+    a.writeStream.foreachBatch(save).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return m.spark.read.schema(a.schema).parquet(f"{base}/out").select("user_id", "pos")
+
+
+@query(f"WITH s AS (SELECT a.*, CASE WHEN c.cursor_s <= {NOW_S} + 300 AND c.cursor_s > {NOW_S} - 172800 THEN c.cursor_s ELSE {NOW_S} - 172800 END AS cut FROM articles a LEFT JOIN cursors c USING (user_id)) SELECT user_id, pos FROM s WHERE published_s < cut")
+def missed_articles(m):
     return ingest.late_articles(m["articles"], m["cursors"], NOW_S).select("user_id", "pos")
 
 
+@query("SELECT run_id, seq, stage FROM progress")
+def stream_persist(m):
+    base = f"{stories.shared_folder(m.spark)}/persist-{uuid.uuid4().hex}"
+    e = m.stream("progress").select("run_id", "seq", "stage")
+    streams.stream_persist(e, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return m.spark.read.schema(e.schema).parquet(f"{base}/out").select("run_id", "seq", "stage")
+
+
 @query("SELECT run_id, stage, seq FROM progress QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) = 1")
 def run_progress(m):
     return streams.run_progress(m["progress"])
@@ -667,9 +699,12 @@ def daily_edition_counts(m):
     return streams.daily_edition_counts(m.table("events"))
 
 
-@query("SELECT id, CASE WHEN id % 10 = 1 THEN NULL WHEN id % 10 = 2 THEN 6 ELSE front_page_rank END AS front_page_rank FROM cards")
+@query("SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 6 + 1 END AS front_page_rank FROM events WHERE event_id % 4 <> 0")
 def card_state(m):
-    return apply_rank_updates(m)
+    k = F.col("seq")
+    rank = F.when(k % 3 != 0, k % 6 + 1)
+    changes = m.stream("progress").select(k.alias("id"), F.when(k % 4 == 0, "update").otherwise("insert").alias("kind"), rank.alias("rank"))
+    return _drained(streams.card_state(changes), "update").select("id", "front_page_rank")
 
 
 @query("WITH " + BATCHES + " SELECT run_id || '/' || topic || '/' || CAST(batch AS VARCHAR) AS batch_id, count(*) AS n, min(cluster_pos) AS first_pos FROM batches GROUP BY 1 HAVING min(cluster_pos) % 5 <> 0")
