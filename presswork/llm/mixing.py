@@ -17,7 +17,8 @@ LABELLED_ROWS = 4000
 BUCKETS = 4096
 #: A longer text counts as so many words of evidence, as its words are not independent.
 EVIDENCE = 60
-STEPS, TOLERANCE = 40, 1e-5
+#: Rounds at most; the share of all tokens that a domain may be off its target.
+STEPS, TOLERANCE = 30, 1e-4
 
 
 def words_of(text: Column) -> Column:
@@ -52,7 +53,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS
 
 def _odds_against_first(by_bucket: np.ndarray, domain: int) -> Column:
     """The sum over the buckets in column at of the log odds of a domain against the first one."""
-    table = F.lit([round(float(x), 4) for x in by_bucket[domain] - by_bucket[0]])
+    odds = ",".join(f"{x:.4f}" for x in by_bucket[domain] - by_bucket[0])
+    table = F.split(F.lit(odds), ",").cast("array<double>")  # folded to one constant
 
     def add(total: Column, bucket: Column) -> Column:
         return total + F.get(table, bucket)
@@ -91,26 +93,30 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, budge
     targets x budget (all tokens unless given), in least squares.
 
     One step is a vector with a number for each domain: every row moves its rate by its posteriors times that vector
-    and is cut at 0. Residuals are weighted by the inverse of the domains' second moments, so a step of 1 is stable.
-    Each round is one aggregation over the written table; only sums by domain reach the driver.
+    and is cut at 0. Residuals are weighted by the inverse of the domains' second moments, over the rows that are not
+    at 0, or over all rows, for which a step of 1 is stable, where that made the residual larger. Each round is one
+    aggregation over the written table; only sums by domain reach the driver.
     """
     targets = TARGETS if targets is None else targets
     k = len(DOMAINS)
-    pairs = [F.sum(F.col("tokens") * F.col(f"p_{a}") * F.col(f"p_{b}")) for a in DOMAINS for b in DOMAINS]
-    total, *second = members.agg(F.sum("tokens"), *pairs).first()
-    if not total:
-        return []
-    weight = np.linalg.pinv(np.array(second, float).reshape(k, k), rcond=1e-9)
-    goal = np.array([targets[d] for d in DOMAINS]) * (total if budget is None else budget)
+    weighed = [F.col("tokens") * F.col(f"p_{d}") for d in DOMAINS]
+    free = F.when(F.col("rate") > 0, 1.0).otherwise(0.0)
+    sums = [F.sum("tokens"), *(F.sum(F.col("rate") * w) for w in weighed)]
+    sums += [F.sum(on * w * F.col(f"p_{d}")) for on in (free, F.lit(1.0)) for w in weighed for d in DOMAINS]
     steps: list[list[float]] = []
-    last = None
+    last = np.inf
     for _ in range(STEPS):
-        rate = rate_of(steps)
-        now = np.array(members.agg(*(F.sum(rate * F.col("tokens") * F.col(f"p_{d}")) for d in DOMAINS)).first(), float)
-        if np.abs(goal - now).max() <= TOLERANCE * total or last is not None and np.abs(now - last).max() <= TOLERANCE * total:
+        total, *found = members.select("*", rate_of(steps).alias("rate")).agg(*sums).first()
+        if not total:
+            return []
+        goal = np.array([targets[d] for d in DOMAINS]) * (total if budget is None else budget)
+        residual = goal - np.array(found[:k], float)
+        size = np.abs(residual).max() / total
+        if size <= TOLERANCE or abs(last - size) <= TOLERANCE / 10:
             break
-        steps.append([float(x) for x in weight @ (goal - now)])
-        last = now
+        moments = np.array(found[k:], float).reshape(2, k, k)[int(size > last)]
+        steps.append([float(x) for x in np.linalg.pinv(moments, rcond=1e-9) @ residual])
+        last = size
     return steps
 
 
