@@ -72,17 +72,22 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
 def connected_components(edges: DataFrame, label: str = "components", most: int = 60) -> DataFrame:
     """(node, component) for every node of edges(src, dst); component is the smallest node that it reaches.
 
-    Alternates large-star and small-star steps, each an aggregation and a skew-safe join, until no edge changes.
-    Nodes may be of any ordered type; null ends and loops are ignored. An empty table gives an empty one.
+    Alternates large-star and small-star steps, each an aggregation and a skew-safe join, until all edges form stars: no
+    node hangs on two others, or on one that hangs itself. Nodes may be of any ordered type; null ends and loops are
+    ignored. An empty table gives an empty one.
     """
     low, high = F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
     edges = materialize(edges.where("src <> dst").select(low, high).distinct(), label)
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first())
+    def settled(e: DataFrame) -> bool:
+        below = e.select(F.col("dst").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+        above = e.select(F.col("src").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")).distinct()
+        both = below.unionByName(above).groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+        return not both.where("hangs > 1 or hangs > 0 and holds > 0").count()
 
-    before = mark(edges)
-    for _ in range(most if before[0] else 0):
+    for _ in range(most):
+        if settled(edges):
+            break
         both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
         both = both.unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
@@ -94,13 +99,8 @@ def connected_components(edges: DataFrame, label: str = "components", most: int
         small = join_groups(down, least, "u", "n").select(F.col("m").alias("src"), F.col("v").alias("dst"))
         small = small.unionByName(least.select(F.col("m").alias("src"), F.col("u").alias("dst")))
         edges = materialize(small.where("src <> dst").distinct(), label)
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
     else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {most} rounds")
+        raise RuntimeError(f"components did not settle in {most} rounds")
     members = edges.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("component"))
     roots = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
     return members.unionByName(roots)

@@ -301,7 +301,7 @@ def jaccard_components(docs: DataFrame, docs_per_bucket: int = 2048) -> DataFram
 
     edges = materialize(live.groupBy("k").agg(F.min("centre").alias("centre")).where("k <> centre"), "edges")
     links = None
-    if edges.head(1):
+    if edges.count():
         crowd = materialize(edges.groupBy("centre").agg(F.count("*").alias("members")), "crowd")
         blocks = F.ceil(F.col("members") / BLOCK).cast("long")
         placed = join_groups(edges, crowd, "centre", "members").select("centre", F.pmod(F.xxhash64("k"), blocks).alias("block"), "k")
@@ -349,7 +349,7 @@ def _rest(own: DataFrame, named: DataFrame, live: DataFrame, so_far: DataFrame)
     placed = materialize(placed.withColumn("component", F.coalesce("component", "k")), "shared")
     mixed = placed.groupBy("group").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("rows"))
     mixed = materialize(mixed.where("a <> b").select("group", "rows"), "mixed")
-    if not mixed.head(1):
+    if not mixed.count():
         return None
     left = materialize(join_groups(placed, mixed, "group", "rows").select("group", "k", "centre", "component"), "left")
     around = materialize(connected_components(left.select(F.col("k").alias("src"), F.col("centre").alias("dst")), "around"), "around")

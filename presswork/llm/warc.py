@@ -140,7 +140,7 @@ def read_archives(names: DataFrame, path: str) -> DataFrame:
     spark = names.sparkSession
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
     files = files.withColumn("name", F.element_at(F.split("path", "/"), -1))
-    if files.select("name").hint("merge").join(names, "name", "left_anti").head(1):  # left by lost tasks
+    if files.select("name").hint("merge").join(names, "name", "left_anti").count():  # left by lost tasks
         files = files.hint("merge").join(names.select("name"), "name", "left_semi")
     files = files.select("content")
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
@@ -170,6 +170,6 @@ def archive_round_trip(pages: DataFrame, archive_bytes: int = 8 << 20, least_byt
     """
     path = scratch_path(pages.sparkSession, "warc")
     names = write_archives(pages, path, archive_bytes, least_bytes)
-    if not names.head(1):
+    if not names.count():
         return pages.sparkSession.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
     return read_archives(names, path)
