@@ -106,7 +106,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, budge
     steps: list[list[float]] = []
     last = np.inf
     for _ in range(STEPS):
-        total, *found = members.select("*", rate_of(steps).alias("rate")).agg(*sums).first()
+        total, *found = members.select("tokens", *(f"p_{d}" for d in DOMAINS), rate_of(steps).alias("rate")).agg(*sums).first()
         if not total:
             return []
         goal = np.array([targets[d] for d in DOMAINS]) * (total if budget is None else budget)
@@ -139,12 +139,10 @@ def copies_of(rate: Column) -> Column:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The rows of docs as often as their rates say, with the columns of docs. No row shuffles: the rate is computed
-    where the row is."""
+    """The rows of docs as often as their rates say, with the columns of docs. No row shuffles. Rows are written with
+    their posteriors, so these are computed once; the rounds read only the columns of numbers."""
     model = fit_classifier(docs, labels)
-    members = materialize(with_memberships(docs, model, [F.col("doc_id")]), "members")
-    steps = fit_rates(members, targets)
-    rows = with_memberships(docs, model, [F.col("doc_id"), F.struct(*docs.columns).alias("row")])
-    rows = rows.withColumn("copies", copies_of(rate_of(steps))).where("copies > 0")
+    members = materialize(with_memberships(docs, model, [F.col("doc_id"), F.struct(*docs.columns).alias("row")]), "members")
+    rows = members.withColumn("copies", copies_of(rate_of(fit_rates(members, targets)))).where("copies > 0")
     rows = rows.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row"))
     return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
