@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, join_groups, materialize, shared_bits, text_or_empty, with_bits
@@ -33,6 +33,7 @@ PERCENT = 80
 PARTS = 0.4
 #: Classes that meet a centre, or one another's block, in one task.
 BLOCK = 1024
+DOCS_PER_BUCKET = 2048
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -273,22 +274,23 @@ def _texts(docs: DataFrame, need: DataFrame) -> DataFrame:
     return likely.join(need.hint("merge"), ["id", "is_null"])
 
 
-def _identified(docs: DataFrame) -> DataFrame:
+def _identity() -> list[Column]:
     """id, is_null, text: a row without doc_id goes by the hash of its text."""
     text = text_or_empty()
     doc = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(doc, F.xxhash64(text)).alias("id"), doc.isNull().alias("is_null"), text.alias("text"))
+    return [F.coalesce(doc, F.xxhash64(text)).alias("id"), doc.isNull().alias("is_null"), text.alias("text")]
 
 
-def jaccard_components(docs: DataFrame, docs_per_bucket: int = 2048) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, class_size (rows with the same set).
+def _class_of(text: pa.Array) -> pa.Array:
+    """The class of each text; null for a text without shingles."""
+    sets = map(shingle_set, text.to_pylist())
+    return pa.array([class_key(s) if len(s) else None for s in sets], pa.int64())
 
-    Links are exact but for collisions of 64-bit hashes. component_id is the smallest doc_id that the row reaches by
-    links. Null and empty texts have no shingles and are linked with nothing; their component_id is their doc_id. A row
-    with a null doc_id links as any other and has a null component_id only where no doc_id is reached. Rows that repeat
-    a doc_id are rows of their own. An empty table gives an empty one. Other columns are not read.
-    """
-    own = _identified(docs)
+
+def _classed(docs: DataFrame, docs_per_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: the rows of docs as (id, is_null, n, k), and the classes of those with shingles as (k, rep,
+    null_rep, size, component); component is the least class that a class reaches by links."""
+    own = docs.select(*_identity())
     buckets = max(1, -(-docs.count() // docs_per_bucket))
     blobs = own.mapInArrow(_sets_and_signatures(buckets), "bucket int, ids binary, nulls binary, sizes binary, keys binary, sigs binary, of binary, how binary")
     met = blobs.repartition(buckets, "bucket").mapInArrow(_meet, "is_doc boolean, id long, n long, k long, is_null boolean, how int")
@@ -317,7 +319,18 @@ def jaccard_components(docs: DataFrame, docs_per_bucket: int = 2048) -> DataFram
         classes = classes.hint("merge").join(so_far.withColumnRenamed("node", "k").hint("merge"), "k", "left")
     else:
         classes = classes.withColumn("component", F.col("k"))
-    classes = materialize(classes.withColumn("component", F.coalesce("component", "k")), "classed")
+    return all_docs, materialize(classes.withColumn("component", F.coalesce("component", "k")), "classed")
+
+
+def jaccard_components(docs: DataFrame, docs_per_bucket: int = DOCS_PER_BUCKET) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, class_size (rows with the same set).
+
+    Links are exact but for collisions of 64-bit hashes. component_id is the smallest doc_id that the row reaches by
+    links. Null and empty texts have no shingles and are linked with nothing; their component_id is their doc_id. A row
+    with a null doc_id links as any other and has a null component_id only where no doc_id is reached. Rows that repeat
+    a doc_id are rows of their own. An empty table gives an empty one. Other columns are not read.
+    """
+    all_docs, classes = _classed(docs, docs_per_bucket)
     least = materialize(classes.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("members")), "least")
     final = join_groups(classes, least, "component", "members").select("k", "component_id", F.col("size").alias("class_size"))
     final = materialize(final, "final")
@@ -366,9 +379,26 @@ def _rest(own: DataFrame, named: DataFrame, live: DataFrame, so_far: DataFrame)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with the columns of docs; rows without doc_id
-    stay where their component has no doc_id."""
-    found = jaccard_components(docs)
-    gone = found.where("not (doc_id <=> component_id)").select("doc_id").distinct()
-    gone = materialize(gone, "gone")
-    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]), "left_anti")
+    """One row of each component, with the columns of docs: the one of the smallest doc_id; a null doc_id comes last.
+
+    Rows are told apart by doc_id (or the hash of the text where it is null) and class, so rows that only share a doc_id,
+    or only lack one, stay or go each by its own text. Of rows with the same doc_id and class the least text stays. Null
+    and empty texts are linked with nothing and stay.
+    """
+    all_docs, classes = _classed(docs, DOCS_PER_BUCKET)
+    first = F.min(F.struct(F.col("rep").isNull().alias("is_null"), F.coalesce("rep", "null_rep").alias("id"), "k")).alias("first")
+    keepers = materialize(classes.groupBy("component").agg(first).select("first.*"), "keepers")
+    zero, one = F.lit(0).alias("rows"), F.lit(1).alias("keeps")
+    rows = all_docs.select("id", "is_null", F.lit(1).alias("rows"), F.when(F.col("n") == 0, 1).otherwise(0).alias("keeps"))
+    fates = rows.unionByName(keepers.select("id", "is_null", zero, one)).groupBy("id", "is_null").agg(F.sum("rows").alias("rows"), F.sum("keeps").alias("keeps"))
+    fates = materialize(fates.where("keeps < rows").select("id", "is_null", (F.col("keeps") > 0).alias("some")), "fates")
+    doc, is_null, _ = _identity()
+    stay = docs.join(fates.hint("merge"), (doc == fates["id"]) & (is_null == fates["is_null"]), "left_anti")
+    some = fates.where("some").select("id", "is_null")
+    if not some.count():
+        return stay
+    own = _texts(docs.select(*_identity(), F.struct(*docs.columns).alias("row")), some)
+    own = materialize(own.withColumn("k", F.arrow_udf(_class_of, "long")("text")), "some")
+    least = own.where("k is not null").groupBy("id", "is_null", "k").agg(F.min_by("row", "text").alias("row"))
+    left = own.where("k is null").select("row").unionByName(least.join(keepers.hint("merge"), ["id", "is_null", "k"]).select("row"))
+    return stay.unionByName(left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))

@@ -180,6 +180,30 @@ def test_drop_near_copies(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(d for d, _, c in brute_components(rows()) if d == c)
 
 
+def test_drop_near_copies_null_and_repeated_ids(spark):
+    """Each component keeps one row, whatever else has its doc_id or lacks one too."""
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcdef")
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    groups = [
+        [(1, a), (None, near(a))],
+        [(None, "clean and alone")],
+        [(3, b), (7, near(b))],
+        [(7, c)],
+        [(None, d), (None, near(d)), (None, d)],
+        [(9, e), (9, e), (9, near(e)), (9, e.upper())],
+        [(12, f), (11, near(f)), (11, "  " + f)],
+        *([(doc, "")] for doc in (None, None, 9, 3)),
+    ]
+    docs = spark.createDataFrame([(doc, t, f"g{i}", None, None) for i, g in enumerate(groups) for doc, t in g], SCHEMA).repartition(3)
+    out = jaccard.drop_near_copies(docs)
+    assert out.schema == docs.schema
+    kept = out.collect()
+    got = {r["lang"]: (r["doc_id"], r["text"]) for r in kept}
+    assert len(kept) == len(groups)
+    assert all(got[f"g{i}"] in g for i, g in enumerate(groups))
+    assert [got[f"g{i}"][0] for i in range(7)] == [1, None, 3, 7, None, 9, 11]
+
+
 def test_empty_tables(spark):
     assert exact.exact_dedup(empty(spark)).count() == 0
     assert line.line_dedup(empty(spark)).count() == 0
