@@ -27,7 +27,8 @@ VIEWS = {
         + ["SELECT c_custkey AS user_id, 'Gardening' AS topic FROM customer WHERE c_custkey % 6 = 0", "SELECT c_custkey AS user_id, 'Tennis' AS topic FROM customer WHERE c_custkey % 4 = 0"]
     ),
     "user_sources": " UNION ALL ".join(f"SELECT c_custkey AS user_id, source FROM customer JOIN dim_source ON ord = (c_custkey * 5 + {11 * k}) % {len(dims.SOURCES)} WHERE c_custkey % 50 <> 3" for k in range(12)),
-    "articles": f"SELECT concat('u', CAST(doc_id % 5 AS STRING)) AS user_id, concat('r', CAST(doc_id % 4 AS STRING)) AS run_id, doc_id AS pos, substr(coalesce(text, ''), 1, 60) AS title, substr(coalesce(text, ''), 61, 400) AS snippet, CASE WHEN doc_id % 97 = 0 THEN '' ELSE concat('https://news.example/', CAST(doc_id * 31 % 613 AS STRING)) END AS url, source, lang AS topic, {NOW_S} - (doc_id * 7919 % 259200) AS published_s FROM documents",
+    # A thousand articles a user and a run, so both grow with the table. Copies of a text share its url.
+    "articles": f"SELECT concat('u', CAST(CAST(floor(doc_id / 5000.0) AS BIGINT) * 5 + doc_id % 5 AS STRING)) AS user_id, concat('r', CAST(CAST(floor(doc_id / 4000.0) AS BIGINT) * 4 + doc_id % 4 AS STRING)) AS run_id, doc_id AS pos, substr(coalesce(text, ''), 1, 60) AS title, substr(coalesce(text, ''), 61, 400) AS snippet, CASE WHEN doc_id % 97 = 0 THEN '' ELSE concat('https://news.example/', md5(coalesce(text, ''))) END AS url, source, lang AS topic, {NOW_S} - (doc_id * 7919 % 259200) AS published_s FROM documents",
     "cursors": f"SELECT DISTINCT user_id, CASE user_id WHEN 'u0' THEN {NOW_S} - 86400 WHEN 'u1' THEN {NOW_S} + 300 WHEN 'u2' THEN {NOW_S} + 301 WHEN 'u3' THEN {NOW_S} - 864000 ELSE CAST(NULL AS BIGINT) END AS cursor_s FROM articles",
     "feed_items": "SELECT page_id, url, html FROM pages",
     "clusters": "SELECT run_id, topic, pos AS cluster_pos, title, snippet, url, source, published_s FROM articles",

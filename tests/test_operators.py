@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from presswork.operators import edition, ingest, quality, reads, stories, tables, triage, usage
 from presswork.plans import dims
+from presswork.plans.bridge import Model
 
 NOW = 1785499200
 
@@ -164,3 +165,14 @@ def test_empty_report_counts_as_written(spark):
 def test_midnight_runs_overlap(spark):
     runs = spark.createDataFrame([(1, 1, 0, 100), (1, 2, 90, 150), (1, 3, 150, 200), (2, 4, 90, 95)], "user_id long, run long, since_s long, at_s long")
     assert [r["run"] for r in quality.overlapping_runs(runs).collect()] == [2]
+
+
+def test_articles_grow_with_the_table(spark, tmp_path):
+    """No cap on (user, url) pairs; a user and a run have a thousand articles at most, and copies share a url."""
+    docs = spark.range(20000).selectExpr("id AS doc_id", "concat('text ', if(id = 10, 5, id)) AS text", "'en' AS lang", "'src1' AS source")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    a = Model(spark, str(tmp_path))["articles"]
+    first = {r["pos"] for r in ingest.first_sighting(a, ["pos"]).select("pos").collect()}
+    assert first >= {i for i in range(20000) if i % 97 and i != 10} and 10 not in first
+    for key in ("user_id", "run_id"):
+        assert {r["count"] for r in a.groupBy(key).count().collect()} == {1000}
