@@ -28,11 +28,11 @@ VIEWS = {
     ),
     "user_sources": " UNION ALL ".join(f"SELECT c_custkey AS user_id, source FROM customer JOIN dim_source ON ord = (c_custkey * 5 + {11 * k}) % {len(dims.SOURCES)} WHERE c_custkey % 50 <> 3" for k in range(12)),
     # A thousand articles a user and a run, so both grow with the table. Copies of a text share its url.
-    "articles": f"SELECT concat('u', CAST(CAST(floor(doc_id / 5000.0) AS BIGINT) * 5 + doc_id % 5 AS STRING)) AS user_id, concat('r', CAST(CAST(floor(doc_id / 4000.0) AS BIGINT) * 4 + doc_id % 4 AS STRING)) AS run_id, doc_id AS pos, substr(coalesce(text, ''), 1, 60) AS title, substr(coalesce(text, ''), 61, 400) AS snippet, CASE WHEN doc_id % 97 = 0 THEN '' ELSE concat('https://news.example/', md5(coalesce(text, ''))) END AS url, source, lang AS topic, {NOW_S} - (doc_id * 7919 % 259200) AS published_s FROM documents",
+    "articles": f"SELECT concat('u', CAST(CAST(floor(doc_id / 5000.0) AS BIGINT) * 5 + doc_id % 5 AS STRING)) AS user_id, concat('r', CAST(CAST(floor(doc_id / 4000.0) AS BIGINT) * 4 + doc_id % 4 AS STRING)) AS run_id, doc_id AS pos, substr(coalesce(text, ''), 1, 60) AS title, substr(coalesce(text, ''), 61) AS snippet, CASE WHEN doc_id % 97 = 0 THEN '' ELSE concat('https://news.example/', md5(coalesce(text, ''))) END AS url, source, lang AS topic, {NOW_S} - (doc_id * 7919 % 259200) AS published_s FROM documents",
     "cursors": f"SELECT DISTINCT user_id, CASE user_id WHEN 'u0' THEN {NOW_S} - 86400 WHEN 'u1' THEN {NOW_S} + 300 WHEN 'u2' THEN {NOW_S} + 301 WHEN 'u3' THEN {NOW_S} - 864000 ELSE CAST(NULL AS BIGINT) END AS cursor_s FROM articles",
     "feed_items": "SELECT page_id, url, html FROM pages",
     "clusters": "SELECT run_id, topic, pos AS cluster_pos, title, snippet, url, source, published_s FROM articles",
-    "cluster_articles": "SELECT CAST(floor(doc_id / 3.0) AS BIGINT) AS cluster_pos, doc_id AS pos, lang AS topic, source, substr(coalesce(text, ''), 1, 60) AS title, substr(coalesce(text, ''), 61, 400) AS snippet, concat('https://news.example/', CAST(doc_id AS STRING)) AS url, 1706572800 - (doc_id * 7919 % 86400) - CASE WHEN doc_id % 2 = 0 THEN (doc_id * 7919 % 3) ELSE 0 END AS published_s FROM documents",
+    "cluster_articles": "SELECT CAST(floor(doc_id / 3.0) AS BIGINT) AS cluster_pos, doc_id AS pos, lang AS topic, source, substr(coalesce(text, ''), 1, 60) AS title, substr(coalesce(text, ''), 61) AS snippet, concat('https://news.example/', CAST(doc_id AS STRING)) AS url, 1706572800 - (doc_id * 7919 % 86400) - CASE WHEN doc_id % 2 = 0 THEN (doc_id * 7919 % 3) ELSE 0 END AS published_s FROM documents",
     "verdicts": "SELECT doc_id AS cluster_pos, quality = 1 AS notable, CAST(1 + doc_id % 5 AS INT) AS severity FROM labels",
     "vectors": "SELECT vec_id AS id, concat('t', CAST(label AS STRING)) AS topic, embedding FROM embeddings",
     "cards": "SELECT o.o_orderkey AS id, c.c_nationkey AS user_id, EPOCH(date_trunc('month', o.o_orderdate)) AS date_s, concat(CAST(c.c_nationkey AS STRING), '-', CAST(EPOCH(date_trunc('month', o.o_orderdate)) AS STRING)) AS digest_id, o.o_orderstatus AS topic, 6 - CAST(substr(o.o_orderpriority, 1, 1) AS INT) AS severity, EPOCH(o.o_orderdate) AS published_s, EPOCH(date_trunc('month', o.o_orderdate)) + 2678400 + o.o_orderkey % 3 * 3600 AS created_s, CASE WHEN o.o_orderkey % 3 = 0 THEN CAST(floor(o.o_orderkey / 3.0) AS BIGINT) % 6 + 1 ELSE CAST(NULL AS BIGINT) END AS front_page_rank, CASE WHEN o.o_orderkey % 13 = 0 THEN CAST(NULL AS STRING) ELSE concat('Order ', CAST(o.o_orderkey AS STRING)) END AS title, CASE WHEN o.o_orderkey % 4 = 0 THEN CAST(NULL AS STRING) ELSE concat('report ', CAST(o.o_orderkey AS STRING)) END AS expanded_report, concat(' ', o.o_orderpriority, ' |', o.o_orderstatus, '| ') AS labels_text FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey",

@@ -176,3 +176,12 @@ def test_articles_grow_with_the_table(spark, tmp_path):
     assert first >= {i for i in range(20000) if i % 97 and i != 10} and 10 not in first
     for key in ("user_id", "run_id"):
         assert {r["count"] for r in a.groupBy(key).count().collect()} == {1000}
+
+
+def test_snippets_hold_the_rest_of_the_text(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(500))
+    docs = spark.createDataFrame([(0, text, "en", "src1"), (1, None, "en", "src1")], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for view in ("articles", "cluster_articles"):
+        got = {r["pos"]: r["title"] + r["snippet"] for r in Model(spark, str(tmp_path))[view].collect()}
+        assert got == {0: text, 1: ""}
