@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -17,16 +18,26 @@ _OWN_DIRS: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches, as one row may hold a very long text, and let local workers import this package."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    """Bound the Arrow batches, as one row may hold a very long text, and let workers on this machine import this
+    package; on a cluster it is installed, or sent with --py-files."""
+    if is_local(spark):
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors run on one machine."""
+    return spark.sparkContext.master.startswith("local")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, as in tests, a folder of our
+    own if driver and executor are one process, and else an error, as executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="spark-")
@@ -49,6 +60,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_struct(docs: DataFrame) -> Column:
+    """The whole row as one struct, whatever its columns are called."""
+    return F.struct(*(F.col(quoted(c)) for c in docs.columns))
+
+
+def field(struct: str, name: str) -> Column:
+    """One field of row_struct under its own name."""
+    return F.col(f"{struct}.{quoted(name)}").alias(name)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -6,7 +6,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: The same with further columns whose names the operators use inside.
-CLASHING = SCHEMA + ", row string, keep_id long, kept boolean, block long, k long, id long, n long, tokens long, rate double, copies int, at string, part int, length long, gone long, component_id long, _cell long"
+CLASHING = SCHEMA + ", row string, keep_id long, kept boolean, block long, k long, id long, n long, tokens long, rate double, copies int, at string, `a.b` string, hits string, words string, part int, length long, gone long, component_id long, _cell long"
 
 
 def words(rng: random.Random, n: int, of: int = 400) -> list[str]:
@@ -45,7 +45,7 @@ def rows(seed: int = 7) -> list[tuple]:
 def documents(spark, clashing: bool = False):
     data = rows()
     if clashing:
-        return spark.createDataFrame([(*r, "x", 1, True, 1, 2, 3, 4, 5, 0.5, 6, "y", 7, 8, 9, 10, 11) for r in data], CLASHING).repartition(5)
+        return spark.createDataFrame([(*r, "x", 1, True, 1, 2, 3, 4, 5, 0.5, 6, "y", "dot", "h", "w", 7, 8, 9, 10, 11) for r in data], CLASHING).repartition(5)
     return spark.createDataFrame(data, SCHEMA).repartition(5)
 
 

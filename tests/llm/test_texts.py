@@ -6,6 +6,8 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from presswork.llm import mixing, packed_output, packing, pii, quality, tokens
 
@@ -260,48 +262,120 @@ def test_packed_output_is_lossless(spark, buffer):
 
 
 # ---- mixing
+MARKS = {"junk": [f"j{i}" for i in range(12)], "toxic": [f"t{i}" for i in range(12)]}
+
+
 def mix_data(spark):
+    """Good texts of common words; junk and toxic ones with a few marked words among them."""
     rng = np.random.default_rng(9)
-    kinds = [("good", 1, 0, 200), ("junk", 0, 0, 60), ("toxic", 1, 1, 40)]
     data, labels = [], []
-    for kind, q, t, n in kinds:
+    for kind, q, t, n in [("good", 1, 0, 240), ("junk", 0, 0, 60), ("toxic", 1, 1, 50)]:
         for _ in range(n):
-            data.append((len(data), " ".join(f"{kind[0]}x{rng.integers(50)}{kind}" for _ in range(rng.integers(20, 80)))))
-            if rng.random() < 0.5:
+            found = [f"w{rng.integers(400)}" for _ in range(rng.integers(20, 300))]
+            for m in rng.choice(MARKS.get(kind, ["w0"]), 3):
+                found[rng.integers(len(found))] = str(m)
+            data.append((len(data), " ".join(found), kind))
+            if rng.random() < 0.6:
                 labels.append((data[-1][0], q, t))
-    return spark.createDataFrame(data, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, LABELS), data
-
-
-def test_mixing_meets_targets(spark):
-    docs, labels, data = mix_data(spark)
-    got = mixing.mixing_rates(docs, labels, {"good": 0.7, "junk": 0.25, "toxic": 0.05}).collect()
-    total = sum(len(t.split()) for _, t in data)
-    assert sum(r["tokens"] for r in got) == total and all(r["rate"] >= 0 and r["copies"] >= 0 for r in got)
-    share = {d: sum(r["rate"] * r["tokens"] * r[f"p_{d}"] for r in got) / total for d in mixing.DOMAINS}
-    assert share == pytest.approx({"good": 0.7, "junk": 0.25, "toxic": 0.05}, abs=0.01)
-    right = [max(mixing.DOMAINS, key=lambda d: r[f"p_{d}"]) == ("good" if r["doc_id"] < 200 else "junk" if r["doc_id"] < 260 else "toxic") for r in got]
-    assert np.mean(right) > 0.95
-    assert all(sum(r[f"p_{d}"] for d in mixing.DOMAINS) == pytest.approx(1) for r in got)
-
-
-def test_posteriors_by_brute_force(spark):
-    docs, labels, data = mix_data(spark)
-    prior, logs = mixing.fit_classifier(docs, labels)
-    buckets = {}
-    from pyspark.sql import functions as F
-
-    for r in docs.select(F.explode(mixing.words_of(F.col("text"))).alias("w")).distinct().withColumn("b", mixing.feature(F.col("w"))).collect():
-        buckets[r["w"]] = r["b"]
-    got = {r["doc_id"]: [r["p_good"], r["p_junk"], r["p_toxic"]] for r in mixing.with_memberships(docs, (prior, logs), [F.col("doc_id")]).collect()}
-    for doc, text in data[::37]:
-        found = text.split()
-        x = prior + sum(logs[:, buckets[w]] for w in found) * min(1, mixing.EVIDENCE / len(found))
+    docs = spark.createDataFrame([(d, t) for d, t, _ in data], "doc_id long, text string").repartition(4)
+    return docs, spark.createDataFrame(labels, LABELS), data
+
+
+@pytest.fixture(scope="module")
+def mix(spark):
+    return mix_data(spark)
+
+
+def test_classifier_on_unlabelled_rows(mix):
+    """Rows without a label: no word of the fit names their class."""
+    docs, labels, data = mix
+    seen = {r["doc_id"] for r in labels.collect()}
+    got = {r["doc_id"]: r for r in mixing.mixing_rates(docs, labels).collect()}
+    right = [max(mixing.DOMAINS, key=lambda d: got[doc][f"p_{d}"]) == kind for doc, _, kind in data if doc not in seen]
+    assert len(right) > 100 and np.mean(right) > 0.9
+    assert all(sum(r[f"p_{d}"] for d in mixing.DOMAINS) == pytest.approx(1) for r in got.values())
+
+
+def test_held_out_labels(spark):
+    """A held-out fifth of the given labels, for each domain."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = collections.Counter()
+    for r in mixing.held_out(docs, labels).collect():
+        found[r["domain"], r["predicted"]] += r["n"]
+    recall = {d: found[d, d] / sum(n for (a, _), n in found.items() if a == d) for d in mixing.DOMAINS}
+    assert sum(found.values()) > 700 and recall["good"] > 0.97 and recall["junk"] > 0.9 and recall["toxic"] > 0.65
+
+
+def brute_buckets(text):
+    """Features by plain Python, hashed as the engine hashes strings."""
+    own = text.strip(" \t\n\x0b\x0c\r")
+    found = re.split("[ \t\n\x0b\x0c\r]+", own.lower())
+    n = len(found) if own else 0
+    some = set(found)
+    shape = [f"~length {len(bin(n)) - 2}", f"~distinct {int(10 * len(some) / max(1, n))}", f"~capitals {int(10 * len(re.findall('[A-Z]', own)) / max(1, len(own)))}"]
+    names = [x for w in some for x in (w, "^" + w[:4], "$" + w[-2:])] + shape
+    return {xxhash.xxh64_intdigest(x, 42) & (mixing.BUCKETS - 1) for x in names}, n
+
+
+def test_posteriors_by_brute_force(spark, mix):
+    docs, labels, data = mix
+    model = mixing.fit_classifier(docs, labels)
+    assert 5 < model.slots.max() < 200
+    odd = [(1000, None), (1001, ""), (1002, " \t"), (1003, "T1 J2 w3\x0bW4\n t5 "), (None, "É " * 5000 + "t3"), (1005, "x" * 100_000)]
+    more = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    got = {r["doc_id"]: r for r in mixing.with_memberships(more, model, [F.col("doc_id")]).collect()}
+    for doc, text in [*((d, t) for d, t, _ in data[::29]), *odd]:
+        buckets, n = brute_buckets(text or "")
+        slots = sorted({model.slots[b] for b in buckets} - {0})
+        x = model.bias + model.weights[:, slots].sum(1)
         p = np.exp(x - np.logaddexp.reduce(x))
-        assert got[doc] == pytest.approx(p.tolist(), abs=2e-3)
+        assert got[doc]["tokens"] == n
+        assert [got[doc][f"p_{d}"] for d in mixing.DOMAINS] == pytest.approx(p.tolist(), abs=2e-3)
 
 
-def test_mixed_rows(spark):
-    docs, labels, _ = mix_data(spark)
+def brute_rates(tokens, p, share, most_rate, ridge):
+    """The least squares of the module's docstring by many small projected gradient steps on the rates themselves."""
+    tokens, p = np.array(tokens, float), np.array(p)
+    now = tokens @ p
+    goal = np.array(share) * now[np.argmax(share)] / max(share)
+    metric = np.linalg.pinv((p * tokens[:, None]).T @ p, rcond=1e-9, hermitian=True)
+    r = np.ones(len(tokens))
+    for _ in range(3000):
+        r = np.clip(r - 0.5 * (p @ metric @ ((tokens * r) @ p - goal) + ridge * (r - 1)), 0, most_rate)
+    return r, goal
+
+
+@pytest.mark.parametrize("share, most_rate", [((0.7, 0.25, 0.05), 4.0), ((0.985, 0.01, 0.005), 2.0), ((0.5, 0.5, 0.0), 2.0)])
+def test_rates_by_brute_force(spark, share, most_rate):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet((0.3, 0.15, 0.1), 200)
+    tokens = rng.integers(0, 900, 200)
+    members = spark.createDataFrame([(i, int(t), *map(float, x)) for i, (t, x) in enumerate(zip(tokens, p, strict=True))], "doc_id long, tokens long, p_good double, p_junk double, p_toxic double")
+    steps = mixing.fit_rates(members, dict(zip(mixing.DOMAINS, share, strict=True)), most_rate=most_rate)
+    got = np.array([r["rate"] for r in members.select("doc_id", mixing.rate_of(steps, most_rate=most_rate).alias("rate")).orderBy("doc_id").collect()])
+    best, goal = brute_rates(tokens, p, share, most_rate, mixing.RIDGE)
+    assert (got >= 0).all() and (got <= most_rate).all()
+    total = tokens.sum()
+    assert ((tokens * got) @ p / total) == pytest.approx((tokens * best) @ p / total, abs=0.01)
+    assert np.abs(got - best).mean() < 0.05
+
+
+def test_mixing_meets_targets_and_keeps_good_texts(mix):
+    docs, labels, data = mix
+    target = {"good": 0.8, "junk": 0.15, "toxic": 0.05}
+    got = mixing.mixing_rates(docs, labels, target).collect()
+    sums = {d: sum(r["rate"] * r["tokens"] * r[f"p_{d}"] for r in got) for d in mixing.DOMAINS}
+    assert {d: v / sum(sums.values()) for d, v in sums.items()} == pytest.approx(target, abs=0.02)
+    kinds = {d: k for d, _, k in data}
+    got = mixing.mixing_rates(docs, labels).collect()
+    good = [r for r in got if kinds[r["doc_id"]] == "good"]
+    assert np.mean([r["copies"] > 0 for r in good]) >= 0.95
+    assert max(r["copies"] for r in got) <= 2 and all(r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in got)
+    assert np.mean([r["copies"] for r in got if kinds[r["doc_id"]] == "toxic"]) < 0.3
+
+
+def test_mixed_rows(mix):
+    docs, labels, _ = mix
     copies = {r["doc_id"]: r["copies"] for r in mixing.mixing_rates(docs, labels).collect()}
     assert collections.Counter(r["doc_id"] for r in mixing.mixed(docs, labels).collect()) == {d: n for d, n in copies.items() if n}
 
@@ -311,8 +385,18 @@ def test_mixing_edges(spark):
     docs = documents(spark, clashing=True)
     got = mixing.mixing_rates(docs, none).collect()
     assert len(got) == len(rows()) and all(r["rate"] >= 0 for r in got)
+    assert sum(r["tokens"] for r in got) == sum(len(brute_words(t)) for _, t, *_ in rows())
     assert mixing.mixed(docs, none).schema == docs.schema
-    assert mixing.mixing_rates(empty(spark), none).count() == 0
+    one = spark.createDataFrame([(3, 1, 0), (None, 0, 1), (77_777, 0, 0)], LABELS)
+    assert mixing.mixed(docs, one).count() > 0
+    assert mixing.mixing_rates(empty(spark), none).count() == 0 and mixing.mixed(empty(spark), one).count() == 0
+    twice = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, ""), (1, None)], "doc_id long, text string")
+    got = [(r["doc_id"], r["tokens"], r["rate"]) for r in mixing.mixing_rates(twice, none).collect()]
+    assert len(got) == 4 and len(set(got)) == 2
+
+
+def brute_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
 # ---- the pipeline
