@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, join_groups, materialize, shared_bits, text_or_empty, with_bits
+from .common import connected_components, field, join_groups, materialize, row_struct, shared_bits, text_or_empty, with_bits
 from .quality import _IDS
 
 WORDS = 5
@@ -397,8 +397,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     some = fates.where("some").select("id", "is_null")
     if not some.count():
         return stay
-    own = _texts(docs.select(*_identity(), F.struct(*docs.columns).alias("row")), some)
+    own = _texts(docs.select(*_identity(), row_struct(docs).alias("row")), some)
     own = materialize(own.withColumn("k", F.arrow_udf(_class_of, "long")("text")), "some")
     least = own.where("k is not null").groupBy("id", "is_null", "k").agg(F.min_by("row", "text").alias("row"))
     left = own.where("k is null").select("row").unionByName(least.join(keepers.hint("merge"), ["id", "is_null", "k"]).select("row"))
-    return stay.unionByName(left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))
+    return stay.unionByName(left.select(*(field("row", c) for c in docs.columns)))

@@ -58,6 +58,15 @@ def test_drop_copies_keeps_columns(spark):
     assert {r["doc_id"] for r in out.collect()} == {v[0] for v in brute_exact(rows()).values()}
 
 
+def test_drop_copies_keeps_one_of_repeated_rows(spark):
+    data = [(5, "same", "c"), (5, "same", "c"), (None, "x y", "c"), (None, "xy", "c"), (None, "x y", "c"), (7, "k l", "c"), (7, "k  l", "c"), (7, "kl", "d"), (9, "kl", "e"), (None, None, "f"), (8, "", "g"), (8, " ", "g")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, `a.b` string").repartition(3)
+    got = collections.Counter((r["doc_id"], r["text"]) for r in exact.drop_copies(docs).collect())
+    assert got == {(5, "same"): 1, (None, "x y"): 1, (7, "k  l"): 1, (8, " "): 1}
+    twice = spark.createDataFrame([(1, "a", "b"), (None, "c", "d")] * 3, docs.schema)
+    assert sorted(str(r["doc_id"]) for r in exact.drop_copies(twice).collect()) == ["1", "None"]
+
+
 def key_of(text):
     return text.strip(" \t\n\x0b\x0c\r").translate(LOWER)
 
@@ -204,6 +213,13 @@ def test_drop_near_copies_null_and_repeated_ids(spark):
     assert [got[f"g{i}"][0] for i in range(7)] == [1, None, 3, 7, None, 9, 11]
 
 
+def test_drop_near_copies_keeps_one_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    data = [(3, text, "c")] * 3 + [(None, text + " end", "c")] * 2 + [(None, "one two three four five six seven", "n")] * 2 + [(6, "quite another text than all of the others", "m")] * 2
+    out = jaccard.drop_near_copies(spark.createDataFrame(data, "doc_id long, text string, `a.b` string").repartition(3))
+    assert sorted((str(r["doc_id"]), r["a.b"]) for r in out.collect()) == [("3", "c"), ("6", "m"), ("None", "n")]
+
+
 def test_empty_tables(spark):
     assert exact.exact_dedup(empty(spark)).count() == 0
     assert line.line_dedup(empty(spark)).count() == 0
