@@ -34,8 +34,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay as often as their rates say; the rates bring the domains to their target weights."""
-    return mixed(docs, table(spark, sf_dir, "labels"))
+    """Documents stay as often as their rates say, twice at most; the rates bring the domains to their target weights. The
+    classifier is fitted on all labelled documents, also those that earlier stages dropped."""
+    return mixed(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
