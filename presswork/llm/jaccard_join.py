@@ -11,7 +11,14 @@ more than a passage with others has d + 1 signatures of its own, and drops out.
 What is compared. Sets that are equal are one class. Every class is first compared with one centre, the least class
 that it shares a signature with; that joins up families of copies with as many comparisons as members. Then only
 signatures that hold classes of different components are left; the classes around them are compared with one another
-where they are not yet connected, in blocks. All comparisons walk a prefix tree of the sets in the order of hashes.
+where they are not yet connected, in blocks: those outside of the largest component around, with one another and with
+the blocks of that component. All comparisons walk a prefix tree of the sets in the order of hashes.
+
+Why signatures. One tree over all sets, whose branches tasks would walk, has a root with as many children as there are
+least hashes, so near copies sit in unrelated branches as soon as one early shingle differs; only a tree in order of
+frequency brings them together, and its probes then send every shingle of every set through the shuffle: 8 bytes times
+some 480 shingles a document, 1 GB for the 0.5 GB that the check tool reads, and the rows of the commonest shingles in one
+task. A set has 0.4 to 0.8 parts a shingle, and a signature that no two classes share is dropped where it arrives.
 """
 
 from __future__ import annotations
@@ -31,8 +38,11 @@ WORDS = 5
 PERCENT = 80
 #: Parts for each shingle, at least; over 1/4 is needed, the most differences that a set can have.
 PARTS = 0.4
-#: Classes that meet a centre, or one another's block, in one task.
-BLOCK = 1024
+#: Of classes that meet a centre, or a block of others, in one task: each counts 1, and 1 more for any 2,048 shingles.
+BLOCK = 256
+WEIGHT_SHINGLES = 2048
+#: Weight that a task of the comparisons takes together, so that their number follows the work.
+TASK = 4 * BLOCK
 DOCS_PER_BUCKET = 2048
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -297,22 +307,25 @@ def _classed(docs: DataFrame, docs_per_bucket: int) -> tuple[DataFrame, DataFram
     met = materialize(met, "met")
     all_docs = met.where("is_doc").select("id", "is_null", "n", "k")
     live = _shared(met.where("not is_doc").select(F.col("id").alias("group"), F.col("n").alias("classes"), "k", "how"))
-    classes = all_docs.where("n > 0").groupBy("k").agg(F.min(F.when(~F.col("is_null"), F.col("id"))).alias("rep"), F.max(F.when(F.col("is_null"), F.col("id"))).alias("null_rep"), F.count("*").alias("size"))
+    classes = all_docs.where("n > 0").groupBy("k").agg(F.min(F.when(~F.col("is_null"), F.col("id"))).alias("rep"), F.max(F.when(F.col("is_null"), F.col("id"))).alias("null_rep"), F.count("*").alias("size"), F.max("n").alias("n"))
     classes = materialize(classes, "classes")
     named = classes.select("k", F.coalesce("rep", "null_rep").alias("id"), F.col("rep").isNull().alias("is_null"))
+    weight = classes.select("k", (1 + F.floor(F.col("n") / WEIGHT_SHINGLES)).alias("weight"))
 
     edges = materialize(live.groupBy("k").agg(F.min("centre").alias("centre")).where("k <> centre"), "edges")
     links = None
     if edges.count():
-        crowd = materialize(edges.groupBy("centre").agg(F.count("*").alias("members")), "crowd")
-        blocks = F.ceil(F.col("members") / BLOCK).cast("long")
+        heavy = materialize(edges.hint("merge").join(weight.hint("merge"), "k"), "edges")
+        crowd = materialize(heavy.groupBy("centre").agg(F.count("*").alias("members"), F.sum("weight").alias("weight")), "crowd")
+        blocks = F.ceil(F.col("weight") / BLOCK).cast("long")
         placed = join_groups(edges, crowd, "centre", "members").select("centre", F.pmod(F.xxhash64("k"), blocks).alias("block"), "k")
         centres = crowd.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("centre").alias("k"))
         need = materialize(placed.unionByName(centres), "placed").hint("merge").join(named, "k")
-        links = _texts(own, need).groupBy("centre", "block").applyInArrow(_with_centre, "src long, dst long")
+        tasks = -(-crowd.agg(F.sum("weight")).first()[0] // TASK)
+        links = _texts(own, need).repartition(tasks, "centre", "block").groupBy("centre", "block").applyInArrow(_with_centre, "src long, dst long")
         links = materialize(links, "links")
         so_far = materialize(connected_components(links, "first"), "first")
-        more = _rest(own, named, live, so_far)
+        more = _rest(own, named, weight, live, so_far)
         if more is not None:
             links = links.unionByName(more)
             so_far = materialize(connected_components(links, "second"), "second")
@@ -355,8 +368,12 @@ def _shared(live: DataFrame) -> DataFrame:
     return materialize(join_groups(kept, materialize(groups, "groups"), "group", "classes").select("group", "k", "centre"), "shared")
 
 
-def _rest(own: DataFrame, named: DataFrame, live: DataFrame, so_far: DataFrame) -> DataFrame | None:
-    """Links between classes that share a signature and are in different components; None if there are no such classes."""
+def _rest(own: DataFrame, named: DataFrame, weight: DataFrame, live: DataFrame, so_far: DataFrame) -> DataFrame | None:
+    """Links between classes that share a signature and are in different components; None if there are no such classes.
+
+    Around shared signatures most classes are in one component by now. Its members need not meet one another: blocks of
+    the other classes meet each other, and each block of the largest component.
+    """
     known = so_far.select(F.col("node").alias("k"), "component")
     placed = live.hint("merge").join(known.hint("merge"), "k", "left")
     placed = materialize(placed.withColumn("component", F.coalesce("component", "k")), "shared")
@@ -366,16 +383,25 @@ def _rest(own: DataFrame, named: DataFrame, live: DataFrame, so_far: DataFrame)
         return None
     left = materialize(join_groups(placed, mixed, "group", "rows").select("group", "k", "centre", "component"), "left")
     around = materialize(connected_components(left.select(F.col("k").alias("src"), F.col("centre").alias("dst")), "around"), "around")
-    members = materialize(left.groupBy("k").agg(F.min("component").alias("component"), F.collect_set("group").alias("groups")), "members")
-    members = materialize(members.hint("merge").join(around.select(F.col("node").alias("k"), F.col("component").alias("cluster")), "k"), "clustered")
-    sizes = materialize(members.groupBy("cluster").agg(F.count("*").alias("members")), "clusters")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
-    spread = join_groups(members, sizes, "cluster", "members").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("k"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    spread = spread.select("cluster", "k", "component", "groups", "side", other)
-    spread = spread.select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "k", "component", "groups")
-    need = materialize(spread, "spread").hint("merge").join(named, "k")
-    return materialize(_texts(own, need).groupBy("cluster", "i", "j").applyInArrow(_one_another, "src long, dst long"), "more-links")
+    members = left.groupBy("k").agg(F.min("component").alias("component"), F.collect_set("group").alias("groups"))
+    members = members.hint("merge").join(around.select(F.col("node").alias("k"), F.col("component").alias("cluster")).hint("merge"), "k")
+    members = materialize(members.join(weight.hint("merge"), "k"), "clustered")
+    sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    largest = F.max_by(F.struct("component", "weight"), F.struct("n", "component")).alias("largest")
+    sizes = sizes.groupBy("cluster").agg(largest, F.sum("n").alias("members"), F.sum("weight").alias("weight"))
+    sizes = sizes.select("cluster", "members", F.col("largest.component").alias("main"), F.ceil(F.col("largest.weight") / BLOCK).cast("long").alias("inner"), F.ceil((F.col("weight") - F.col("largest.weight")) / BLOCK).cast("long").alias("outer"))
+    sizes = materialize(sizes, "clusters")
+    # Blocks 0 .. outer - 1 hold the others, the next ones the largest component.
+    outside = F.col("component") != F.col("main")
+    side = F.when(outside, F.pmod(F.xxhash64("k"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("k"), F.col("inner")))
+    last = F.when(outside, F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1)
+    spread = join_groups(members, sizes, "cluster", "members").where("outer > 0").withColumn("side", side)
+    spread = spread.select("cluster", "component", "groups", "side", "k", "weight", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    spread = spread.select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "k", "component", "groups", "weight")
+    spread = materialize(spread, "spread")
+    tasks = -(-(spread.agg(F.sum("weight")).first()[0] or 1) // TASK)
+    need = spread.drop("weight").hint("merge").join(named, "k")
+    return materialize(_texts(own, need).repartition(tasks, "cluster", "i", "j").groupBy("cluster", "i", "j").applyInArrow(_one_another, "src long, dst long"), "more-links")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

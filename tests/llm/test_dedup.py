@@ -233,3 +233,21 @@ def test_components_and_hot_groups(spark):
     left = spark.range(5000).selectExpr("id", "if(id < 4000, 0, id) as k")
     groups = materialize(left.groupBy("k").count().withColumnRenamed("count", "n"), "g")
     assert join_groups(left, groups, "k", "n").count() == 5000
+
+
+@pytest.mark.parametrize("block", [8, 256])
+def test_jaccard_family_of_half_similar_texts(spark, monkeypatch, block):
+    """A family where some texts link with many, some with one another only, and some with nothing but share signatures;
+    seen through small blocks it gives the components of brute force."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    base = [f"v{i}" for i in range(150)]
+    data = []
+    for i in range(40):
+        share = rng.choice([0.005, 0.02, 0.04, 0.05, 0.08])
+        data.append((int(i), " ".join(w if rng.random() > share else f"n{rng.integers(10**6)}" for w in base), None, None, None))
+    data += [(100 + i, data[i][1] + " tail", None, None, None) for i in range(0, 40, 9)]
+    got = jaccard.jaccard_components(spark.createDataFrame(data, SCHEMA).repartition(5)).collect()
+    expected = brute_components(data)
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == expected
+    assert 5 < len({c for _, _, c in expected}) < 40
