@@ -78,8 +78,8 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """Inner join of rows with one row per key, safe when one key holds a large share of the rows.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """Join of rows with one row per key, inner or left, safe when one key holds a large share of the rows.
 
     groups must be a written table with the number of rows of each key in column size. Its hot keys, at most
     HOT_SHARE of them by definition, are broadcast; the others, each below 1 / HOT_SHARE of the rows, shuffle.
@@ -87,11 +87,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     total, largest = groups.agg(F.sum(size), F.max(size)).first()
     cold = groups.hint("merge")
     if not total or largest * HOT_SHARE < total:
-        return rows.join(cold, key)
+        return rows.join(cold, key, how)
     is_hot = F.col(size) * HOT_SHARE >= F.lit(total)
     hot = F.broadcast(groups.where(is_hot))
     rest = rows.join(F.broadcast(groups.where(is_hot).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(cold.where(~is_hot), key))
+    return rows.join(hot, key).unionByName(rest.join(cold.where(~is_hot), key, how))
 
 
 def connected_components(edges: DataFrame, label: str = "components", most: int = 60) -> DataFrame:
@@ -140,14 +140,20 @@ def shared_bits(ids: DataFrame, column: str, per_row: int = 16, most: int = 1 <<
     return materialize(made.withColumn("bits", F.lit(bits)), "bits")
 
 
-def with_bits(rows: DataFrame, column: str, filter_rows: DataFrame) -> DataFrame:
-    """The rows whose id may be in the filter. The filter is broadcast; its size is bounded where it is made."""
+def marked_bits(rows: DataFrame, column: str, filter_rows: DataFrame) -> DataFrame:
+    """rows with a column maybe: whether the id may be in the filter. The filter is broadcast; its size is bounded where
+    it is made."""
     found = filter_rows.select("bits").first()
     if found is None:
-        return rows.limit(0)
+        return rows.withColumn("maybe", F.lit(False))
     cell = F.pmod(F.xxhash64(column), F.lit(found["bits"]))
-    marked = rows.withColumn("_cell", cell).withColumn("block", F.shiftright("_cell", 15))
-    marked = marked.join(F.broadcast(filter_rows.select("block", "bitmap")), "block")
-    byte = F.expr("cast(conv(hex(substring(bitmap, int((_cell & 32767) div 8) + 1, 1)), 16, 10) as int)")
-    hit = F.expr("int(_cell & 7)")
-    return marked.where(F.call_function("shiftright", byte, hit).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+    marked = rows.withColumn("_cell", cell).withColumn("_block", F.shiftright("_cell", 15))
+    marked = marked.join(F.broadcast(filter_rows.select(F.col("block").alias("_block"), F.col("bitmap").alias("_bitmap"))), "_block", "left")
+    byte = F.expr("cast(conv(hex(substring(_bitmap, int((_cell & 32767) div 8) + 1, 1)), 16, 10) as int)")
+    hit = F.call_function("shiftright", byte, F.expr("int(_cell & 7)")).bitwiseAND(F.lit(1)) == 1
+    return marked.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
+
+
+def with_bits(rows: DataFrame, column: str, filter_rows: DataFrame) -> DataFrame:
+    """The rows whose id may be in the filter."""
+    return marked_bits(rows, column, filter_rows).where("maybe").select(*rows.columns)

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, join_groups, materialize
 
 #: (verdict, host/path); the host holds for all its subdomains too.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of each alias node are dealt to so many parts before they meet its decision.
-SALTS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -78,11 +76,12 @@ def url_verdicts(pages: DataFrame, rules=RULES, edges: DataFrame | None = None)
     name = F.substring_index("node", "/", 1)
     _, by_rule = longest_rule(name, F.substring(F.col("node"), F.length(name) + 1, F.length("node")), rules)
     ruled = nodes.select("*", by_rule.alias("by_rule"))
-    group = ruled.groupBy("component").agg(F.max(F.col("by_rule") == "allow").alias("allows"), F.max(F.col("by_rule") == "block").alias("blocks"))
-    group = materialize(group.select("component", F.when(F.col("allows"), "allow").when(F.col("blocks"), "block").otherwise("allow").alias("spread")), "spread")
-    decided = nodes.hint("shuffle_hash").join(group.hint("shuffle_hash"), "component")
-    decided = materialize(decided.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "decided")
-    judged = judged.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    out = judged.join(decided.hint("merge"), ["node", "salt"], "left")
+    group = ruled.groupBy("component").agg(F.max(F.col("by_rule") == "allow").alias("allows"), F.max(F.col("by_rule") == "block").alias("blocks"), F.count("*").alias("members"))
+    group = materialize(group.select("component", F.when(F.col("allows"), "allow").when(F.col("blocks"), "block").otherwise("allow").alias("spread"), "members"), "spread")
+    decided = materialize(join_groups(nodes, group, "component", "members").drop("members"), "decided")
+    # A node may stand for any number of pages; the rows of hot ones do not shuffle.
+    pages_of = judged.groupBy("node").agg(F.count("*").alias("pages"))
+    decided = materialize(pages_of.join(decided.hint("merge"), "node"), "decided")
+    out = join_groups(judged, decided, "node", "pages", how="left")
     final = F.coalesce(F.col("own"), F.col("spread"), F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", final.alias("verdict"), F.col("component").alias("alias_of"))
