@@ -14,10 +14,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize, scratch_path, text_or_empty
+from .common import join_groups, marked_bits, materialize, scratch_path, shared_bits, text_or_empty
 
 #: Fixed value of the format: the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
+#: Fixed value of the format: how a trained dictionary begins.
+TRAINED_MAGIC = struct.pack("<I", 0xEC30A437)
 DATE = "2024-01-01T00:00:00Z"
 PIECE = 4096
 
@@ -38,20 +40,25 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def pack_archive(records: list[bytes], dictionary_bytes: int = 1 << 16, level: int = 6) -> bytes:
-    """One archive. The dictionary is trained on all its records, cut into pieces; an archive too small or too even
-    to train on has none, and then no leading frame."""
-    pieces = [r[i : i + PIECE] for r in records for i in range(0, len(r), PIECE)]
+def archive_dictionary(pieces: list[bytes], size: int) -> bytes:
+    """A dictionary trained on the pieces. Too few or too even pieces cannot train one; then it is their own last bytes,
+    taken as raw content."""
     try:
-        size = min(dictionary_bytes, max(256, sum(map(len, pieces)) // 10))
-        trained = zstandard.train_dictionary(size, pieces, k=256, d=8, f=18, accel=4)
-        raw = trained.as_bytes()
-        head = zstandard.ZstdCompressor(level=12).compress(raw)
-        out = [struct.pack("<II", DICTIONARY_MAGIC, len(head)), head]
-        packer = zstandard.ZstdCompressor(level=level, dict_data=trained, write_content_size=True)
+        return zstandard.train_dictionary(size, pieces, k=256, d=8, f=18, accel=4).as_bytes()
     except zstandard.ZstdError:
-        out, packer = [], zstandard.ZstdCompressor(level=level, write_content_size=True)
-    return b"".join(out + [packer.compress(r) for r in records])
+        raw = b"".join(pieces)[-size:]
+        # Raw content must not begin like a trained dictionary, and the reader takes no empty one.
+        return b"\n" + raw if raw.startswith(TRAINED_MAGIC) or not raw else raw
+
+
+def pack_archive(records: list[bytes], dictionary_bytes: int = 1 << 16, level: int = 6) -> bytes:
+    """One archive: a skippable frame with the dictionary built from all its records, cut into pieces, and then each
+    record as a frame of its own."""
+    pieces = [r[i : i + PIECE] for r in records for i in range(0, len(r), PIECE)]
+    raw = archive_dictionary(pieces, min(dictionary_bytes, max(256, sum(map(len, pieces)) // 10)))
+    head = zstandard.ZstdCompressor(level=12).compress(raw)
+    packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=True)
+    return b"".join([struct.pack("<II", DICTIONARY_MAGIC, len(head)), head, *(packer.compress(r) for r in records)])
 
 
 def read_archive(data: bytes) -> Iterator[bytes]:
@@ -89,13 +96,20 @@ def _page(text: str) -> int | None:
 
 
 def decide(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, record_type, refers_to: of equal payloads the smallest page_id is the response."""
+    """page_id, url, html, record_type, refers_to: of equal payloads the smallest page_id is the response.
+
+    Only digests are counted in a shuffle. A bitmap of the repeated ones is broadcast, and of the pages only those that it
+    lets through shuffle with their bodies to meet their group; hot payloads do not.
+    """
     html = text_or_empty("html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
-    groups = materialize(rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "payloads")
+    groups = materialize(rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "payloads")
+    marked = marked_bits(rows, "sha1", shared_bits(groups.select("sha1"), "sha1"))
     revisit = (F.octet_length("html") >= least_bytes) & F.coalesce(F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))), F.lit(False))
-    both = join_groups(rows, groups, "sha1", "n")
-    return both.select("page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
+    several = join_groups(marked.where("maybe"), groups, "sha1", "n", how="left")
+    several = several.select("page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
+    single = marked.where("not maybe").select("page_id", "url", "html", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return single.unionByName(several)
 
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = 8 << 20, least_bytes: int = 0) -> DataFrame:

@@ -97,6 +97,15 @@ def test_round_trip(spark, size):
     assert warc.archive_round_trip(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_hot_payload_and_hot_alias(spark):
+    """One payload, and one page of an alias, hold most rows."""
+    data = [(i, "http://a.net/1" if i % 3 else f"http://b.net/{i}", canonical("http://x.com/de/1") if i % 3 else f"only {i}") for i in range(300)]
+    got = warc.archive_round_trip(pages(spark, data)).collect()
+    assert sorted(((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == brute(data)
+    found = urls.url_verdicts(pages(spark, data)).collect()
+    assert len(found) == 300 and all((r["verdict"] == "block") == (r["page_id"] % 3 > 0) for r in found)
+
+
 def test_small_payloads_are_all_responses(spark):
     data = [(1, "a", "xx"), (2, "b", "xx"), (3, "c", "y" * 50), (4, "d", "y" * 50)]
     got = {r["page_id"]: r["record_type"] for r in warc.archive_round_trip(pages(spark, data), least_bytes=10).collect()}
@@ -109,7 +118,8 @@ def test_archive_has_its_dictionary_in_front():
     assert data[:4] == b"\x5d\x2a\x4d\x18"
     assert list(warc.read_archive(data)) == records
     assert len(data) < sum(map(len, records)) / 2
-    few = warc.pack_archive(records[:1])
-    assert list(warc.read_archive(few)) == records[:1]
+    for few in (records[:1], [b""], [b"x"], [warc.TRAINED_MAGIC + b"abc"], [b"ab" * 9] * 3):
+        small = warc.pack_archive(few)
+        assert small[:4] == data[:4] and list(warc.read_archive(small)) == few
     with pytest.raises(Exception):
         list(warc.read_archive(data[:-5]))
