@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import WHITE, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -134,7 +135,7 @@ def features(before: str, word: str, after: str) -> list[int]:
     """Hashed features of a token and its neighbours."""
     core = word.strip(".,;:!?\"'")
     digits = sum(c in "0123456789" for c in core)
-    named = ("b", f"s={short(core)}", f"l={shape(core)[:24]}", f"n={min(len(core), 24)}", f"d={digits}", f"@={core.count('@')},{core.find('@') > 0}", f"c={core.count(':')},{core.count('.')},{core.count('-')}", f"p={before.lower().strip('.,:;')}", f"ps={short(before)}", f"as={short(after)}", f"pd={any(c.isdigit() for c in before)},{digits}", f"ad={any(c.isdigit() for c in after)},{digits}", f"h={core[:1]},{digits}", f"k={12 <= digits <= 19 and luhn(re.sub('[^0-9]', '', core))},{digits > 11}")
+    named = ("b", f"s={short(core)}", f"l={shape(core)}", f"n={len(core)}", f"d={digits}", f"@={core.count('@')},{core.find('@') > 0}", f"c={core.count(':')},{core.count('.')},{core.count('-')}", f"p={before.lower().strip('.,:;')}", f"ps={short(before)}", f"as={short(after)}", f"pd={any(c.isdigit() for c in before)},{digits}", f"ad={any(c.isdigit() for c in after)},{digits}", f"h={core[:1]},{digits}", f"k={12 <= digits <= 19 and luhn(re.sub('[^0-9]', '', core))},{digits > 11}")
     return [xxhash.xxh3_64_intdigest(x) % FEATURES for x in named]
 
 
@@ -151,9 +152,19 @@ def chains(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
+def _word_before(text: str, at: int) -> str:
+    while at and text[at - 1] in WHITE:
+        at -= 1
+    first = at
+    while first and text[first - 1] not in WHITE:
+        first -= 1
+    return text[first:at]
+
+
 def _neighbours(text: str, run: list[tuple[int, int]]) -> tuple[str, str]:
-    before, after = text[max(0, run[0][0] - 40) : run[0][0]].split(), text[run[-1][1] : run[-1][1] + 40].split()
-    return (before[-1] if before else ""), (after[0] if after else "")
+    """The whole words before and after a run; empty at the ends of the text."""
+    after = WORD.search(text, run[-1][1])
+    return _word_before(text, run[0][0]), after[0] if after else ""
 
 
 def chain_features(text: str, run: list[tuple[int, int]]) -> np.ndarray:
@@ -287,6 +298,23 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
 
+def without_overlap(more: list[tuple[str, int, int]], own: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans of more that overlap none of own, by way of the disjoint stretches that own covers."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in own):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out = []
+    for x in more:
+        at = bisect_left(starts, x[2]) - 1  # the last stretch that begins before x ends
+        if at < 0 or ends[at] <= x[1]:
+            out.append(x)
+    return out
+
+
 def find_in_batch(texts: list[str], crf: Crf) -> list[tuple]:
     """n_email, n_ip, n_card, n_phone, base_sha256, spans of each text."""
     base = [base_spans(t) if re.search("[0-9@]", t) else {k: [] for k in KINDS} for t in texts]
@@ -295,9 +323,7 @@ def find_in_batch(texts: list[str], crf: Crf) -> list[tuple]:
     out = []
     for text, found, some in zip(texts, base, runs, strict=True):
         own = [(k, a, b) for k, spans in found.items() for a, b in spans]
-        taken = sorted((a, b) for _, a, b in own)
-        more = crf_spans(text, some, [next(labels) for _ in some])
-        more = [x for x in more if not any(a < x[2] and b > x[1] for a, b in taken)]
+        more = without_overlap(crf_spans(text, some, [next(labels) for _ in some]), own)
         out.append((*(len(found[k]) for k in KINDS), hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(own + more)))
     return out
 
