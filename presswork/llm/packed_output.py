@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
-from .tokens import CAPACITY, encode_texts, vocabulary
+from .tokens import CAPACITY, encode_texts, vocabulary, vocabulary_size
 
 #: A task packs so many ids at once; it bounds its memory. Each buffer may leave a few sequences part full.
 BUFFER_IDS = 4 << 20
@@ -71,22 +71,25 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def packed_sequences(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, pad_id: int = 0, kind: str = "<u2", buffer_ids: int = BUFFER_IDS) -> DataFrame:
+def packed_sequences(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, pad_id: int = 0, kind: str | None = None, buffer_ids: int = BUFFER_IDS) -> DataFrame:
     """One row per sequence, a row of the id matrix: sequence_id, n_tokens, doc_ids, pieces (the number of each piece in
     its document), cu_seqlens (0, then the running sum of lengths), ids (capacity ids of numpy type kind, padded with
-    pad_id) and positions (each piece restarts at 0; padding is 0).
+    pad_id) and positions (each piece restarts at 0; padding is 0). kind is <u2 or, where the vocabulary or the capacity
+    needs it, <u4; an id that does not fit into a kind given raises.
 
     Every task packs its own documents in buffers, so nothing shuffles. A document of more than capacity ids is cut
     into pieces without loss. Null and empty texts are their end id alone; null doc_ids and repeated rows are packed
     as any other; an empty table gives an empty one. Other columns are not read. Write the table before use.
     """
     path = path or vocabulary()
+    kind = kind or ("<u2" if max(vocabulary_size(path), pad_id + 1, capacity) <= 1 << 16 else "<u4")
+    largest = np.iinfo(kind).max
 
     def flush(held: list[tuple], first: int) -> pa.RecordBatch:
         packed = best_fit_decreasing([len(x[2]) for x in held], capacity)
         rows: dict[str, list] = {k: [] for k in ("sequence_id", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "ids", "positions")}
         for k, members in enumerate(packed):
-            ids, positions, ends = np.full(capacity, pad_id, kind), np.zeros(capacity, "<u2"), [0]
+            ids, positions, ends = np.full(capacity, pad_id, kind), np.zeros(capacity, kind), [0]
             for i in members:
                 own = held[i][2]
                 ids[ends[-1] : ends[-1] + len(own)] = own
@@ -104,6 +107,8 @@ def packed_sequences(docs: DataFrame, path: str | None = None, capacity: int = C
             docs_of, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for at in range(0, len(texts), 256):
                 for doc, ids in zip(docs_of[at : at + 256], encode_texts(texts[at : at + 256], path), strict=True):
+                    if ids.max() > largest:
+                        raise ValueError(f"id {ids.max()} does not fit into {kind}")
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         held.append((doc, k, ids[start : start + capacity].astype(kind)))
                     size += len(ids)

@@ -32,10 +32,24 @@ def _loaded(path: str) -> tuple:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path), {}
+        tokenizer = Tokenizer.from_file(path)
+        _check_words(tokenizer, path)
+        _LOADED[path] = tokenizer, {}
     return _LOADED[path]
 
 
+def _check_words(tokenizer, path: str) -> None:
+    """encode_texts goes word by word, which only holds for tokenizers that drop white space and do not join across it."""
+    for text in ("ab cd", " The  end.\n\tof it, don't", "x\x0by\x0cz 12 345\r\n"):
+        apart = [i for w in text.split() for i in tokenizer.encode(w, add_special_tokens=False).ids]
+        if tokenizer.encode(text, add_special_tokens=False).ids != apart:
+            raise ValueError(f"{path} does not encode word by word")
+
+
+def vocabulary_size(path: str) -> int:
+    return _loaded(path)[0].get_vocab_size()
+
+
 def encode_texts(texts: list[str], path: str, end_id: int = END_ID) -> list[np.ndarray]:
     """The ids of each text, then end_id, as uint32.
 

@@ -55,6 +55,23 @@ def test_base_spans_are_linear():
         pii.find_in_batch([text], pii.Crf(np.zeros((pii.FEATURES, 9)), np.zeros((9, 9))))
 
 
+def test_neighbours_are_whole_words():
+    long = "n" * 200
+    text = f"{long}\n \t12 34\x0b {long}x. end"
+    run = pii.chains(text)[0]
+    assert pii._neighbours(text, run) == (long, "34") or pii._neighbours(text, run) == (long, f"{long}x.")
+    assert pii._neighbours("5 6", [(0, 1), (2, 3)]) == ("", "")
+    near, far = pii.features(long + "a", "1" * 30, "z"), pii.features(long + "b", "1" * 31, "z")
+    assert near != far
+
+
+def test_added_spans_do_not_overlap():
+    rng = np.random.default_rng(8)
+    for _ in range(500):
+        own, more = ([("ip", int(a), int(a + n)) for a, n in zip(rng.integers(0, 60, k), rng.integers(1, 9, k), strict=True)] for k in (int(rng.integers(0, 8)), 8))
+        assert pii.without_overlap(more, own) == [x for x in more if not any(a < x[2] and b > x[1] for _, a, b in own)]
+
+
 @pytest.fixture(scope="module")
 def crf():
     return pii.train()
@@ -261,6 +278,24 @@ def test_packed_output_is_lossless(spark, buffer):
     assert packed_output.written_sequences(empty(spark)).count() == 0
 
 
+def test_id_types(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "some words of a text"), (2, None)], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit"):
+        packed_output.packed_sequences(docs, kind="<u1").collect()
+    wide = packed_output.packed_sequences(docs, kind="<u4").collect()[0]
+    assert len(wide["ids"]) == 4 * 2048
+    monkeypatch.setattr(packed_output, "vocabulary_size", lambda path: 70_000)
+    assert len(packed_output.packed_sequences(docs).collect()[0]["ids"]) == 4 * 2048
+
+
+def test_tokenizers_that_join_words_are_refused():
+    from tokenizers import Tokenizer
+
+    with pytest.raises(ValueError, match="word by word"):
+        path = tokens.vocabulary("byte_bpe_50k.json")
+        tokens._check_words(Tokenizer.from_file(path), path)
+
+
 # ---- mixing
 MARKS = {"junk": [f"j{i}" for i in range(12)], "toxic": [f"t{i}" for i in range(12)]}
 
