@@ -17,12 +17,13 @@ def cap_per_topic(judged: DataFrame, scope: list[str] | None = None, most: int =
 
 
 def topic_cuts(judged: DataFrame, most: int = CAP) -> DataFrame:
-    """Of each topic over the cap: how many were notable and dropped, and the severities of the dropped."""
+    """Of each topic over the cap: how many were notable and dropped, and the severities (1 to 5) of the dropped."""
     w = Window.partitionBy("run_id", "topic").orderBy(F.desc("severity"), "cluster_pos")
     x = judged.where("notable").withColumn("slot", F.row_number().over(w))
-    gone = F.collect_list(F.when(F.col("slot") > most, F.col("severity")))
-    x = x.groupBy("run_id", "topic").agg(F.count_if(F.col("slot") > most).alias("dropped"), F.count("*").alias("total"), F.sort_array(gone, asc=False).alias("severities"))
-    return x.where("dropped > 0")
+    gone = [F.count_if((F.col("slot") > most) & (F.col("severity") == s)).cast("int").alias(f"gone{s}") for s in range(1, 6)]
+    x = x.groupBy("run_id", "topic").agg(F.count_if(F.col("slot") > most).alias("dropped"), F.count("*").alias("total"), *gone)
+    severities = F.flatten(F.array(*(F.array_repeat(F.lit(s), F.col(f"gone{s}")) for s in range(5, 0, -1))))
+    return x.where("dropped > 0").select("run_id", "topic", "dropped", "total", severities.alias("severities"))
 
 
 def cluster_published_at(articles: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def front_page_picks(responses: DataFrame, most: int = FRONT) -> DataFrame:
 
 def rank_alignment(pool: DataFrame, ranks: DataFrame) -> DataFrame:
     """Ranks back on their cards by pool position; runs that were not ranked give no rows."""
-    return pool.join(ranks, ["digest_id", "pool_pos"]).select("digest_id", "id", "origin", F.col("rank").alias("front_page_rank"))
+    return pool.hint("merge").join(ranks.hint("merge"), ["digest_id", "pool_pos"]).select("digest_id", "id", "origin", F.col("rank").alias("front_page_rank"))
 
 
 def apply_rank_updates(cards: DataFrame, updates: DataFrame) -> DataFrame:

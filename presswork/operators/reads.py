@@ -32,6 +32,12 @@ def topic_page(day: DataFrame, topic: str) -> DataFrame:
     return day.where(F.col("topic") == topic).withColumn("topic_place", F.row_number().over(order))
 
 
+def topic_order(cards: DataFrame) -> DataFrame:
+    """(digest_id, id, topic_place): the place of every card on its topic's page, most severe first."""
+    order = Window.partitionBy("digest_id", "topic").orderBy(F.desc("severity"), F.desc("published_s"), "id")
+    return cards.select("digest_id", "id", F.row_number().over(order).alias("topic_place"))
+
+
 def saved_cards(bookmarks: DataFrame, cards: DataFrame, digests: DataFrame) -> DataFrame:
     """Bookmarks with their cards, the newest first; a bookmark without a card is dropped."""
     c = cards.select(F.col("id").alias("card_id"), "digest_id", "title", "topic")

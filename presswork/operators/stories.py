@@ -2,40 +2,21 @@
 
 from __future__ import annotations
 
-import re
 import sys
-import tempfile
-import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.exprs import cosine
+from .skew import block_product, shared_folder, star_components, written
 
 ATTACH, ASK = 0.65, 0.5
-_FOLDERS: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, a folder of our own in a single process, and else an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _FOLDERS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut and its size known."""
-    path = f"{shared_folder(df.sparkSession)}/stories-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def greedy_stories(articles: DataFrame, attach: float = ATTACH) -> DataFrame:
@@ -68,30 +49,18 @@ def greedy_stories(articles: DataFrame, attach: float = ATTACH) -> DataFrame:
 
 
 def story_pairs(vectors: DataFrame, least: float, block: str = "topic") -> DataFrame:
-    """All pairs of a block with at least that similarity: an equi-join on the block, then the exact product."""
-    a = vectors.select(block, F.col("id").alias("a"), F.col("embedding").alias("u"))
-    b = vectors.select(block, F.col("id").alias("b"), F.col("embedding").alias("v"))
-    x = a.join(b, (a[block] == b[block]) & (F.col("a") < F.col("b"))).withColumn("sim", cosine(F.col("u"), F.col("v")))
+    """All pairs of a block with at least that similarity, exactly; a large block is spread over many tasks."""
+    a = vectors.select(F.col(block).alias("block"), F.col("id").alias("a"), F.col("embedding").alias("u"))
+    b = vectors.select(F.col(block).alias("block"), F.col("id").alias("b"), F.col("embedding").alias("v"))
+    x = block_product(a, b, "block").where("a < b").withColumn("sim", cosine(F.col("u"), F.col("v")))
     return x.where(F.col("sim") >= least).select("a", "b", "sim")
 
 
-def story_components(nodes: DataFrame, pairs: DataFrame, most: int = 50) -> DataFrame:
-    """(id, story) with story the smallest id connected by pairs. Labels spread to neighbours and jump to their label's
-    label each round, until nothing changes."""
-    pairs = written(pairs.select("a", "b"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = written(nodes.select("id", F.col("id").alias("story")))
-    for _ in range(most):
-        near = both.join(labels.withColumnRenamed("id", "b").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.min("story").alias("near"))
-        x = labels.hint("merge").join(near.hint("merge"), "id", "left").select("id", "story", F.least("story", "near").alias("new"))
-        x = written(x)
-        jump = x.select(F.col("id").alias("new"), F.col("new").alias("far"))
-        y = x.join(jump.hint("merge"), "new", "left").select("id", F.least("new", "far").alias("story"), (F.least("new", "far") < F.col("story")).alias("moved"))
-        y = written(y)
-        labels = y.select("id", "story")
-        if not y.where("moved").head(1):
-            return labels
-    raise RuntimeError(f"stories did not settle in {most} rounds")
+def story_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, story) of every node, with story the smallest id connected by pairs."""
+    found = written(star_components(pairs.select("a", "b")))
+    x = nodes.select("id").join(found.hint("merge"), "id", "left")
+    return x.select("id", F.coalesce("component", "id").alias("story"))
 
 
 def story_centroid(vectors: DataFrame, stories: DataFrame) -> DataFrame:
@@ -105,7 +74,7 @@ def story_centroid(vectors: DataFrame, stories: DataFrame) -> DataFrame:
 def assign_to_stories(articles: DataFrame, centroids: DataFrame, least: float = ATTACH, block: str = "topic") -> DataFrame:
     """The best story of each article's block if it is similar enough, the smallest story of equals; others have null."""
     a = articles.select("id", block, "embedding")
-    x = a.join(centroids.select(block, "story", "centroid").hint("merge"), block)
+    x = block_product(a, centroids.select(block, "story", "centroid"), block)
     x = x.withColumn("sim", cosine(F.col("embedding"), F.col("centroid"))).where(F.col("sim") >= least)
     best = x.groupBy("id").agg(F.max_by(F.struct("story", "sim"), F.struct("sim", -F.col("story"))).alias("s"))
     return a.select("id", block).join(best.hint("merge"), "id", "left").select("id", block, F.col("s.story").alias("story"), F.col("s.sim").alias("sim"))
@@ -115,7 +84,7 @@ def best_existing_card(clusters: DataFrame, cards: DataFrame) -> DataFrame:
     """Of each cluster the most similar existing card of its topic, the smallest id of equals; none if no such card."""
     a = clusters.select("cluster_pos", "topic", F.col("embedding").alias("u"))
     b = cards.select("topic", F.col("id").alias("card_id"), F.col("embedding").alias("v"))
-    x = a.join(b.hint("merge"), "topic").withColumn("sim", cosine(F.col("u"), F.col("v")))
+    x = block_product(a, b, "topic").withColumn("sim", cosine(F.col("u"), F.col("v")))
     best = F.max_by(F.struct("card_id", "sim"), F.struct("sim", -F.col("card_id")))
     return x.groupBy("cluster_pos", "topic").agg(best.alias("s")).select("cluster_pos", "topic", "s.card_id", "s.sim")
 
@@ -135,28 +104,34 @@ def filter_already_covered(clusters: DataFrame, cards: DataFrame, judged: DataFr
     return drop_covered(clusters, duplicate_candidates(clusters, cards, least), judged)
 
 
+def word_slot(word: Column, dims: int) -> Column:
+    """The dimension of a word: the first 32 bits of its MD5, modulo dims."""
+    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % dims
+
+
 def embed_articles(articles: DataFrame, dims: int = 64) -> DataFrame:
-    """Unit vectors of hashed, weighted words, by the built-in feature stages; inputs with vectors need none of it."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    x = articles.withColumn("whole", F.concat("title", F.lit(". "), "snippet"))
-    stages = [
-        RegexTokenizer(inputCol="whole", outputCol="words", pattern="\\s+"),
-        HashingTF(inputCol="words", outputCol="counts", numFeatures=dims),
-        IDF(inputCol="counts", outputCol="weighted"),
-        Normalizer(inputCol="weighted", outputCol="unit"),
-    ]
-    out = Pipeline(stages=stages).fit(x).transform(x)
-    return out.select("pos", "topic", vector_to_array("unit", "float32").alias("embedding"))
-
-
-def map_batches(rows: DataFrame, hook, schema: str) -> DataFrame:
-    """Run a user hook(pandas.DataFrame) -> pandas.DataFrame once a batch_id: embedder, judge, same_story or writer.
-
-    Rows of a batch are brought together by the batch id; a hook that raises gives no rows for its batch, and the joins
-    that take the result fill in the policy: closed for judge, open for same_story, dropped for writer.
+    """(pos, topic, embedding): unit vectors of hashed words of the whole text, weighted by the inverse document
+    frequency log((n + 1) / (df + 1)) of their dimension; inputs with vectors need none of it. A text without words, or
+    with words of no weight alone, has the null vector."""
+    whole = F.lower(F.concat("title", F.lit(". "), "snippet"))
+    words = F.filter(F.split(whole, r"[\s]+"), lambda w: w != "")
+    counts = articles.select("pos", "topic", F.explode_outer(F.transform(words, lambda w: word_slot(w, dims))).alias("dim"))
+    counts = counts.groupBy("pos", "topic", "dim").agg(F.count("dim").alias("tf"))
+    n = articles.count()
+    df = written(counts.where("dim is not null").groupBy("dim").agg(F.log((n + 1) / (F.count("*") + F.lit(1))).alias("idf")))
+    x = counts.join(F.broadcast(df), "dim", "left")  # at most dims rows
+    x = x.groupBy("pos", "topic").agg(F.map_from_entries(F.collect_list(F.when(F.col("dim").isNotNull(), F.struct("dim", (F.col("tf") * F.col("idf")).alias("x"))))).alias("m"))
+    x = x.withColumn("v", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.element_at("m", d.cast("bigint")), F.lit(0.0))))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, y: t + y * y))
+    x = x.withColumn("norm", norm)
+    return x.select("pos", "topic", F.transform("v", lambda y: F.when(F.col("norm") > 0, y / F.col("norm")).otherwise(0.0).cast("float")).alias("embedding"))
+
+
+def map_batches(rows: DataFrame, hook: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Run a user hook(pandas.DataFrame) -> pandas.DataFrame once a batch_id.
+
+    Rows of a batch are brought together by the batch id; a hook that raises gives no rows for its batch. The functions
+    below, and triage.align_verdicts for the judge, fill in what that means.
     """
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
@@ -169,3 +144,45 @@ def map_batches(rows: DataFrame, hook, schema: str) -> DataFrame:
             return arrow.empty_table()
 
     return rows.groupBy("batch_id").applyInArrow(run, schema)
+
+
+EMBED_BATCH, TOLERANCE = 64, 1e-3
+
+
+def embed_with(texts: DataFrame, hook: Callable[[list[str]], list], batch: int = EMBED_BATCH) -> DataFrame:
+    """texts(id, text) -> (id, embedding) by a hook that maps at most batch texts to unit vectors.
+
+    Nothing shuffles. A hook that raises, gives another number of vectors, or one that is not of unit length fails the
+    job: an article without its vector would silently leave its story.
+    """
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                some = b.slice(at, batch)
+                vectors = [np.asarray(v, "float32") for v in hook(some.column(1).to_pylist())]
+                if len(vectors) != some.num_rows:
+                    raise ValueError(f"the embedder gave {len(vectors)} vectors for {some.num_rows} texts")
+                if any(abs(float(np.linalg.norm(v)) - 1) > TOLERANCE for v in vectors):
+                    raise ValueError("the embedder gave a vector that is not of unit length")
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([v.tolist() for v in vectors], pa.list_(pa.float32()))], ["id", "embedding"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, embedding array<float>")
+
+
+def same_story_with(candidates: DataFrame, hook: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """candidates(batch_id, cluster_pos, card_id, ...) -> (cluster_pos, card_id, same) by a hook; fail-open: a batch
+    that fails, or a pair without an answer, is not the same story, so its cluster stays."""
+    asked = written(candidates)
+    answers = map_batches(asked, hook, "cluster_pos bigint, card_id bigint, same boolean")
+    answers = written(answers).groupBy("cluster_pos", "card_id").agg(F.bool_and("same").alias("same"))
+    x = asked.select("cluster_pos", "card_id").join(answers.hint("merge"), ["cluster_pos", "card_id"], "left")
+    return x.withColumn("same", F.coalesce("same", F.lit(False)))
+
+
+def written_with(cards: DataFrame, hook: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """cards(batch_id, card_key, source_text) -> (card_key, title, summary, labels, stop_reason) by a hook; a card whose
+    batch fails, or that has no summary, is dropped."""
+    out = map_batches(cards, hook, "card_key bigint, title string, summary string, labels array<string>, stop_reason string")
+    return out.where("trim(summary) <> ''")

@@ -27,6 +27,18 @@ def persist_run(cards: DataFrame, digests: DataFrame, new_cards: DataFrame, upda
     return updated.unionByName(stamped, allowMissingColumns=True), advanced
 
 
+def persist_runs(cards: DataFrame, digests: DataFrame, new_cards: DataFrame, updates: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """persist_run for all runs(digest_id, run_at_s) at once: updates(digest_id, id, new_rank) change cards of their own
+    digest only, new cards of a digest without a run are not written, and each run moves its digest's cursor."""
+    u = updates.select("digest_id", "id", "new_rank", F.lit(True).alias("hit")).join(runs.select("digest_id"), "digest_id", "left_semi")
+    x = cards.join(u.hint("merge"), ["digest_id", "id"], "left")
+    x = x.withColumn("front_page_rank", F.when(F.col("hit"), F.col("new_rank")).otherwise(F.col("front_page_rank"))).drop("hit", "new_rank")
+    stamped = new_cards.join(runs.withColumnRenamed("run_at_s", "created_s").hint("merge"), "digest_id")
+    advanced = digests.join(runs.withColumnRenamed("digest_id", "id").hint("merge"), "id", "left")
+    advanced = advanced.withColumn("last_generated_s", F.coalesce("run_at_s", "last_generated_s")).drop("run_at_s")
+    return x.unionByName(stamped, allowMissingColumns=True), advanced
+
+
 def open_digest(digests: DataFrame, wanted: DataFrame) -> DataFrame:
     """digests and one new row for each wanted (user_id, date_s) that has none. Ids derive from the key, so repeating it
     changes nothing."""

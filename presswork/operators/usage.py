@@ -88,3 +88,9 @@ def cost_projection(priced: DataFrame, users: int, days: int) -> DataFrame:
     x = x.withColumns({"whole": F.max(F.when(F.col("stage").isNull(), F.col("spent"))).over(few), "runs": F.max(F.when(F.col("stage").isNull(), F.col("runs"))).over(few)})
     x = x.where("stage is not null")
     return x.select("stage", (F.col("spent") / F.col("runs")).alias("per_run_usd"), (F.col("spent") / F.col("whole")).alias("share"), (F.col("spent") / F.col("runs") * users * days).alias("monthly_usd"))
+
+
+def single_source_share(members: DataFrame) -> DataFrame:
+    """Of each topic the share of stories that rest on one article, from members(topic, cluster_pos)."""
+    n = members.groupBy("topic", "cluster_pos").agg(F.count("*").alias("n"))
+    return n.groupBy("topic").agg(F.avg(F.when(F.col("n") == 1, 1.0).otherwise(0.0)).alias("share"))

@@ -37,9 +37,23 @@ BATCHES = "nums AS (SELECT run_id, topic, cluster_pos, row_number() OVER w - 1 A
 
 
 # ---- 2.1 sources and sinks
-@query("SELECT page_id, url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, html LIKE '%<title>%' AND html LIKE '%<article>%' AS good FROM feed_items")
+def _landed(m):
+    """The pages as RSS files: an item a page; a page that was cut off gives an item whose description never ends."""
+    title, body = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1), F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1)
+    whole = feeds.rss_item(title, F.coalesce("url", F.lit("")), body)
+    cut = F.concat(F.regexp_replace(whole, "</description></item>$", ""), F.lit("</item>"))
+    path = f"{stories.shared_folder(m.spark)}/feeds-{uuid.uuid4().hex}"
+    m["feed_items"].select(F.when(F.col("html").endswith("</html>"), whole).otherwise(cut).alias("value")).write.text(path)
+    return feeds.rss_records(m.spark, path, NOW_S)
+
+
+def _feed_of(records):
+    return F.regexp_extract(feeds.link_of(F.col("url"), F.col("record")), "://([^/?#]*)", 1)
+
+
+@query("SELECT url, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title FROM feed_items WHERE html LIKE '%</html>'")
 def read_feed_items(m):
-    return feeds.page_items(m["feed_items"]).select("page_id", "url", "title", "good")
+    return _landed(m).where("good").select("url", "title")
 
 
 @query("SELECT user_id, topic, source, url, feed_ord, ord AS topic_ord FROM (SELECT DISTINCT user_id, topic FROM user_topics) u JOIN dim_feed f USING (topic) JOIN dim_topic t USING (topic) WHERE EXISTS (SELECT 1 FROM user_sources s WHERE s.user_id = u.user_id AND s.source = f.source)")
@@ -48,16 +62,26 @@ def feed_plan(m):
     return out.select("user_id", "topic", "source", "url", "feed_ord", "topic_ord")
 
 
-@query("SELECT concat('f', CAST(page_id % 20 AS STRING)) AS feed, count(*) AS items, count(*) FILTER (WHERE length(html) % 5 = 0) AS failed FROM feed_items GROUP BY 1".replace("STRING", "VARCHAR"))
+@query("SELECT regexp_extract(url, '://([^/?#]*)', 1) AS feed, count(*) AS items, count(*) FILTER (WHERE html NOT LIKE '%</html>') AS failed FROM feed_items GROUP BY 1")
 def feed_failures(m):
-    items = m["feed_items"].select("page_id", (F.length("html") % 5 != 0).alias("good"))
-    return feeds.feed_failures(items, F.concat(F.lit("f"), (F.col("page_id") % 20).cast("string")))
+    x = _landed(m)
+    return feeds.feed_failures(x, _feed_of(x))
 
 
-@query("SELECT concat('h', CAST(page_id AS VARCHAR)) AS feed, CAST(1 AS BIGINT) AS items FROM feed_items WHERE length(html) % 5 = 0")
+@query("SELECT regexp_extract(url, '://([^/?#]*)', 1) AS feed, count(*) AS items FROM feed_items GROUP BY 1 HAVING count(*) = count(*) FILTER (WHERE html NOT LIKE '%</html>')")
 def dead_feed_report(m):
-    items = m["feed_items"].select("page_id", (F.length("html") % 5 != 0).alias("good"))
-    return feeds.dead_feed_report(feeds.feed_failures(items, F.concat(F.lit("h"), F.col("page_id").cast("string"))))
+    x = _landed(m)
+    return feeds.dead_feed_report(feeds.feed_failures(x, _feed_of(x)))
+
+
+@query("SELECT id, digest_id, severity FROM cards WHERE severity <> 5 OR id % 2 = 0")
+def table_sink(m):
+    """All cards by severity, then one partition replaced."""
+    path = f"{stories.shared_folder(m.spark)}/cards-{uuid.uuid4().hex}"
+    c = m["cards"].select("id", "digest_id", "severity")
+    events.write_table(c, path, ["severity"])
+    events.write_table(c.where("severity = 5 AND id % 2 = 0"), path, ["severity"])
+    return m.spark.read.parquet(path).select("id", "digest_id", F.col("severity").cast("int").alias("severity"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
@@ -196,12 +220,13 @@ def digest_exists(m):
 
 
 _SIM = "list_sum(list_transform(list_zip(a.embedding, b.embedding), x -> CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))"
-BEST = f"sims AS (SELECT a.id AS cluster_pos, a.topic, b.id AS card_id, {_SIM} AS sim FROM vectors a JOIN vectors b ON a.topic = b.topic AND a.id % 3 = 0 AND b.id % 3 = 1), best AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY cluster_pos ORDER BY sim DESC, card_id) = 1)"
+BEST = f"sims AS (SELECT a.id AS cluster_pos, a.topic, b.id AS card_id, {_SIM} AS sim FROM vectors a JOIN vectors b ON a.topic = b.topic AND a.id % 2 = 0 AND b.id % 2 = 1), best AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY cluster_pos ORDER BY sim DESC, card_id) = 1)"
 
 
 def _sides(m):
+    """Every vector in one of two roles: the even ones as clusters, the odd ones as cards."""
     v = m["vectors"]
-    return v.where("id % 3 = 0").select(F.col("id").alias("cluster_pos"), "topic", "embedding"), v.where("id % 3 = 1").select("id", "topic", "embedding")
+    return v.where("id % 2 = 0").select(F.col("id").alias("cluster_pos"), "topic", "embedding"), v.where("id % 2 = 1").select("id", "topic", "embedding")
 
 
 @query("WITH " + BEST + " SELECT cluster_pos, topic, card_id, round(sim, 4) AS sim FROM best")
@@ -209,11 +234,11 @@ def best_existing_card(m):
     return stories.best_existing_card(*_sides(m)).withColumn("sim", F.round("sim", 4))
 
 
-@query("WITH " + BEST + ", gone AS (SELECT cluster_pos FROM best WHERE sim >= 0.2 AND (cluster_pos + card_id) % 2 = 0) SELECT id AS cluster_pos, topic FROM vectors WHERE id % 3 = 0 AND id NOT IN (SELECT cluster_pos FROM gone)")
+@query("WITH " + BEST + ", gone AS (SELECT cluster_pos FROM best WHERE sim >= 0.2 AND (cluster_pos + card_id) % 3 = 0) SELECT id AS cluster_pos, topic FROM vectors WHERE id % 2 = 0 AND id NOT IN (SELECT cluster_pos FROM gone)")
 def drop_covered(m):
     clusters, cards = _sides(m)
     candidates = stories.duplicate_candidates(clusters, cards, 0.2)
-    judged = candidates.select("cluster_pos", "card_id", ((F.col("cluster_pos") + F.col("card_id")) % 2 == 0).alias("same")).where("cluster_pos % 5 <> 9")
+    judged = candidates.select("cluster_pos", "card_id", ((F.col("cluster_pos") + F.col("card_id")) % 3 == 0).alias("same"))
     return stories.drop_covered(clusters, candidates, judged).select("cluster_pos", "topic")
 
 
@@ -236,7 +261,7 @@ PRICED = USAGE + ", pr AS (SELECT u.*, ats.at_s, CASE model WHEN 'large' THEN 3.
 
 
 def _priced(m):
-    return jobs.cost_report(m["usage_calls"], dims.dim_price(m.spark), dims.dim_promo(m.spark))
+    return jobs.priced_usage(m["usage_calls"], dims.dim_price(m.spark), dims.dim_promo(m.spark))
 
 
 @query("WITH " + PRICED + " SELECT run_id, stage, model, round(list_usd, 8) AS list_usd, round(billed_usd, 8) AS billed_usd, promo AND billed_usd < list_usd AS promo_applied FROM priced")
@@ -365,8 +390,8 @@ def cost_projection(m):
 
 @query("SELECT topic, round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6) AS share FROM (SELECT source AS topic, cluster_pos, count(*) AS n FROM cluster_articles GROUP BY 1, 2) GROUP BY topic")
 def single_source_share(m):
-    n = m["cluster_articles"].groupBy(F.col("source").alias("topic"), "cluster_pos").agg(F.count("*").alias("n"))
-    return n.groupBy("topic").agg(F.round(F.avg(F.when(F.col("n") == 1, 1.0).otherwise(0.0)), 6).alias("share"))
+    out = usage.single_source_share(m["cluster_articles"].select(F.col("source").alias("topic"), "cluster_pos"))
+    return out.select("topic", F.round("share", 6).alias("share"))
 
 
 @query("""WITH l AS (SELECT lower(trim(unnest(string_split(labels_text, '|')))) AS label FROM cards), c AS (SELECT label, count(*) AS n FROM l WHERE label <> '' GROUP BY 1)
@@ -449,10 +474,9 @@ def digest_order(m):
     return reads.digest_for_date(m["digests"], m["cards"], m["bookmarks"]).select("digest_id", "id", "place")
 
 
-@query("SELECT digest_id, topic, id, CAST(row_number() OVER (PARTITION BY digest_id, topic ORDER BY severity DESC, published_s DESC, id) AS INTEGER) AS place FROM cards")
+@query("SELECT digest_id, id, CAST(row_number() OVER (PARTITION BY digest_id, topic ORDER BY severity DESC, published_s DESC, id) AS INTEGER) AS topic_place FROM cards")
 def topic_order(m):
-    w = Window.partitionBy("digest_id", "topic").orderBy(F.desc("severity"), F.desc("published_s"), "id")
-    return m["cards"].select("digest_id", "topic", "id", F.row_number().over(w).alias("place"))
+    return reads.topic_order(m["cards"])
 
 
 @query("SELECT digest_id, id, front_page_rank, CAST(row_number() OVER (PARTITION BY digest_id ORDER BY front_page_rank, id) AS INTEGER) AS place FROM cards WHERE front_page_rank IS NOT NULL QUALIFY place <= 6")
@@ -501,16 +525,18 @@ def known_values(m):
 
 
 # ---- 2.9 stories
-@query(None)
+@query("""WITH w AS (SELECT pos, unnest(list_filter(regexp_split_to_array(lower(concat(title, '. ', snippet)), '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '')) AS word FROM articles), t AS (SELECT pos, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 64 AS dim, count(*) AS tf FROM w GROUP BY 1, 2),
+d AS (SELECT dim, ln((SELECT count(*) + 1 FROM articles) / (count(*) + 1)) AS idf FROM t GROUP BY dim), x AS (SELECT pos, dim, tf * idf AS x FROM t JOIN d USING (dim)), m AS (SELECT pos, sqrt(sum(x * x)) AS norm FROM x GROUP BY pos)
+SELECT pos, CAST(dim AS INTEGER) AS dim, round(CAST(CAST(x / norm AS FLOAT) AS DOUBLE), 4) AS x FROM x JOIN m USING (pos) WHERE norm > 0 AND x <> 0""")
 def embed_articles(m):
-    out = stories.embed_articles(m["articles"])
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
-    return out.select("pos", "topic", F.round(norm, 4).alias("norm"))
+    out = stories.embed_articles(m["articles"]).select("pos", F.posexplode("embedding").alias("dim", "x"))
+    return out.where("x <> 0").select("pos", "dim", F.round(F.col("x").cast("double"), 4).alias("x"))
 
 
 @query(None)
 def greedy_stories(m):
-    v = m["vectors"].select((F.col("id") % 7).alias("run_id"), F.col("id").alias("pos"), "topic", "embedding")
+    """Runs of a thousand vectors, so their number grows with the table."""
+    v = m["vectors"].select(F.floor(F.col("id") / 1000).alias("run_id"), F.col("id").alias("pos"), "topic", "embedding")
     return stories.greedy_stories(v, 0.35)
 
 
@@ -528,11 +554,19 @@ def story_components(m):
     return stories.story_components(v.select("id"), stories.story_pairs(v, 0.35))
 
 
-@query(f"WITH sims AS (SELECT a.id, b.id AS story, {_SIM} AS sim FROM vectors a JOIN vectors b ON a.topic = b.topic AND a.id % 2 = 0 AND b.id % 10 = 1), best AS (SELECT id, story, sim FROM sims WHERE sim >= 0.2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, story) = 1) SELECT v.id, b.story, round(b.sim, 4) AS sim FROM vectors v LEFT JOIN best b USING (id) WHERE v.id % 2 = 0")
+STORIES = PAIRS + ", bi AS (SELECT a, b FROM hits UNION ALL SELECT b, a FROM hits), reach AS (SELECT id, id AS other FROM vectors UNION SELECT r.id, s.b FROM reach r JOIN bi s ON s.a = r.other), st AS (SELECT id, min(other) AS story FROM reach GROUP BY id)"
+CENTROIDS = "parts AS (SELECT id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM vectors), means AS (SELECT story, dim, avg(CAST(x AS DOUBLE)) AS x FROM parts JOIN st USING (id) GROUP BY 1, 2), cent AS (SELECT story, list(x ORDER BY dim) AS centroid FROM means GROUP BY 1)"
+
+
+@query("WITH RECURSIVE " + STORIES + ", " + CENTROIDS + """, sims AS (SELECT v.id, c.story, list_sum(list_transform(list_zip(v.embedding, c.centroid), x -> CAST(x[1] AS DOUBLE) * x[2])) AS sim FROM vectors v JOIN (SELECT cent.*, topic FROM cent JOIN vectors h ON h.id = cent.story) c USING (topic)),
+best AS (SELECT id, story, sim FROM sims WHERE sim >= 0.2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(sim, 12) DESC, story) = 1) SELECT v.id, b.story, round(b.sim, 4) AS sim FROM vectors v LEFT JOIN best b ON b.id = v.id""")
 def assign_to_stories(m):
+    """All vectors against the centroids of the connected stories."""
     v = m["vectors"]
-    centroids = v.where("id % 10 = 1").select("topic", F.col("id").alias("story"), F.col("embedding").alias("centroid"))
-    return stories.assign_to_stories(v.where("id % 2 = 0"), centroids, 0.2).select("id", "story", F.round("sim", 4).alias("sim"))
+    found = stories.written(stories.story_components(v.select("id"), stories.story_pairs(v, 0.35)))
+    heads = v.select(F.col("id").alias("story"), "topic")
+    centroids = stories.story_centroid(v, found).join(heads.hint("merge"), "story")
+    return stories.assign_to_stories(v, centroids, 0.2).select("id", "story", F.round("sim", 4).alias("sim"))
 
 
 @query("WITH " + BEST + " SELECT cluster_pos, card_id, round(sim, 4) AS sim FROM best WHERE sim >= 0.25")
@@ -540,10 +574,11 @@ def duplicate_candidates(m):
     return stories.duplicate_candidates(*_sides(m), 0.25).select("cluster_pos", "card_id", F.round("sim", 4).alias("sim"))
 
 
-@query("WITH " + BEST + " SELECT id AS cluster_pos FROM vectors WHERE id % 3 = 0 AND id NOT IN (SELECT cluster_pos FROM best WHERE sim >= 0.25 AND cluster_pos % 2 = 0)")
+@query("WITH " + BEST + " SELECT id AS cluster_pos FROM vectors WHERE id % 2 = 0 AND id NOT IN (SELECT cluster_pos FROM best WHERE sim >= 0.25 AND cluster_pos % 3 = 0)")
 def filter_already_covered(m):
+    """A judgement is absent for some candidates, whose clusters stay."""
     clusters, cards = _sides(m)
-    judged = stories.duplicate_candidates(clusters, cards, 0.25).where("cluster_pos % 4 <> 3").select("cluster_pos", "card_id", (F.col("cluster_pos") % 2 == 0).alias("same"))
+    judged = stories.duplicate_candidates(clusters, cards, 0.25).where("cluster_pos % 3 <> 2").select("cluster_pos", "card_id", (F.col("cluster_pos") % 3 == 0).alias("same"))
     return stories.filter_already_covered(clusters, cards, judged, 0.25).select("cluster_pos")
 
 
@@ -721,23 +756,126 @@ def judge_hook(m):
     return stories.map_batches(b, judge, "batch_id string, n long, first_pos long")
 
 
+@query("SELECT pos AS id, round(length(title) / sqrt(length(title) * length(title) + 1), 4) AS x FROM articles")
+def embedder_hook(m):
+    def embed(texts):
+        assert len(texts) <= stories.EMBED_BATCH
+        return [(len(t) / (len(t) ** 2 + 1) ** 0.5, 1 / (len(t) ** 2 + 1) ** 0.5) for t in texts]
+
+    out = stories.embed_with(m["articles"].select(F.col("pos").alias("id"), F.col("title").alias("text")), embed)
+    return out.select("id", F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("x"))
+
+
+@query("WITH " + BEST + " SELECT cluster_pos, card_id, cluster_pos % 10 <> 4 AND cluster_pos % 3 <> 1 AND (cluster_pos + card_id) % 3 = 0 AS same FROM best WHERE sim >= 0.2")
+def same_story_hook(m):
+    """Batch 4 of each topic fails, and some pairs have no answer: both count as another story."""
+
+    def same(pdf):
+        if pdf["batch_id"].iloc[0].endswith("/4"):
+            raise ValueError("a batch that is not answered")
+        pdf = pdf[pdf["cluster_pos"] % 3 != 1]
+        return pdf[["cluster_pos", "card_id"]].assign(same=(pdf["cluster_pos"] + pdf["card_id"]) % 3 == 0)
+
+    c = stories.duplicate_candidates(*_sides(m), 0.2)
+    batch = F.concat_ws("/", "topic", (F.col("cluster_pos") % 10).cast("string")).alias("batch_id")
+    return stories.same_story_with(c.select(batch, "cluster_pos", "card_id"), same)
+
+
+@query("SELECT conv_id AS card_key, length(text) AS n FROM conversations WHERE turn = 0 AND CAST(floor(conv_id / 20.0) AS BIGINT) % 3 <> 1 AND conv_id % 6 <> 0")
+def writer_hook(m):
+    """Every third batch fails, and some cards come back without a summary: both are dropped."""
+
+    def write(pdf):
+        if int(pdf["batch_id"].iloc[0]) % 3 == 1:
+            raise ValueError("a batch that is not written")
+        found = pdf[["card_key"]].assign(title="t", summary=[" " if k % 6 == 0 else f"{len(t)}" for k, t in zip(pdf["card_key"], pdf["source_text"], strict=True)], stop_reason="end_turn")
+        return found.assign(labels=[["a"]] * len(found))[["card_key", "title", "summary", "labels", "stop_reason"]]
+
+    c = m.table("conversations").where("turn = 0")
+    c = c.select(F.floor(F.col("conv_id") / 20).cast("string").alias("batch_id"), F.col("conv_id").alias("card_key"), F.coalesce("text", F.lit("")).alias("source_text"))
+    return stories.written_with(c, write).select("card_key", F.col("summary").cast("bigint").alias("n"))
+
+
 # ---- 2.13 jobs
-@query(f"""WITH f AS (SELECT * FROM articles QUALIFY row_number() OVER (PARTITION BY user_id, url ORDER BY pos) = 1), s AS (SELECT f.*, CASE WHEN c.cursor_s <= {NOW_S} + 300 AND c.cursor_s > {NOW_S} - 172800 THEN c.cursor_s ELSE {NOW_S} - 172800 END AS cut FROM f LEFT JOIN cursors c USING (user_id)),
-j AS (SELECT s.*, coalesce(v.severity, 1) AS severity FROM s JOIN verdicts v ON v.cluster_pos = s.pos AND v.notable WHERE published_s >= cut), k AS (SELECT user_id || '/' || run_id AS digest_id, pos AS id, topic, severity, published_s, row_number() OVER (PARTITION BY user_id, run_id, topic ORDER BY severity DESC, pos) AS slot FROM j QUALIFY slot <= 8),
-t AS (SELECT *, row_number() OVER (PARTITION BY digest_id, topic ORDER BY severity DESC, published_s DESC, id) AS trn FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY digest_id ORDER BY trn, severity DESC, published_s DESC, id) AS rk FROM t)
-SELECT digest_id, id, topic, severity, CAST(slot AS INTEGER) AS slot, CAST(CASE WHEN rk <= 6 THEN rk END AS INTEGER) AS front_page_rank FROM r""")
+NEW_BATCHES = "nums AS (SELECT digest_id, topic, cluster_pos, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY digest_id, topic) AS n FROM kept WINDOW w AS (PARTITION BY digest_id, topic ORDER BY cluster_pos)), bat AS (SELECT *, (n + 19) // 20 AS b FROM nums), batches AS (SELECT cluster_pos, CASE WHEN i < (n % b) * (n // b + 1) THEN i // (n // b + 1) ELSE n % b + (i - (n % b) * (n // b + 1)) // (n // b) END AS batch FROM bat)"
+STANDS = "ga AS (SELECT card_key, text AS t1, stop_reason AS s1 FROM generations WHERE attempt = 1), gb AS (SELECT card_key, text AS t2 FROM generations WHERE attempt = 2), told AS (SELECT card_key FROM ga LEFT JOIN gb USING (card_key) WHERE CASE WHEN trim(t1) = '' THEN FALSE WHEN regexp_matches(trim(t1), '[.!?]$') THEN TRUE WHEN s1 <> 'end_turn' THEN FALSE ELSE regexp_matches(trim(coalesce(t2, '')), '[.!?]$') END)"
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT * FROM articles WHERE pos % 11 <> 5 QUALIFY row_number() OVER (PARTITION BY user_id, url ORDER BY pos) = 1),
+s AS (SELECT f.*, user_id || '/' || run_id AS digest_id, CASE WHEN c.cursor_s <= {NOW_S} + 300 AND c.cursor_s > {NOW_S} - 172800 THEN c.cursor_s ELSE {NOW_S} - 172800 END AS cut FROM f LEFT JOIN cursors c USING (user_id)), fresh AS (SELECT * FROM s WHERE published_s >= cut),
+fv AS (SELECT digest_id, pos AS id, embedding FROM fresh JOIN vectors ON id = pos), hits AS (SELECT a.id AS a, b.id AS b FROM fv a JOIN fv b ON a.digest_id = b.digest_id AND a.id < b.id WHERE {_SIM} >= 0.35), bi AS (SELECT a, b FROM hits UNION ALL SELECT b, a FROM hits),
+reach AS (SELECT pos AS id, pos AS other FROM fresh UNION SELECT r.id, x.b FROM reach r JOIN bi x ON x.a = r.other), st AS (SELECT id, min(other) AS story FROM reach GROUP BY id),
+members AS (SELECT fresh.*, story AS cluster_pos FROM fresh JOIN st ON id = pos), per AS (SELECT cluster_pos, max(published_s) AS published_s, count(*) AS n_sources FROM members GROUP BY 1), cl AS (SELECT digest_id, cluster_pos, topic, per.published_s, n_sources FROM members JOIN per USING (cluster_pos) WHERE pos = cluster_pos),
+ex AS (SELECT user_id || '/' || run_id AS digest_id, -pos - 1 AS id, topic, CAST(1 + pos % 5 AS INTEGER) AS severity, published_s, pos % 6 + 1 AS front_page_rank, published_s + 60 AS created_s, embedding FROM articles LEFT JOIN (SELECT id AS vid, embedding FROM vectors) v ON vid = pos WHERE pos % 11 = 5),
+parts AS (SELECT id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM fv), means AS (SELECT story, dim, avg(CAST(x AS DOUBLE)) AS x FROM parts JOIN st USING (id) GROUP BY 1, 2), cent AS (SELECT story, list(x ORDER BY dim) AS centroid FROM means GROUP BY 1),
+sims AS (SELECT cluster_pos, ex.id AS card_id, list_sum(list_transform(list_zip(centroid, ex.embedding), x -> x[1] * CAST(x[2] AS DOUBLE))) AS sim FROM cl JOIN cent ON story = cluster_pos JOIN ex ON ex.digest_id = cl.digest_id AND ex.topic = cl.topic WHERE ex.embedding IS NOT NULL), best AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY cluster_pos ORDER BY sim DESC, card_id) = 1),
+kept AS (SELECT * FROM cl WHERE cluster_pos NOT IN (SELECT cluster_pos FROM best WHERE sim >= 0.05 AND (cluster_pos - card_id) % 2 = 0)), {NEW_BATCHES}, judged AS (SELECT kept.*, batch, severity FROM kept JOIN batches USING (cluster_pos) JOIN verdicts USING (cluster_pos) WHERE notable),
+slots AS (SELECT *, row_number() OVER (PARTITION BY digest_id, topic ORDER BY severity DESC, cluster_pos) AS slot FROM judged), {STANDS}, new AS (SELECT digest_id, cluster_pos AS id, topic, severity, published_s, batch, slot, n_sources, CASE WHEN n_sources = 1 THEN 'small' ELSE 'large' END AS writer FROM slots JOIN told ON card_key = cluster_pos WHERE slot <= 8),
+shown AS (SELECT digest_id, id, topic, severity, published_s FROM ex UNION ALL SELECT digest_id, id, topic, severity, published_s FROM new), t AS (SELECT *, row_number() OVER (PARTITION BY digest_id, topic ORDER BY severity DESC, published_s DESC, id) AS trn FROM shown), r AS (SELECT digest_id, id, row_number() OVER (PARTITION BY digest_id ORDER BY trn, severity DESC, published_s DESC, id) AS rk FROM t),
+runs AS (SELECT DISTINCT digest_id FROM fresh)
+SELECT ex.digest_id, ex.id, ex.topic, ex.severity, ex.created_s, CASE WHEN runs.digest_id IS NULL THEN ex.front_page_rank WHEN rk <= 6 THEN rk END AS front_page_rank, CAST(NULL AS BIGINT) AS batch, CAST(NULL AS INTEGER) AS slot, CAST(NULL AS INTEGER) AS n_sources, CAST(NULL AS VARCHAR) AS writer FROM ex JOIN r USING (digest_id, id) LEFT JOIN runs ON runs.digest_id = ex.digest_id
+UNION ALL SELECT new.digest_id, new.id, topic, severity, {NOW_S}, CASE WHEN rk <= 6 THEN rk END, batch, CAST(slot AS INTEGER), CAST(n_sources AS INTEGER), writer FROM new JOIN r USING (digest_id, id)""")
 def build_edition(m):
-    out = jobs.build_edition(m["articles"], m["cursors"], m["verdicts"], NOW_S, ["pos"])
-    return out.select("digest_id", "id", "topic", "severity", "slot", "front_page_rank")
+    """Every eleventh article was carded by an earlier run; the others come in."""
+    vectors = m["vectors"].select(F.col("id").alias("pos"), "embedding")
+    a = m["articles"]
+    pos = F.col("pos")
+    cards = a.where("pos % 11 = 5").join(vectors.hint("merge"), "pos", "left")
+    cards = cards.select(F.concat_ws("/", "user_id", "run_id").alias("digest_id"), (-pos - 1).alias("id"), "topic", (1 + pos % 5).cast("int").alias("severity"), "published_s", (pos % 6 + 1).alias("front_page_rank"), (F.col("published_s") + 60).alias("created_s"), "embedding")
+    cards = stories.written(cards)
+    digests = cards.select(F.col("digest_id").alias("id"), F.lit(None).cast("bigint").alias("last_generated_s")).distinct()
+    judge = lambda c: c.select("cluster_pos", "card_id", ((F.col("cluster_pos") - F.col("card_id")) % 2 == 0).alias("same"))
+    out, _ = jobs.build_edition(a.where("pos % 11 <> 5"), m["cursors"], vectors, cards, digests, judge, m["verdicts"], m["generations"], NOW_S, ["pos"], 0.35, 0.05)
+    return out.select("digest_id", "id", "topic", "severity", "created_s", "front_page_rank", "batch", "slot", F.size("sources").alias("n_sources"), "writer").withColumn("n_sources", F.when(F.col("n_sources") > 0, F.col("n_sources")))
 
 
-@query("WITH " + DAY + " SELECT digest_id, id, bookmarked, CAST(place AS INTEGER) AS place, created_s = max(created_s) OVER w AND max(created_s) OVER w <> min(created_s) OVER w AS is_new, CASE WHEN severity = 5 THEN 'hero' WHEN severity >= 3 THEN 'medium' ELSE 'small' END AS tier FROM day WHERE date_s BETWEEN 870000000 AND 890000000 WINDOW w AS (PARTITION BY digest_id)")
-def read_edition(m):
-    out = jobs.read_edition(m["digests"], m["cards"], m["bookmarks"], 870000000, 890000000)
-    return out.select("digest_id", "id", "bookmarked", "place", "is_new", "tier")
+LAYOUT = DAY + ", seen AS (SELECT day.*, created_s = max(created_s) OVER w AND max(created_s) OVER w <> min(created_s) OVER w AS is_new, row_number() OVER (PARTITION BY digest_id, topic ORDER BY severity DESC, published_s DESC, id) AS topic_place FROM day WHERE date_s BETWEEN 870000000 AND 890000000 WINDOW w AS (PARTITION BY digest_id)), front AS (SELECT digest_id, id, row_number() OVER (PARTITION BY digest_id ORDER BY front_page_rank, id) AS front_place FROM cards WHERE front_page_rank IS NOT NULL QUALIFY front_place <= 6)"
 
 
-@query("WITH " + PRICED + " SELECT run_id, CAST(sum(calls) AS BIGINT) AS calls, round(sum(billed_usd), 8) AS billed_usd, round(sum(list_usd), 8) AS list_usd FROM priced GROUP BY run_id")
+@query("WITH " + LAYOUT + """ SELECT 'day' AS part, digest_id AS owner, seen.id, CAST(place AS INTEGER) AS place, bookmarked, is_new, CASE WHEN severity = 5 THEN 'hero' WHEN severity >= 3 THEN 'medium' ELSE 'small' END AS tier, CAST(topic_place AS INTEGER) AS topic_place, CAST(front_place AS INTEGER) AS front_place FROM seen LEFT JOIN front USING (digest_id, id)
+UNION ALL SELECT 'saved', CAST(b.user_id AS VARCHAR), b.card_id, CAST(row_number() OVER (PARTITION BY b.user_id ORDER BY b.created_s DESC, b.card_id) AS INTEGER), NULL, NULL, NULL, NULL, NULL FROM bookmarks b JOIN cards c ON c.id = b.card_id
+UNION ALL SELECT 'history', CAST(user_id AS VARCHAR), date_s, CAST(row_number() OVER (PARTITION BY user_id ORDER BY date_s DESC) AS INTEGER), NULL, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT d.user_id, d.date_s, d.id FROM digests d JOIN cards c ON c.digest_id = d.id WHERE d.date_s < 893980800 AND d.date_s BETWEEN 870000000 AND 890000000)""")
+def read_edition(m):
+    out = jobs.read_edition(m["digests"], m["cards"], m["bookmarks"], TODAY_S, 870000000, 890000000)
+    day = out["day"].select(F.lit("day").alias("part"), F.col("digest_id").alias("owner"), "id", "place", "bookmarked", "is_new", "tier", "topic_place", "front_place")
+    saved = out["saved"].select(F.lit("saved").alias("part"), F.col("user_id").cast("string").alias("owner"), F.col("card_id").alias("id"), "place")
+    history = out["history"].select(F.lit("history").alias("part"), F.col("user_id").cast("string").alias("owner"), F.col("date_s").alias("id"), "place")
+    return day.unionByName(saved, allowMissingColumns=True).unionByName(history, allowMissingColumns=True)
+
+
+@query("WITH " + PRICED + ", " + JUDGED + """, a AS (SELECT run_id, stage, CAST(sum(calls + unmeasured) AS BIGINT) AS n FROM u GROUP BY 1, 2), q AS (SELECT stage, input, row_number() OVER (PARTITION BY stage ORDER BY input) - 1 AS i, count(*) OVER (PARTITION BY stage) AS n FROM usage_calls WHERE measured), runs AS (SELECT run_id, avg(CASE WHEN notable THEN 1.0 ELSE 0.0 END) AS pass_rate, avg(severity) FILTER (WHERE notable) AS mean_severity FROM judged GROUP BY 1), whole AS (SELECT count(DISTINCT run_id) AS runs, sum(list_usd) AS usd FROM priced)
+SELECT 'priced' AS section, CAST(run_id AS VARCHAR) AS key, stage || '/' || model AS metric, round(billed_usd, 6) AS value FROM priced
+UNION ALL SELECT 'totals', coalesce(stage, 'all'), coalesce(model, 'all'), round(sum(list_usd), 6) FROM priced GROUP BY GROUPING SETS ((stage, model), ())
+UNION ALL SELECT 'notices', CAST(run_id AS VARCHAR), model, CASE WHEN bool_or(promo AND billed_usd < list_usd) THEN 1.0 ELSE 0.0 END FROM priced WHERE model = 'large' GROUP BY run_id, model
+UNION ALL SELECT 'findings', CAST(e.run_id AS VARCHAR), e.stage, CAST(coalesce(a.n, 0) - e.expected AS DOUBLE) FROM expected_calls e LEFT JOIN a ON a.run_id = e.run_id AND a.stage = e.stage
+UNION ALL SELECT 'tokens', stage, 'median', CAST(max(input) FILTER (WHERE i = CAST(floor(n * 0.5) AS BIGINT)) AS DOUBLE) FROM q GROUP BY stage
+UNION ALL SELECT 'verdicts', run_id, topic, CAST(count(*) FILTER (WHERE notable AND severity >= 3) AS DOUBLE) FROM judged GROUP BY run_id, topic
+UNION ALL SELECT 'acceptance', run_id, 'pass_rate', CASE WHEN coalesce(pass_rate BETWEEN 0.2 AND 0.31, FALSE) THEN 1.0 ELSE 0.0 END FROM runs
+UNION ALL SELECT 'acceptance', run_id, 'mean_severity', CASE WHEN coalesce(mean_severity BETWEEN 2.0 AND 3.0, FALSE) THEN 1.0 ELSE 0.0 END FROM runs
+UNION ALL SELECT 'projection', stage, 'monthly_usd', round(sum(list_usd) / max(whole.runs) * 3000, 3) FROM priced, whole GROUP BY stage
+UNION ALL SELECT 'single_source', topic, 'share', round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6) FROM (SELECT topic, cluster_pos, count(*) AS n FROM cluster_articles GROUP BY 1, 2) GROUP BY topic""")
 def cost_report(m):
-    p = _priced(m)
-    return p.groupBy("run_id").agg(F.sum("calls").alias("calls"), F.round(F.sum("billed_usd"), 8).alias("billed_usd"), F.round(F.sum("list_usd"), 8).alias("list_usd"))
+    """The calls as they come from the capture log, and every section of the report as (section, key, metric, value)."""
+    c = F.col
+    told = F.format_string("[usage] %s %s in=%d out=%d cache_r=%d cache_w=%d $0.001", c("stage"), c("model"), c("input"), c("output"), c("cache_read"), c("cache_write"))
+    none = F.format_string("[usage] %s %s no usage reported", c("stage"), c("model"))
+    calls = logs.parse_usage_log(m["usage_calls"].select("at_s", "run_id", F.when(c("measured"), told).otherwise(none).alias("value")))
+    bands = m.spark.createDataFrame([("pass_rate", 0.2, 0.31), ("mean_severity", 2.0, 3.0)], "metric string, low double, high double")
+    out = jobs.cost_report(calls, m["expected_calls"], _judged(m), m["cluster_articles"], bands, dims.dim_price(m.spark), dims.dim_promo(m.spark), 100, 30)
+    keyed = {
+        "priced": ("run_id", F.concat_ws("/", "stage", "model"), F.round("billed_usd", 6)),
+        "totals": (F.coalesce("stage", F.lit("all")), F.coalesce("model", F.lit("all")), F.round("list_usd", 6)),
+        "notices": ("run_id", "model", c("applied").cast("int")),
+        "findings": ("run_id", "stage", "gap"),
+        "tokens": ("stage", F.lit("median"), "median"),
+        "verdicts": ("run_id", "topic", "severe"),
+        "acceptance": ("run_id", "metric", c("passed").cast("int")),
+        "projection": ("stage", F.lit("monthly_usd"), F.round("monthly_usd", 3)),
+        "single_source": ("topic", F.lit("share"), F.round("share", 6)),
+    }
+    column = lambda x: F.col(x) if isinstance(x, str) else x
+    parts = [out[name].select(F.lit(name).alias("section"), column(k).cast("string").alias("key"), column(metric).alias("metric"), column(v).cast("double").alias("value")) for name, (k, metric, v) in keyed.items()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole

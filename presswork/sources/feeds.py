@@ -21,17 +21,58 @@ def _article(title: Column, url: Column, snippet: Column, published: Column, now
     ]
 
 
+def _records(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """(file, good, record, r) of every element of that tag in the files beneath path.
+
+    Files are cut where an element opens and each is parsed by itself: the XML source stops at the first element of a
+    file that it cannot parse. An element that never closes, such as one cut off at the end of a file, is bad.
+    """
+    x = spark.read.option("lineSep", f"<{tag}").text(path).select(F.input_file_name().alias("file"), "value")
+    x = x.where(F.col("value").rlike(r"^[\s/>]"))  # not what stands before the first element, nor longer names
+    closed = F.regexp_extract("value", f"(?s)^.*?</{tag}>", 0)
+    x = x.withColumn("closed", closed).withColumn("item", F.concat(F.lit(f"<{tag}"), F.when(F.col("closed") == "", F.col("value")).otherwise(F.col("closed"))))
+    parsed = F.from_xml("item", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    x = x.withColumn("r", F.when(F.col("closed") != "", parsed))
+    good = F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()
+    return x.select("file", good.alias("good"), F.when(~good, F.col("item")).alias("record"), F.when(good, F.col("r")).alias("r"))
+
+
+def rss_records(spark: SparkSession, path: str, now_s: int) -> DataFrame:
+    """Every item of all RSS files beneath path with the file it came from; good is false for one that cannot be parsed,
+    whose text is in record. One bad item does not hold up the others."""
+    of = _article(F.col("r.title"), F.col("r.link"), F.coalesce("r.description", "r.content"), F.coalesce("r.isoDate", "r.pubDate"), now_s)
+    return _records(spark, path, "item", RSS).select("file", "good", "record", *of)
+
+
 def read_rss(spark: SparkSession, path: str, now_s: int) -> DataFrame:
-    """The items of all RSS files beneath path, with the file each came from."""
-    x = spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE").schema(RSS).load(path)
-    x = x.withColumn("file", F.input_file_name()).where("_corrupt_record is null")
-    return x.select("file", *_article(F.col("title"), F.col("link"), F.coalesce("description", "content"), F.coalesce("isoDate", "pubDate"), now_s))
+    """The items that could be read."""
+    return rss_records(spark, path, now_s).where("good").drop("good", "record")
+
+
+def atom_records(spark: SparkSession, path: str, now_s: int) -> DataFrame:
+    """As rss_records, for Atom entries."""
+    of = _article(F.col("r.title"), F.col("r.link._href"), F.coalesce("r.summary", "r.content"), F.coalesce("r.published", "r.updated"), now_s)
+    return _records(spark, path, "entry", ATOM).select("file", "good", "record", *of)
 
 
 def read_atom(spark: SparkSession, path: str, now_s: int) -> DataFrame:
-    x = spark.read.format("xml").option("rowTag", "entry").option("mode", "PERMISSIVE").schema(ATOM).load(path)
-    x = x.withColumn("file", F.input_file_name()).where("_corrupt_record is null")
-    return x.select("file", *_article(F.col("title"), F.col("link._href"), F.coalesce("summary", "content"), F.coalesce("published", "updated"), now_s))
+    return atom_records(spark, path, now_s).where("good").drop("good", "record")
+
+
+def link_of(url: Column, record: Column) -> Column:
+    """The link of an item, from its text where it could not be parsed."""
+    return F.when(record.isNull(), url).otherwise(F.regexp_extract(record, r"<link>\s*([^<]*?)\s*</link>", 1))
+
+
+def rss_item(title: Column, link: Column, description: Column) -> Column:
+    """One RSS item as a line of text, without line breaks."""
+
+    def escaped(c: Column) -> Column:
+        for what, by in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "&#10;"), ("\r", "&#13;")):
+            c = F.replace(c, F.lit(what), F.lit(by))
+        return c
+
+    return F.concat(F.lit("<item><title>"), escaped(title), F.lit("</title><link>"), escaped(link), F.lit("</link><description>"), escaped(description), F.lit("</description></item>"))
 
 
 def with_feed(items: DataFrame, dim_feed: DataFrame) -> DataFrame:

@@ -185,3 +185,47 @@ def test_snippets_hold_the_rest_of_the_text(spark, tmp_path):
     for view in ("articles", "cluster_articles"):
         got = {r["pos"]: r["title"] + r["snippet"] for r in Model(spark, str(tmp_path))[view].collect()}
         assert got == {0: text, 1: ""}
+
+
+# ---- skew
+def test_components_of_chains_stars_and_hot_nodes(spark):
+    from presswork.operators.skew import star_components
+
+    links = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(70)] + [(500, 501), (501, 500), (7, 7), (900, 900)]
+    got = {r["id"]: r["component"] for r in star_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(60)}, **{100 + i: 100 for i in range(71)}, 500: 500, 501: 500}
+    assert star_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_block_product_makes_every_pair_once(spark):
+    from presswork.operators.skew import block_product
+
+    left = spark.createDataFrame([("hot", i) for i in range(50)] + [("cold", 99)], "block string, a long")
+    right = spark.createDataFrame([("hot", i) for i in range(20)] + [("other", 7)], "block string, b long")
+    got = [(r["a"], r["b"]) for r in block_product(left, right, "block", rows=8).collect()]
+    assert sorted(got) == [(a, b) for a in range(50) for b in range(20)]
+
+
+def test_embedder_hook_is_held_to_its_contract(spark):
+    import pytest
+
+    from presswork.operators import stories
+
+    texts = spark.createDataFrame([(i, None if i == 3 else "t" * i) for i in range(130)], "id long, text string")
+    unit = lambda found: [(1.0, 0.0)] * len(found)
+    assert stories.embed_with(texts, unit).count() == 130
+    for bad in (lambda found: [(1.0, 1.0)] * len(found), lambda found: [(1.0, 0.0)], lambda found: 1 / 0):
+        with pytest.raises(Exception):
+            stories.embed_with(texts, bad).count()
+
+
+def test_texts_are_clipped_at_their_own_limits(spark):
+    """Texts far beyond 200 and 1,200 characters reach the limits that the reading side sets."""
+    from pyspark.sql import functions as F
+
+    from presswork.plans.bridge import VIEWS
+
+    assert "substr(coalesce(text, ''), 61)" in VIEWS["articles"] and "substr(coalesce(text, ''), 61)" in VIEWS["cluster_articles"]
+    long = spark.createDataFrame([("x" * 5000,)], "text string").createOrReplaceTempView("documents_long")
+    row = spark.sql("SELECT substr(coalesce(text, ''), 61) AS snippet FROM documents_long").select(F.length("snippet").alias("n")).first()
+    assert long is None and row["n"] == 4940

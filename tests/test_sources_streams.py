@@ -23,6 +23,20 @@ def test_rss_and_atom(spark, tmp_path):
     assert [(r["title"], r["url"], r["snippet"], r["published_s"]) for r in got] == [("D", "https://x/2", "s", 1785499200)]
 
 
+def test_bad_items_do_not_hold_up_others(spark, tmp_path):
+    good = "<item><title>{0}</title><link>https://{0}/1</link><description>d</description></item>"
+    (tmp_path / "feed-1.xml").write_text("<rss><channel>" + good.format("a") + "<item><title>b</title><link>https://b/1</link><description>never ends</item>\n" + good.format("c") + "</channel></rss>")
+    (tmp_path / "feed-2.xml").write_text("<rss><channel><item><title>x</title><link>https://x/1</link>")
+    (tmp_path / "feed-3.xml").write_text("<rss><channel></channel></rss>")
+    x = feeds.rss_records(spark, str(tmp_path), 7)
+    assert sorted((r["good"], r["title"]) for r in x.collect()) == [(False, ""), (False, ""), (True, "a"), (True, "c")]
+    assert sorted(r["title"] for r in feeds.read_rss(spark, str(tmp_path), 7).collect()) == ["a", "c"]
+    failures = feeds.feed_failures(x, F.regexp_extract("file", r"feed-(\d)", 1))
+    assert sorted(tuple(r) for r in failures.collect()) == [("1", 3, 1), ("2", 1, 1)]
+    assert [tuple(r) for r in feeds.dead_feed_report(failures).collect()] == [("2", 1)]
+    assert {r["x"] for r in x.where("not good").select(feeds.link_of(F.col("url"), F.col("record")).alias("x")).collect()} == {"https://b/1", "https://x/1"}
+
+
 def test_logs(spark):
     lines = spark.createDataFrame(
         [
