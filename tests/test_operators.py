@@ -219,13 +219,9 @@ def test_embedder_hook_is_held_to_its_contract(spark):
             stories.embed_with(texts, bad).count()
 
 
-def test_texts_are_clipped_at_their_own_limits(spark):
-    """Texts far beyond 200 and 1,200 characters reach the limits that the reading side sets."""
-    from pyspark.sql import functions as F
+def test_texts_far_beyond_the_limits_are_clipped_there(spark):
+    from presswork.functions import exprs
 
-    from presswork.plans.bridge import VIEWS
-
-    assert "substr(coalesce(text, ''), 61)" in VIEWS["articles"] and "substr(coalesce(text, ''), 61)" in VIEWS["cluster_articles"]
-    long = spark.createDataFrame([("x" * 5000,)], "text string").createOrReplaceTempView("documents_long")
-    row = spark.sql("SELECT substr(coalesce(text, ''), 61) AS snippet FROM documents_long").select(F.length("snippet").alias("n")).first()
-    assert long is None and row["n"] == 4940
+    one = spark.createDataFrame([("t", "x" * 5000)], "title string, snippet string")
+    n = one.select(*(F.length(exprs.clip(F.col("snippet"), k)).alias(f"n{k}") for k in (200, 300, 1200))).first()
+    assert tuple(n) == (200, 300, 1200)
