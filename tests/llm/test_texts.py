@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from presswork.llm import mixing, packed_output, packing, pii, quality, tokens
 
-from .docs import documents, empty, rows
-from .test_dedup import brute_components, brute_exact
+from .docs import CLASHING, documents, empty, rows
+from .test_dedup import shingles
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -478,21 +478,61 @@ def brute_words(text):
 
 
 # ---- the pipeline
-def test_pipeline(spark, tmp_path):
-    """Stages after the model follow from brute force on what each one is given."""
+def brute_pipeline(spark, data, labels):
+    """The pieces that run() gives for rows of docs.CLASHING, stage by stage; fitted models are taken as they are."""
+    from tokenizers import Tokenizer
+
+    docs = spark.createDataFrame(data, CLASHING)
+    model = quality.fit(docs, labels)
+    kept = [r for r in data if not brute_base(r[1] or "")[-1] and quality.score(quality.word_hashes(r[1] or ""), model.ratio) >= model.threshold]
+    groups = collections.defaultdict(list)
+    for r in kept:
+        groups[re.sub(r"[\x20\x09-\x0D]+", "", r[1] or "")].append(r)
+    one_each = [min(g, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0)) for g in groups.values()]
+    sets = [shingles(r[1]) for r in one_each]
+    root = list(range(len(one_each)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    parts = collections.defaultdict(list)
+    for i, r in enumerate(one_each):
+        parts[root[i]].append(r)
+    near = [min(p, key=lambda r: (r[0] is None, r[0] or 0)) for p in parts.values()]
+    members = mixing.with_memberships(spark.createDataFrame(near, CLASHING), mixing.fit_classifier(docs, labels), [F.col("doc_id"), F.col("text")])
+    members = mixing.materialize(members, "members")
+    rated = members.withColumn("copies", mixing.copies_of(mixing.rate_of(mixing.fit_rates(members)))).collect()
+    tokenizer, pieces = Tokenizer.from_file(tokens.vocabulary()), collections.Counter()
+    for r in rated:
+        ids = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        for k, start in enumerate(range(0, len(ids), 2048)):
+            piece = np.array(ids[start : start + 2048], "<u4")
+            pieces[r["doc_id"], k, start, len(piece), zlib.crc32(piece.tobytes())] += r["copies"]
+    return +pieces, near
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """All stages on whole tables with null and repeated doc_ids, repeated rows and names that clash or have dots."""
     import corpus_pipeline as p
 
-    docs = documents(spark)
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(d, 1, 0) for d, *_ in rows()[::2]], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
-    kept = p.quality_rules(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
-    one = [tuple(r) for r in kept.collect()]
-    assert {r[0] for r in one} <= {d for d, t, *_ in rows() if not brute_base(t or "")[-1]}
-    two = [r for r in one if brute_exact(one)[r[0]][2]]
-    assert sorted(r[0] for r in p.exact_copies(spark, kept, str(tmp_path)).collect()) == sorted(r[0] for r in two)
-    three = sorted(d for d, _, c in brute_components(two) if d == c)
-    assert sorted(r["doc_id"] for r in p.near_copies(spark, spark.createDataFrame(two, kept.schema), str(tmp_path)).collect()) == three
+    data = [(*r, "x", 1, True, 1, 2, 3, 4, 5, 0.5, 6, "y", "dot", "h", "w", 7, 8, 9, 10, 11) for r in rows()]
+    fine = [r for r in data if not brute_base(r[1] or "")[-1]]
+    data += [fine[0], fine[0], (None, *fine[1][1:]), (None, *fine[1][1:]), (None, "alone " + " ".join(f"q{i}" for i in range(80)), *fine[1][2:]), (fine[2][0], " ".join(f"u{i}" for i in range(70)), *fine[2][2:])]
+    labels = spark.createDataFrame([(r[0], int(i % 3 > 0), int(i % 7 == 0)) for i, r in enumerate(fine)] + [(None, 1, 1), (987_654, 0, 0)], LABELS)
+    spark.createDataFrame(data, CLASHING).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
     final = p.run(spark, str(tmp_path)).collect()
-    assert {r["doc_id"] for r in final} <= set(three)
+    expected, near = brute_pipeline(spark, data, labels)
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in final) == expected
     check_sequences(final, 2048)
+    assert {r["doc_id"] for r in final} <= {r[0] for r in near} and len(final) > 10
     assert [n for n, _ in p.STAGES] == ["quality rules", "exact dedup", "n-gram Jaccard join", "mixing sources to target weights", "best-fit packing"]
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as p
+
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
