@@ -39,7 +39,7 @@ PERCENT = 80
 #: Parts for each shingle, at least; over 1/4 is needed, the most differences that a set can have.
 PARTS = 0.4
 #: Of classes that meet a centre, or a block of others, in one task: each counts 1, and 1 more for any 2,048 shingles.
-BLOCK = 256
+BLOCK = 128
 WEIGHT_SHINGLES = 2048
 #: Weight that a task of the comparisons takes together, so that their number follows the work.
 TASK = 4 * BLOCK
