@@ -1,6 +1,7 @@
 """Model views over the driver's tables. The same SQL text defines a view for Spark and for the SQL oracles.
 
-EPOCH(x) stands for whole seconds since 1970 of a timestamp. Times are epoch seconds throughout, so both engines agree.
+EPOCH(x) stands for whole seconds since 1970 of a timestamp, EACH[a, b] for a row of each value. Times are epoch seconds
+throughout, so both engines agree.
 """
 
 from __future__ import annotations
@@ -22,11 +23,9 @@ VIEWS = {
     "dim_feed": dims.values_sql(dims.feed_rows(), "topic, source, url, feed_ord"),
     # Customers as users. Each follows five topics and twelve sources, in no particular order; some store an unknown or a
     # repeated topic, or no source.
-    "user_topics": " UNION ALL ".join(
-        [f"SELECT c_custkey AS user_id, topic FROM customer JOIN dim_topic ON ord = (c_custkey * 7 + {3 * k}) % {len(dims.TOPICS)}" for k in range(5)]
-        + ["SELECT c_custkey AS user_id, 'Gardening' AS topic FROM customer WHERE c_custkey % 6 = 0", "SELECT c_custkey AS user_id, 'Tennis' AS topic FROM customer WHERE c_custkey % 4 = 0"]
-    ),
-    "user_sources": " UNION ALL ".join(f"SELECT c_custkey AS user_id, source FROM customer JOIN dim_source ON ord = (c_custkey * 5 + {11 * k}) % {len(dims.SOURCES)} WHERE c_custkey % 50 <> 3" for k in range(12)),
+    "user_topics": f"SELECT user_id, topic FROM (SELECT user_id, (user_id * 7 + k) % {len(dims.TOPICS)} AS ord FROM (SELECT c_custkey AS user_id, EACH[0, 3, 6, 9, 12] AS k FROM customer) c) x JOIN dim_topic USING (ord)"
+    " UNION ALL SELECT c_custkey AS user_id, 'Gardening' AS topic FROM customer WHERE c_custkey % 6 = 0 UNION ALL SELECT c_custkey AS user_id, 'Tennis' AS topic FROM customer WHERE c_custkey % 4 = 0",
+    "user_sources": f"SELECT user_id, source FROM (SELECT user_id, (user_id * 5 + k) % {len(dims.SOURCES)} AS ord FROM (SELECT c_custkey AS user_id, EACH[{', '.join(str(11 * k) for k in range(12))}] AS k FROM customer WHERE c_custkey % 50 <> 3) c) x JOIN dim_source USING (ord)",
     # A thousand articles a user and a run, so both grow with the table. Copies of a text share its url.
     "articles": f"SELECT concat('u', CAST(CAST(floor(doc_id / 5000.0) AS BIGINT) * 5 + doc_id % 5 AS STRING)) AS user_id, concat('r', CAST(CAST(floor(doc_id / 4000.0) AS BIGINT) * 4 + doc_id % 4 AS STRING)) AS run_id, doc_id AS pos, substr(coalesce(text, ''), 1, 60) AS title, substr(coalesce(text, ''), 61) AS snippet, CASE WHEN doc_id % 97 = 0 THEN '' ELSE concat('https://news.example/', md5(coalesce(text, ''))) END AS url, source, lang AS topic, {NOW_S} - (doc_id * 7919 % 259200) AS published_s FROM documents",
     "cursors": f"SELECT DISTINCT user_id, CASE user_id WHEN 'u0' THEN {NOW_S} - 86400 WHEN 'u1' THEN {NOW_S} + 300 WHEN 'u2' THEN {NOW_S} + 301 WHEN 'u3' THEN {NOW_S} - 864000 ELSE CAST(NULL AS BIGINT) END AS cursor_s FROM articles",
@@ -57,8 +56,9 @@ def needed(name: str, found: list[str] | None = None) -> list[str]:
     return found
 
 
-def _with(names: list[str], epoch: str) -> str:
-    parts = [f"{n} AS ({re.sub(r'EPOCH[(]', epoch, VIEWS[n])})" for n in names]
+def _with(names: list[str], epoch: str, each: str) -> str:
+    views = {n: re.sub(r"EACH\[([^]]*)\]", each, re.sub(r"EPOCH[(]", epoch, VIEWS[n])) for n in names}
+    parts = [f"{n} AS ({text})" for n, text in views.items()]
     return f"WITH {', '.join(parts)} " if parts else ""
 
 
@@ -85,12 +85,12 @@ class Model:
         for t in TABLES:
             if re.search(rf"\b{t}\b", text):
                 read(t).createOrReplaceTempView(t)
-        return self.spark.sql(_with(views, "unix_timestamp(") + f"SELECT * FROM {name}")
+        return self.spark.sql(_with(views, "unix_timestamp(", r"explode(array(\1))") + f"SELECT * FROM {name}")
 
 
 def oracle(query: str) -> str:
     """An oracle query over the model views, as one SQL text for DuckDB."""
-    head = _with(needed(query), "EPOCH(")
+    head = _with(needed(query), "EPOCH(", r"unnest([\1])")
     query = re.sub(r"\((\w+), (\w+)\) -> ", r"lambda \1, \2: ", query.strip())
     query = re.sub(r"\b(\w+) -> ", r"lambda \1: ", query)
     recursive = query.upper().startswith("WITH RECURSIVE ")
