@@ -209,6 +209,39 @@ def test_model(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(120))
 
 
+def brute_kept(data, trusted):
+    """The whole verdict in plain Python: n-gram buckets, ratio, threshold and base rules."""
+    mask, spread, prior = 2**64 - 1, 0x9E3779B97F4A7C15, quality.PRIOR
+
+    def buckets(text):
+        h = [xxhash.xxh3_64_intdigest(w.encode()) for w in brute_words(text)]
+        both = h + [((a * spread) & mask) ^ (b >> 7) for a, b in zip(h, h[1:], strict=False)]
+        return collections.Counter((((x * spread) & mask) >> 40) % quality.BUCKETS for x in both)
+
+    each = {d: buckets(t) for d, t in data}
+    raw, target = sum(each.values(), collections.Counter()), sum((each[d] for d in trusted), collections.Counter())
+    scale = target.total() / raw.total()
+
+    def mean(own, less):
+        logs = {b: np.log((target[b] - (n if less else 0) + prior) / (raw[b] * scale + prior)) for b, n in own.items()}
+        return sum(logs[b] * n for b, n in own.items()) / max(1, own.total())
+
+    known = [mean(each[d], True) for d, t in data if d in trusted and len(brute_words(t)) >= quality.LEAST_WORDS]
+    least = np.quantile(known, quality.TRUSTED_SHARE) - quality.MARGIN
+    return {d: not brute_base(t or "")[-1] and mean(each[d], False) >= least for d, t in data}
+
+
+def test_verdict_by_brute_force(spark):
+    rng = np.random.default_rng(12)
+    data = [(i, " ".join(f"{'ab'[int(rng.random() < i / 160)]}{rng.integers(120)}" for _ in range(rng.integers(30, 200)))) for i in range(160)] + [(500, None), (501, "")]
+    trusted = set(range(0, 60, 3))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(d, 1, 0) for d in trusted] + [(100, 1, 1), (150, 0, 0)], LABELS)
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, quality.fit(docs, labels)).collect()}
+    expected = brute_kept(data, trusted)
+    assert got == expected and 20 < sum(expected.values()) < 140
+
+
 def test_quality_edges(spark):
     none = spark.createDataFrame([], LABELS)
     docs = documents(spark, clashing=True)
