@@ -34,7 +34,8 @@ VIEWS = {
     "cluster_articles": "SELECT CAST(floor(doc_id / 3.0) AS BIGINT) AS cluster_pos, doc_id AS pos, lang AS topic, source, substr(coalesce(text, ''), 1, 60) AS title, substr(coalesce(text, ''), 61) AS snippet, concat('https://news.example/', CAST(doc_id AS STRING)) AS url, 1706572800 - (doc_id * 7919 % 86400) - CASE WHEN doc_id % 2 = 0 THEN (doc_id * 7919 % 3) ELSE 0 END AS published_s FROM documents",
     "verdicts": "SELECT doc_id AS cluster_pos, quality = 1 AS notable, CAST(1 + doc_id % 5 AS INT) AS severity FROM labels",
     "vectors": "SELECT vec_id AS id, concat('t', CAST(label AS STRING)) AS topic, embedding FROM embeddings",
-    "cards": "SELECT o.o_orderkey AS id, c.c_nationkey AS user_id, EPOCH(date_trunc('month', o.o_orderdate)) AS date_s, concat(CAST(c.c_nationkey AS STRING), '-', CAST(EPOCH(date_trunc('month', o.o_orderdate)) AS STRING)) AS digest_id, o.o_orderstatus AS topic, 6 - CAST(substr(o.o_orderpriority, 1, 1) AS INT) AS severity, EPOCH(o.o_orderdate) AS published_s, EPOCH(date_trunc('month', o.o_orderdate)) + 2678400 + o.o_orderkey % 3 * 3600 AS created_s, CASE WHEN o.o_orderkey % 3 = 0 THEN CAST(floor(o.o_orderkey / 3.0) AS BIGINT) % 6 + 1 ELSE CAST(NULL AS BIGINT) END AS front_page_rank, CASE WHEN o.o_orderkey % 13 = 0 THEN CAST(NULL AS STRING) ELSE concat('Order ', CAST(o.o_orderkey AS STRING)) END AS title, CASE WHEN o.o_orderkey % 4 = 0 THEN CAST(NULL AS STRING) ELSE concat('report ', CAST(o.o_orderkey AS STRING)) END AS expanded_report, concat(' ', o.o_orderpriority, ' |', o.o_orderstatus, '| ') AS labels_text FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey",
+    # Sixty customers' orders make a reader's cards, and a month of them a digest, so both grow with the table.
+    "cards": "SELECT o.o_orderkey AS id, CAST(floor(o.o_custkey / 60.0) AS BIGINT) AS user_id, EPOCH(date_trunc('month', o.o_orderdate)) AS date_s, concat(CAST(CAST(floor(o.o_custkey / 60.0) AS BIGINT) AS STRING), '-', CAST(EPOCH(date_trunc('month', o.o_orderdate)) AS STRING)) AS digest_id, o.o_orderstatus AS topic, 6 - CAST(substr(o.o_orderpriority, 1, 1) AS INT) AS severity, EPOCH(o.o_orderdate) AS published_s, EPOCH(date_trunc('month', o.o_orderdate)) + 2678400 + o.o_orderkey % 3 * 3600 AS created_s, CASE WHEN o.o_orderkey % 3 = 0 THEN CAST(floor(o.o_orderkey / 3.0) AS BIGINT) % 6 + 1 ELSE CAST(NULL AS BIGINT) END AS front_page_rank, CASE WHEN o.o_orderkey % 13 = 0 THEN CAST(NULL AS STRING) ELSE concat('Order ', CAST(o.o_orderkey AS STRING)) END AS title, CASE WHEN o.o_orderkey % 4 = 0 THEN CAST(NULL AS STRING) ELSE concat('report ', CAST(o.o_orderkey AS STRING)) END AS expanded_report, concat(' ', o.o_orderpriority, ' |', o.o_orderstatus, '| ') AS labels_text FROM orders o",
     "digests": "SELECT digest_id AS id, user_id, date_s, CASE WHEN max(id) % 5 = 0 THEN CAST(NULL AS BIGINT) ELSE max(published_s) END AS last_generated_s, max(id) % 3 = 0 AS generating, max(published_s) - max(id) % 240 AS started_s FROM cards GROUP BY digest_id, user_id, date_s UNION ALL SELECT concat(CAST(n_nationkey AS STRING), '-empty') AS id, n_nationkey AS user_id, 1704067200 AS date_s, CASE WHEN n_nationkey % 2 = 0 THEN 4102444800 ELSE CAST(NULL AS BIGINT) END AS last_generated_s, FALSE AS generating, CAST(NULL AS BIGINT) AS started_s FROM nation",
     "bookmarks": "SELECT user_id, id AS card_id, published_s + id % 86400 AS created_s FROM cards WHERE id % 7 = 0 UNION ALL SELECT n_nationkey AS user_id, -1 AS card_id, 0 AS created_s FROM nation",
     "card_sources": "SELECT l_orderkey AS card_id, l_linenumber AS pos, l_partkey AS part, l_returnflag AS source FROM lineitem",

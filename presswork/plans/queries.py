@@ -604,7 +604,7 @@ def persist_run(m):
     return tables.persist_run(c, m["digests"], new, updates, "7-880934400", 899999999)[0]
 
 
-@query("SELECT user_id, date_s, FALSE AS opened FROM digests UNION ALL SELECT n_nationkey, 1893456000, TRUE FROM nation")
+@query("SELECT user_id, date_s, FALSE AS opened FROM digests UNION ALL SELECT DISTINCT user_id, 1893456000, TRUE FROM digests")
 def open_digest(m):
     d = m["digests"]
     wanted = d.select("user_id", F.lit(1893456000).cast("bigint").alias("date_s")).unionByName(d.select("user_id", "date_s"))
@@ -620,7 +620,7 @@ def stamp_run(m):
 def add_bookmarks(m):
     c = m["cards"]
     wanted = c.where("id % 5 = 0").select("user_id", F.col("id").alias("card_id"), F.lit(5).cast("bigint").alias("created_s"))
-    stolen = wanted.withColumn("user_id", (F.col("user_id") + 1) % 25)
+    stolen = wanted.withColumn("user_id", F.col("user_id") + 1)
     return tables.add_bookmarks(m["bookmarks"], wanted.unionByName(stolen), c)
 
 
