@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from .common import WHITE, field, materialize, row_struct, text_or_empty
 
 DOMAINS = ("good", "junk", "toxic")
-#: Share of the mixed tokens that each domain is to have. Memberships are soft, so even a set without any toxic text
-#: expects a little of it.
-TARGETS = {"good": 0.985, "junk": 0.01, "toxic": 0.005}
+#: Share of the mixed tokens that each domain is to have, were domains known for certain; see soft_targets.
+TARGETS = {"good": 0.99, "junk": 0.01, "toxic": 0.0}
 #: A row goes into the mix at most so many times.
 MOST_RATE = 2.0
 #: The classifier is fitted on at most so many labelled documents, those of the lowest hashes of doc_id.
@@ -77,6 +76,14 @@ class Model:
     bias: np.ndarray  # [domain]
     slots: np.ndarray  # [bucket], 0: no weight
     weights: np.ndarray  # [domain, slot], slot 0 unused
+    confusion: np.ndarray  # [domain, domain]: the mean posteriors of the labelled tokens of a domain
+
+    def soft_targets(self, targets: dict[str, float] | None = None) -> dict[str, float]:
+        """The posteriors that a mix with these shares of certain domains is expected to have. Memberships are soft: a
+        set without any toxic text still expects a little of it, and rates that force this to 0 would take away good
+        texts of which the classifier is merely unsure."""
+        share = np.array([(TARGETS if targets is None else targets)[d] for d in DOMAINS])
+        return dict(zip(DOMAINS, (share @ self.confusion).tolist(), strict=True))
 
 
 def telling_buckets(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -149,14 +156,14 @@ def posteriors(odds: list[Column]) -> list[Column]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
-    """Written: doc_id, domain, held (a fifth of the rows), buckets. Of several labels of a doc_id the toxic one and the
+    """Written: doc_id, domain, held (a fifth of the rows), tokens, buckets. Of several labels of a doc_id the toxic one and the
     low quality count."""
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     known = materialize(known.select("doc_id", domain_of(known).alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labelled")
     own = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     x = with_buckets(own, [F.col("doc_id"), F.col("domain")])
     held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)) == 0
-    return materialize(x.select("doc_id", "domain", held.alias("held"), F.array_distinct(buckets_of()).alias("buckets")), "labelled-buckets")
+    return materialize(x.select("doc_id", "domain", held.alias("held"), "tokens", F.array_distinct(buckets_of()).alias("buckets")), "labelled-buckets")
 
 
 def fit_known(known: DataFrame) -> Model:
@@ -167,12 +174,20 @@ def fit_known(known: DataFrame) -> Model:
     for at, *n in known.select("domain", F.explode("buckets").alias("at")).groupBy("at").agg(*part).collect():
         counts[:, at] = n
     slots = telling_buckets(counts, np.array(known.agg(*part).first(), float))
-    model = Model(np.zeros(len(DOMAINS)), slots, np.zeros((len(DOMAINS), slots.max() + 1)))
-    found = known.select("domain", hits_of(F.col("buckets"), model).alias("hits")).collect()
+    model = Model(np.zeros(len(DOMAINS)), slots, np.zeros((len(DOMAINS), slots.max() + 1)), np.eye(len(DOMAINS)))
+    found = known.select("domain", "tokens", hits_of(F.col("buckets"), model).alias("hits")).collect()
     x = np.zeros((len(found), slots.max() + 1), bool)
     for i, r in enumerate(found):
         x[i, r["hits"]] = True
-    bias, weights = regression(x[:, 1:], np.array([DOMAINS.index(r["domain"]) for r in found], int))
+    y = np.array([DOMAINS.index(r["domain"]) for r in found], int)
+    bias, weights = regression(x[:, 1:], y)
+    z = x[:, 1:] @ weights + bias
+    p = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
+    p = p / p.sum(1, keepdims=True)
+    tokens = np.array([r["tokens"] for r in found], float)
+    for d in range(len(DOMAINS)):  # a domain without labelled tokens is taken as certain
+        if tokens[y == d].sum():
+            model.confusion[d] = tokens[y == d] @ p[y == d] / tokens[y == d].sum()
     model.bias = (bias - bias[0]).astype(float)
     model.weights[:, 1:] = (weights - weights[:, :1]).T
     return model
@@ -221,7 +236,7 @@ def rate_of(steps: list[list[float]], most_rate: float = MOST_RATE, ahead: bool
     return F.aggregate(moves, start, step)["y" if ahead else "r"]
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, ridge: float = RIDGE, most_rate: float = MOST_RATE) -> list[list[float]]:
+def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | None = None, ridge: float = RIDGE, most_rate: float = MOST_RATE) -> list[list[float]]:
     """The projected gradient steps towards expected tokens of targets x budget; see the module's docstring for the
     objective. A step is (momentum, share of the rate that stays, one number a domain): every row moves its rate by its
     posteriors times these numbers, and is cut to 0 and most_rate.
@@ -232,7 +247,6 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, budge
     scarce for most_rate) are met as nearly as least squares can. Each round is one aggregation over the written
     table; only sums by domain reach the driver.
     """
-    targets = TARGETS if targets is None else targets
     share = np.array([targets[d] for d in DOMAINS])
     k, p = len(DOMAINS), [F.col(f"p_{d}") for d in DOMAINS]
     tokens = F.col("tokens").cast("double")
@@ -264,15 +278,17 @@ def copies_of(rate: Column) -> Column:
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most_rate: float = MOST_RATE) -> DataFrame:
-    """One row per row of docs: doc_id, tokens, p_good, p_junk, p_toxic, rate, copies.
+    """One row per row of docs: doc_id, tokens, p_good, p_junk, p_toxic, rate, copies. targets are shares of domains known
+    for certain.
 
     copies, at most most_rate rounded up, is how often the row goes into the mix. Null and empty texts have no tokens
     and do not bear on the totals; their posteriors are those of a text without features. Repeated rows count each,
     and have equal rates; a null doc_id is as any other; labels of unknown or null doc_ids are not used. An empty table
     gives an empty one; without labels all domains are equally likely. Other columns are not read.
     """
-    members = materialize(with_memberships(docs, fit_classifier(docs, labels), [F.col("doc_id")]), "members")
-    rate = rate_of(fit_rates(members, targets, most_rate=most_rate), most_rate=most_rate)
+    model = fit_classifier(docs, labels)
+    members = materialize(with_memberships(docs, model, [F.col("doc_id")]), "members")
+    rate = rate_of(fit_rates(members, model.soft_targets(targets), most_rate=most_rate), most_rate=most_rate)
     return members.select("*", rate.alias("rate")).withColumn("copies", copies_of(F.col("rate")))
 
 
@@ -285,7 +301,7 @@ def mixed(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None =
     """
     model = fit_classifier(docs if labelled_docs is None else labelled_docs, labels)
     members = materialize(with_memberships(docs, model, [F.col("doc_id"), row_struct(docs).alias("row")]), "members")
-    rate = rate_of(fit_rates(members, targets, most_rate=most_rate), most_rate=most_rate)
+    rate = rate_of(fit_rates(members, model.soft_targets(targets), most_rate=most_rate), most_rate=most_rate)
     rows = members.withColumn("copies", copies_of(rate)).where("copies > 0")
     rows = rows.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row"))
     return rows.select(*(field("row", c) for c in docs.columns))
