@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, table
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .line_dedup import line_dedup
@@ -72,6 +73,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,10 +85,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_url_filter, op3_pii, op4_exact_dedup, op5_best_fit_packing, op6_quality_rules, op7_packed_output, op8_mixing, op9_warc, op10_jaccard_join, pipeline)
+    for f in (op1_line_dedup, op2_url_filter, op3_pii, op4_exact_dedup, op5_best_fit_packing, op6_quality_rules, op7_packed_output, op8_mixing, op9_warc, op10_jaccard_join, op13_decontaminate, pipeline)
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _RULES = (("example.org", "/es/", "example.org/es/", "block"), ("example.org", "/en/1", "example.org/en/1", "block"), ("com", "/fr/", "com/fr/", "allow"), ("com", "/de/", "com/de/", "block"), ("org", "/", "org/", "allow"))
 
 
@@ -195,5 +201,28 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id,
        CASE WHEN n.n IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY n.class) END AS class_size
 FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op13_decontaminate": rf"""
+WITH i AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_WORD}') AS ws FROM benchmark
+), v AS (
+  SELECT DISTINCT item, least(10, len(ws)) AS n, array_to_string(ws[s:s + least(10, len(ws)) - 1], ' ') AS win
+  FROM (SELECT item, ws, unnest(range(1, greatest(1, CAST(len(ws) AS BIGINT) - 9) + 1)) AS s FROM i WHERE len(ws) > 0)
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_WORD}') AS ws FROM documents
+), p AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS s FROM d
+), o AS (
+  SELECT doc_id, s, n, array_to_string(ws[s:s + n - 1], ' ') AS win FROM p, (SELECT DISTINCT n FROM v) WHERE s + n - 1 <= len(ws)
+), f AS (
+  SELECT o.doc_id, o.s, o.n, v.item FROM o JOIN v USING (n, win)
+), h AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS k FROM f) GROUP BY doc_id
+), g AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS x FROM (SELECT DISTINCT doc_id, item FROM f) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(x, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)
 """,
 }
