@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, table
+from .conversations import damaged, repair
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
@@ -17,6 +18,7 @@ from .packed_output import written_sequences
 from .packing import pack
 from .pii import find_pii
 from .quality import fit, judge
+from .ranked_search import search
 from .url_filter import url_verdicts
 from .warc import archive_round_trip
 
@@ -73,6 +75,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    rows = table(spark, sf_dir, "conversations")
+    return repair(damaged(rows), rows.select("conv_id"), digest=True)
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,11 +98,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_url_filter, op3_pii, op4_exact_dedup, op5_best_fit_packing, op6_quality_rules, op7_packed_output, op8_mixing, op9_warc, op10_jaccard_join, op13_decontaminate, pipeline)
+    for f in (op1_line_dedup, op2_url_filter, op3_pii, op4_exact_dedup, op5_best_fit_packing, op6_quality_rules, op7_packed_output, op8_mixing, op9_warc, op10_jaccard_join, op11_ranked_search, op12_conversation_repair, op13_decontaminate, pipeline)
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _RULES = (("example.org", "/es/", "example.org/es/", "block"), ("example.org", "/en/1", "example.org/en/1", "block"), ("com", "/fr/", "com/fr/", "allow"), ("com", "/de/", "com/de/", "block"), ("org", "/", "org/", "allow"))
 
 
@@ -107,6 +121,28 @@ def _path_sql(url: str) -> str:
     return f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
 
 
+
+
+def _crc32_sql(ascii_text: str) -> str:
+    bits = "list_reduce(range(8), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(a, b))"
+    return f"xor(list_reduce(list_transform(string_split({ascii_text}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: {bits}, 4294967295), 4294967295)"
+
+
+def _put(x: str, edit: str, cost: int | str) -> str:
+    """An audit behind its cost in ten digits, with one more edit before it; text order is then that of the contract."""
+    return f"(printf('%010d', CAST(substr({x}, 1, 10) AS BIGINT) + {cost}) || '{edit}' || substr({x}, 11))"
+
+
+def _edit_sql() -> str:
+    """The best audits b0 to b3 of the four states before a row, given n0 to n3 after it."""
+    keep = ("WHEN 's' THEN 1 WHEN 'u' THEN 2", "WHEN 'u' THEN 2", "WHEN 'a' THEN 3", "WHEN 'u' THEN 2")
+    out = []
+    for q, to in enumerate((2, 2, 3, 2)):
+        kept = " ".join(f"WHEN '{c}' THEN {_put(f'n{t}', 'K', 'more')}" for c, t in zip(keep[q].split("'")[1::2], keep[q].split(" THEN ")[1:], strict=True) for t in [t[0]])
+        out.append(f"CASE WHEN gone THEN {_put(f'n{q}', 'D', 3)} ELSE least({_put(f'n{q}', 'D', 3)}, {_put(f'n{to}', 'R', '2 + more')}, CASE initial {kept} ELSE 'x' END) END AS b{q}")
+    return ", ".join(out)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": rf"""
 WITH l AS (
@@ -201,6 +237,67 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id,
        CASE WHEN n.n IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY n.class) END AS class_size
 FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op11_ranked_search": rf"""
+WITH t AS (
+  SELECT doc_id, term, count(*) AS tf FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_TERM}')) AS term FROM documents) GROUP BY 1, 2
+), d AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY 1
+), s AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM d
+), f AS (
+  SELECT term, CAST(floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_TERM}')) AS term FROM benchmark
+), x AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN t USING (term) JOIN d USING (doc_id), s GROUP BY 1, 2
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM x WHERE score > 0 QUALIFY rank <= 50
+""",
+    "op12_conversation_repair": rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM k WHERE k <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM d
+), f AS (
+  SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prior, solid = '' AS blank,
+         solid <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate FROM o
+), g AS (
+  SELECT *, blank OR duplicate AS gone, CASE WHEN NOT (blank OR duplicate) AND right(solid, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS more FROM f
+), v AS (
+  SELECT conv_id, max(i) + 1 AS i, '0000000000' AS n0, '0000000004II' AS n1, '0000000002I' AS n2, '0000000000' AS n3 FROM g GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, least(b0, {_put("least(b2, " + _put("b3", "I", 2) + ")", "I", 2)}), least(b1, {_put("least(b2, " + _put("b3", "I", 2) + ")", "I", 2)}),
+         least(b2, {_put("b3", "I", 2)}), least(b3, {_put("b2", "I", 2)})
+  FROM (SELECT v.conv_id, g.i, {_edit_sql()} FROM v JOIN g ON g.conv_id IS NOT DISTINCT FROM v.conv_id AND g.i = v.i - 1)
+), a AS (
+  SELECT conv_id, CAST(substr(n0, 1, 10) AS BIGINT) AS cost, substr(n0, 11) AS audit FROM v WHERE i = 1
+), e AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS at_edit FROM a WHERE audit <> ''
+), p AS (
+  SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER w AS i, count(*) FILTER (WHERE edit <> 'D') OVER w - 1 AS place FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY at_edit)
+), q AS (
+  SELECT p.*, g.role, g.text, coalesce(max(CASE WHEN edit = 'K' AND place = 0 AND g.initial = 's' THEN 1 END) OVER (PARTITION BY p.conv_id), 0) AS system
+  FROM p LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM p.conv_id AND g.i = p.i AND p.edit <> 'I' WHERE edit <> 'D'
+), r AS (
+  SELECT conv_id, sha256(string_agg((CASE WHEN edit = 'K' THEN role WHEN (place - system) % 2 = 0 THEN 'user' ELSE 'assistant' END) || ':' || coalesce(text, ''), chr(10) ORDER BY place)) AS x FROM q GROUP BY conv_id
+), c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+         count(*) FILTER (WHERE more = 1) AS truncated, count(*) FILTER (WHERE i > 1 AND prior || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id
+)
+SELECT t.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(x, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) t LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM t.conv_id
+LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM t.conv_id
 """,
     "op13_decontaminate": rf"""
 WITH i AS (
