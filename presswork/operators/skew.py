@@ -5,14 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with at least 1 / HOT of the rows is hot, so there are at most HOT of them to broadcast.
 HOT = 1000
-#: Rows of a block that meet one part of the other side.
-PART_ROWS = 4096
 _FOLDERS: dict[str, str] = {}
 
 
@@ -26,6 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _FOLDERS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
 
 
+def package_on_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this package; on a cluster it is installed, or sent with --py-files."""
+    if spark.sparkContext.master.startswith("local"):
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut and its size known."""
     path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
@@ -75,16 +80,3 @@ def star_components(links: DataFrame, rounds: int = 200) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return links.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(links.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
-
-
-def block_product(left: DataFrame, right: DataFrame, block: str, rows: int = PART_ROWS) -> DataFrame:
-    """All pairs of rows of the same block; other columns of the two must differ in name.
-
-    A block of more than rows rows on the left is dealt into parts, each of which meets a copy of the right rows, so a
-    block with a large share of all rows is worked by many tasks. Every pair that a threshold may ask for is made once.
-    """
-    parts = left.groupBy(block).agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
-    parts = written(parts)
-    salted = left.join(parts.hint("merge"), block).withColumn("part", F.pmod(F.xxhash64(*(c for c in left.columns if c != block)), F.col("parts")).cast("int")).drop("parts")
-    copied = right.join(parts.hint("merge"), block).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return salted.join(copied.hint("merge"), [block, "part"]).drop("part")

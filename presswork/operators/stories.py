@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.exprs import cosine
-from .skew import block_product, shared_folder, star_components, written
+from .skew import shared_folder, star_components, written
+from .vectors import banded_pairs, best_matches, exact_pairs
 
 ATTACH, ASK = 0.65, 0.5
 
@@ -48,12 +48,12 @@ def greedy_stories(articles: DataFrame, attach: float = ATTACH) -> DataFrame:
     return x.groupBy("run_id").applyInPandas(of_run, f"run_id {kind}, pos long, story long, story_topic string")
 
 
-def story_pairs(vectors: DataFrame, least: float, block: str = "topic") -> DataFrame:
-    """All pairs of a block with at least that similarity, exactly; a large block is spread over many tasks."""
-    a = vectors.select(F.col(block).alias("block"), F.col("id").alias("a"), F.col("embedding").alias("u"))
-    b = vectors.select(F.col(block).alias("block"), F.col("id").alias("b"), F.col("embedding").alias("v"))
-    x = block_product(a, b, "block").where("a < b").withColumn("sim", cosine(F.col("u"), F.col("v")))
-    return x.where(F.col("sim") >= least).select("a", "b", "sim")
+def story_pairs(vectors: DataFrame, least: float, block: str = "topic", recall: float | None = None) -> DataFrame:
+    """(a, b, sim) of all pairs of a block with at least that similarity: every one, or with recall about that share of
+    those right at the threshold, and more of the others, for blocks whose rows are too many to compare them all."""
+    if recall is None:
+        return exact_pairs(vectors, least, block)
+    return banded_pairs(vectors, least, block, recall)
 
 
 def story_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -72,25 +72,25 @@ def story_centroid(vectors: DataFrame, stories: DataFrame) -> DataFrame:
 
 
 def assign_to_stories(articles: DataFrame, centroids: DataFrame, least: float = ATTACH, block: str = "topic") -> DataFrame:
-    """The best story of each article's block if it is similar enough, the smallest story of equals; others have null."""
-    a = articles.select("id", block, "embedding")
-    x = block_product(a, centroids.select(block, "story", "centroid"), block)
-    x = x.withColumn("sim", cosine(F.col("embedding"), F.col("centroid"))).where(F.col("sim") >= least)
-    best = x.groupBy("id").agg(F.max_by(F.struct("story", "sim"), F.struct("sim", -F.col("story"))).alias("s"))
-    return a.select("id", block).join(best.hint("merge"), "id", "left").select("id", block, F.col("s.story").alias("story"), F.col("s.sim").alias("sim"))
+    """The best story of each article's block if it is similar enough, the smallest story of equals; others have null.
+    story_state.advance makes stories of those."""
+    best = best_matches(articles.select("id", block, F.col("embedding").alias("vector")), centroids.select(F.col("story").alias("id"), block, F.col("centroid").alias("vector")), block, least)
+    best = best.select("id", F.col("other").alias("story"), "sim")
+    return articles.select("id", block).join(best.hint("merge"), "id", "left").select("id", block, "story", "sim")
 
 
-def best_existing_card(clusters: DataFrame, cards: DataFrame) -> DataFrame:
-    """Of each cluster the most similar existing card of its topic, the smallest id of equals; none if no such card."""
-    a = clusters.select("cluster_pos", "topic", F.col("embedding").alias("u"))
-    b = cards.select("topic", F.col("id").alias("card_id"), F.col("embedding").alias("v"))
-    x = block_product(a, b, "topic").withColumn("sim", cosine(F.col("u"), F.col("v")))
-    best = F.max_by(F.struct("card_id", "sim"), F.struct("sim", -F.col("card_id")))
-    return x.groupBy("cluster_pos", "topic").agg(best.alias("s")).select("cluster_pos", "topic", "s.card_id", "s.sim")
+def best_existing_card(clusters: DataFrame, cards: DataFrame, least: float | None = None) -> DataFrame:
+    """Of each cluster the most similar existing card of its topic, the smallest id of equals; none if no such card, or
+    none of at least that similarity."""
+    a = clusters.select(F.col("cluster_pos").alias("id"), "topic", F.col("embedding").alias("vector"))
+    best = best_matches(a, cards.select("id", "topic", F.col("embedding").alias("vector")), "topic", least)
+    best = best.select(F.col("id").alias("cluster_pos"), F.col("other").alias("card_id"), "sim")
+    return clusters.select("cluster_pos", "topic").join(best.hint("merge"), "cluster_pos").select("cluster_pos", "topic", "card_id", "sim")
 
 
 def duplicate_candidates(clusters: DataFrame, cards: DataFrame, least: float = ASK) -> DataFrame:
-    return best_existing_card(clusters, cards).where(F.col("sim") >= least)
+    """The best card of each cluster where it is similar enough to ask for a judgement."""
+    return best_existing_card(clusters, cards, least)
 
 
 def drop_covered(clusters: DataFrame, candidates: DataFrame, judged: DataFrame) -> DataFrame:

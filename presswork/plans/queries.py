@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import edition, ingest, quality, reads, stories, tables, triage, usage
+from ..operators import edition, ingest, quality, reads, stories, story_state, tables, triage, usage
+from ..operators.vectors import banded_pairs
 from ..sources import events, feeds, logs
 from ..streaming import streams
 from . import dims, jobs
@@ -548,6 +549,13 @@ def story_pairs(m):
     return stories.story_pairs(m["vectors"], 0.35).withColumn("sim", F.round("sim", 4))
 
 
+@query("WITH " + PAIRS + " SELECT a, b, round(sim, 4) AS sim FROM hits")
+def story_pairs_banded(m):
+    """By bands of three hyperplanes each, so many of them that a pair at the threshold is missed once in a thousand million
+    times; with a recall that pays, pairs are missed, and tests measure how many."""
+    return banded_pairs(m["vectors"], 0.35, "topic", recall=1 - 1e-9, bucket=8).withColumn("sim", F.round("sim", 4))
+
+
 @query("WITH RECURSIVE " + PAIRS + ", bi AS (SELECT a, b FROM hits UNION ALL SELECT b, a FROM hits), reach AS (SELECT id, id AS other FROM vectors UNION SELECT r.id, s.b FROM reach r JOIN bi s ON s.a = r.other) SELECT id, min(other) AS story FROM reach GROUP BY id")
 def story_components(m):
     v = m["vectors"]
@@ -569,6 +577,22 @@ def assign_to_stories(m):
     return stories.assign_to_stories(v, centroids, 0.2).select("id", "story", F.round("sim", 4).alias("sim"))
 
 
+@query(f"""WITH RECURSIVE bi0 AS (SELECT a.id AS a, b.id AS b FROM vectors a JOIN vectors b ON a.topic = b.topic AND a.id <> b.id WHERE a.id % 2 = 0 AND b.id % 2 = 0 AND {_SIM} >= 0.25), r0 AS (SELECT id, id AS other FROM vectors WHERE id % 2 = 0 UNION SELECT r.id, x.b FROM r0 r JOIN bi0 x ON x.a = r.other), s0 AS (SELECT id, min(other) AS story FROM r0 GROUP BY id),
+p0 AS (SELECT id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM vectors), m0 AS (SELECT story, dim, avg(CAST(x AS DOUBLE)) AS x FROM p0 JOIN s0 USING (id) GROUP BY 1, 2), c0 AS (SELECT story, list(x ORDER BY dim) AS centroid FROM m0 GROUP BY 1),
+sims AS (SELECT v.id, c.story, list_sum(list_transform(list_zip(v.embedding, c.centroid), x -> CAST(x[1] AS DOUBLE) * x[2])) AS sim FROM vectors v JOIN (SELECT c0.*, topic FROM c0 JOIN vectors h ON h.id = c0.story) c USING (topic) WHERE v.id % 2 = 1), best AS (SELECT id, story, sim FROM sims WHERE sim >= 0.25 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(sim, 12) DESC, story) = 1),
+un AS (SELECT * FROM vectors WHERE id % 2 = 1 AND id NOT IN (SELECT id FROM best)), bi1 AS (SELECT a.id AS a, b.id AS b FROM un a JOIN un b ON a.topic = b.topic AND a.id <> b.id WHERE {_SIM} >= 0.25), r1 AS (SELECT id, id AS other FROM un UNION SELECT r.id, x.b FROM r1 r JOIN bi1 x ON x.a = r.other), s1 AS (SELECT id, min(other) AS story FROM r1 GROUP BY id),
+al AS (SELECT id, story, CAST(NULL AS DOUBLE) AS sim, TRUE AS is_new FROM s0 UNION ALL SELECT id, story, sim, FALSE FROM best UNION ALL SELECT id, story, NULL, TRUE FROM s1), st AS (SELECT story, count(*) AS n, avg(CAST(embedding[1] AS DOUBLE)) AS x FROM al JOIN vectors USING (id) GROUP BY story)
+SELECT al.id, al.story, round(al.sim, 4) AS sim, al.is_new, st.n, round(st.x, 4) AS x FROM al JOIN st USING (story)""")
+def stories_across_runs(m):
+    """The even vectors come in a first batch and the odd ones in a second; with the size and the first coordinate of the
+    centroid that each story has in the end."""
+    v = m["vectors"]
+    first, state = story_state.advance(story_state.no_stories(m.spark), v.where("id % 2 = 0"), 0.25)
+    second, state = story_state.advance(state, v.where("id % 2 = 1"), 0.25)
+    end = state.select("story", "n", F.round(F.get("total", F.lit(0)) / F.col("n"), 4).alias("x"))
+    return first.unionByName(second).join(end.hint("merge"), "story").select("id", "story", F.round("sim", 4).alias("sim"), "is_new", "n", "x")
+
+
 @query("WITH " + BEST + " SELECT cluster_pos, card_id, round(sim, 4) AS sim FROM best WHERE sim >= 0.25")
 def duplicate_candidates(m):
     return stories.duplicate_candidates(*_sides(m), 0.25).select("cluster_pos", "card_id", F.round("sim", 4).alias("sim"))

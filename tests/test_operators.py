@@ -197,15 +197,6 @@ def test_components_of_chains_stars_and_hot_nodes(spark):
     assert star_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_block_product_makes_every_pair_once(spark):
-    from presswork.operators.skew import block_product
-
-    left = spark.createDataFrame([("hot", i) for i in range(50)] + [("cold", 99)], "block string, a long")
-    right = spark.createDataFrame([("hot", i) for i in range(20)] + [("other", 7)], "block string, b long")
-    got = [(r["a"], r["b"]) for r in block_product(left, right, "block", rows=8).collect()]
-    assert sorted(got) == [(a, b) for a in range(50) for b in range(20)]
-
-
 def test_embedder_hook_is_held_to_its_contract(spark):
     import pytest
 
