@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # What the model's trim removes, and the constants of the 32-bit FNV-1a hash.
 SPACES = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 FNV_BASIS, FNV_PRIME, PALETTE = 0x811C9DC5, 16777619, 6
+# Fixed values of mail headers: the months, and the hours of zone names from UTC; none is UTC.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+ZONES = {"": 0, "Z": 0, "UT": 0, "UTC": 0, "GMT": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
 COLUMNS, BANDS = 6, {"hero": (1, 6, 2), "medium": (2, 3, 2), "small": (3, 2, 1)}
 
 
@@ -19,12 +22,37 @@ def strip_html(c: Column) -> Column:
     return trim_ws(F.regexp_replace(c, "<[^>]*>", ""))
 
 
+def _written_date(raw: Column) -> Column:
+    """Epoch seconds of a date as mail headers or English text write it: weekday, seconds, time and zone may be absent, the
+    hour may have one digit and the year two; null where a part is out of range or the zone unknown."""
+    weekday = r"^\s*(?:[A-Za-z]{3,9}\.?,?\s+)?"
+    clock = r"(?:,?\s+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?)?\s*([A-Za-z]*|[+-]\d{2}:?\d{2})\s*(?:\([^)]*\))?\s*$"
+    mail = weekday + r"(\d{1,2})[\s-]+([A-Za-z]{3})[a-z]*\.?[\s-]+(\d{4}|\d{2})" + clock
+    english = weekday + r"([A-Za-z]{3})[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})" + clock
+    told = F.when(raw.rlike(mail), F.regexp_replace(raw, mail, "$3|$2|$1|$4|$5|$6|$7")).when(raw.rlike(english), F.regexp_replace(raw, english, "$3|$1|$2|$4|$5|$6|$7"))
+    hours = F.create_map(*(F.lit(x) for pair in ZONES.items() for x in pair))
+
+    def seconds(p: Column) -> Column:
+        part = lambda k: F.get(p, F.lit(k))
+        year = F.when(F.length(part(0)) == 4, part(0)).otherwise(F.concat(F.when(part(0) < "50", "20").otherwise("19"), part(0)))
+        at = F.instr(F.lit("".join(MONTHS)), F.lower(part(1)))
+        time = F.concat_ws(":", *(F.when(part(k) == "", "0").otherwise(part(k)) for k in (3, 4, 5)))
+        day = F.concat_ws("-", year, ((at + 2) / 3).cast("int").cast("string"), part(2))
+        zone = F.upper(part(6))
+        minutes = F.substring(zone, 2, 2).cast("int") * 60 + F.right(zone, F.lit(2)).cast("int")
+        offset = F.when(zone.startswith("-"), minutes * -60).when(zone.startswith("+"), minutes * 60).otherwise(F.try_element_at(hours, zone) * 3600)
+        return F.when(at % 3 == 1, F.unix_timestamp(F.try_to_timestamp(F.concat(day, F.lit(" "), time, F.lit("Z")))) - offset)
+
+    # Bound as the element of an array, so the parts are found once and the generated code stays small.
+    return F.get(F.transform(F.array(F.split(told, r"\|")), seconds), F.lit(0))
+
+
 def published_or_now(raw: Column, now_s: Column) -> Column:
-    """Epoch seconds of an ISO or RFC 822 date; now where it is missing or cannot be read."""
-    plain = F.regexp_replace(raw, "^[A-Za-z]{3}, ", "")
-    iso = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.translate(raw, "T", " ")))
-    rfc = [F.when(plain.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4}"), F.try_to_timestamp(plain, F.lit(f"d MMM yyyy HH:mm:ss {z}"))) for z in ("Z", "z")]
-    return F.coalesce(F.unix_timestamp(iso), F.unix_timestamp(rfc[0]), F.unix_timestamp(rfc[1]), now_s)
+    """Epoch seconds of an ISO, RFC 822 or English date; now where it is missing or cannot be read."""
+    colon = F.regexp_replace(F.trim(raw), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    colon = F.regexp_replace(colon, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?![\d:])", "$1:00")
+    iso = F.when(colon.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]|$)"), F.try_to_timestamp(F.translate(colon, "T", " ")))
+    return F.coalesce(F.unix_timestamp(iso), _written_date(raw), now_s)
 
 
 def article_text(title: Column, snippet: Column) -> Column:

@@ -42,14 +42,21 @@ def trim_ws(m):
     return m.table("documents").select("doc_id", F.md5(X.trim_ws(padded).cast("binary")).alias("trimmed"))
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN 1704067200 + (doc_id % 28) * 86400 ELSE {NOW_S} END AS published_s FROM documents")
+@query(f"SELECT doc_id, CASE doc_id % 8 WHEN 2 THEN {NOW_S} WHEN 3 THEN {NOW_S} ELSE 1704067200 + (doc_id % 28) * 86400 + CASE doc_id % 8 WHEN 4 THEN 11040 WHEN 5 THEN 29045 WHEN 6 THEN 5640 ELSE 0 END END AS published_s FROM documents")
 def published_or_now(m):
-    day = F.col("doc_id") % 28 + 1
-    iso = F.concat(F.lit("2024-01-"), F.lpad(day.cast("string"), 2, "0"), F.lit("T00:00:00Z"))
-    rfc = F.concat(F.lit("Mon, "), day.cast("string"), F.lit(" Jan 2024 00:00:00 +0000"))
-    kind = F.col("doc_id") % 4
-    raw = F.when(kind == 0, iso).when(kind == 1, rfc).when(kind == 2, F.lit("soon"))
-    return m.table("documents").select("doc_id", X.published_or_now(raw, F.lit(NOW_S)).cast("bigint").alias("published_s"))
+    day = (F.col("doc_id") % 28 + 1).cast("string")
+    two = F.lpad(day, 2, "0")
+    forms = {
+        0: ("2024-01-", two, "T00:00:00Z"),
+        1: ("Mon, ", day, " Jan 2024 00:00:00 +0000"),
+        2: ("soon",),
+        4: ("Tue, ", two, " Jan 24 3:04 GMT"),
+        5: (day, " Jan 2024 03:04:05 EST"),
+        6: ("2024-01-", two, "T03:04+0130"),
+        7: ("January ", day, ", 2024"),
+    }
+    parts = [F.when(F.col("doc_id") % 8 == k, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in form))) for k, form in forms.items()]
+    return m.table("documents").select("doc_id", X.published_or_now(F.coalesce(*parts), F.lit(NOW_S)).cast("bigint").alias("published_s"))
 
 
 @query("SELECT pos, title || '. ' || snippet AS text FROM articles")

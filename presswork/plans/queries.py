@@ -38,41 +38,62 @@ BATCHES = "nums AS (SELECT run_id, topic, cluster_pos, row_number() OVER w - 1 A
 
 
 # ---- 2.1 sources and sinks
+N_FEEDS = len(dims.FEEDS)
+LANDED = f"land AS (SELECT *, concat('r', CAST(page_id % 3 AS VARCHAR)) AS run_id, CAST(page_id // 3 % {N_FEEDS} AS INTEGER) AS feed_ord, html LIKE '%</html>' AS whole FROM feed_items), lit AS (SELECT * FROM land WHERE feed_ord % 10 NOT IN (3, 4, 5))"
+PLANNED = "plan AS (SELECT DISTINCT feed_ord FROM user_topics u JOIN dim_feed f USING (topic) WHERE EXISTS (SELECT 1 FROM user_sources s WHERE s.user_id = u.user_id AND s.source = f.source))"
+
+
 def _landed(m):
-    """The pages as RSS files: an item a page; a page that was cut off gives an item whose description never ends."""
+    """The pages as the feed files of three runs, an item a page, of every second feed an Atom entry.
+
+    A page that was cut off gives an item whose text never ends. Whole ones hold an item in a CDATA section, or stand
+    behind one in a comment. Of ten feeds one lands nothing, one a blank file, and one a file without items.
+    """
     title, body = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1), F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1)
-    whole = feeds.rss_item(title, F.coalesce("url", F.lit("")), body)
-    cut = F.concat(F.regexp_replace(whole, "</description></item>$", ""), F.lit("</item>"))
+    link, feed = F.coalesce("url", F.lit("")), (F.floor(F.col("page_id") / 3) % N_FEEDS).cast("int")
+    item = F.when(feed % 2 == 0, feeds.rss_item(title, link, body)).otherwise(feeds.atom_entry(title, link, body))
+    ends = F.regexp_replace(item, "</(description></item|summary></entry)>$", "")
+    cut = F.concat(ends, F.when(feed % 2 == 0, "</item>").otherwise("</entry>"))
+    quoted = F.concat(ends, F.lit("<![CDATA[ <item><title>no item</title></item> <entry/> ]]>"), F.when(feed % 2 == 0, "</description></item>").otherwise("</summary></entry>"))
+    behind = F.concat(F.lit("<!-- <item><title>no item</title></item> <entry> -->"), item)
+    line = F.when(~F.col("html").endswith("</html>"), cut).when(F.col("page_id") % 2 == 0, quoted).otherwise(behind)
+    line = F.when(feed % 10 == 4, " ").when(feed % 10 == 5, "<rss><channel><title>nothing new</title></channel></rss>").otherwise(line)
     path = f"{stories.shared_folder(m.spark)}/feeds-{uuid.uuid4().hex}"
-    m["feed_items"].select(F.when(F.col("html").endswith("</html>"), whole).otherwise(cut).alias("value")).write.text(path)
-    return feeds.rss_records(m.spark, path, NOW_S)
+    rows = m["feed_items"].select(line.alias("value"), F.concat(F.lit("r"), (F.col("page_id") % 3).cast("string")).alias("run"), feed.alias("feed"))
+    rows.where("feed % 10 <> 3").repartition("run", "feed").write.partitionBy("run", "feed").text(path)
+    return path
 
 
-def _feed_of(records):
-    return F.regexp_extract(feeds.link_of(F.col("url"), F.col("record")), "://([^/?#]*)", 1)
+@query("WITH " + LANDED + " SELECT run_id, feed_ord, url, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title FROM lit WHERE whole")
+def read_feed_items(m):
+    return feeds.placed(feeds.read_feeds(m.spark, _landed(m), NOW_S)).select("run_id", "feed_ord", "url", "title")
 
 
-@query("SELECT url, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title FROM feed_items WHERE html LIKE '%</html>'")
-def read_feed_items(m):
-    return _landed(m).where("good").select("url", "title")
+def _failures(m):
+    path = _landed(m)
+    elements = stories.written(feeds.feed_elements(m.spark, path))
+    plan = ingest.feed_plan(m["user_topics"], m["user_sources"], m["dim_feed"], m["dim_topic"]).select("feed_ord").distinct()
+    planned = plan.withColumn("run_id", F.explode(F.array(*(F.lit(f"r{k}") for k in range(3)))))
+    return feeds.feed_failures(planned, feeds.landing_manifest(m.spark, path), elements, feeds.feed_records(elements, NOW_S))
 
 
-@query("SELECT user_id, topic, source, url, feed_ord, ord AS topic_ord FROM (SELECT DISTINCT user_id, topic FROM user_topics) u JOIN dim_feed f USING (topic) JOIN dim_topic t USING (topic) WHERE EXISTS (SELECT 1 FROM user_sources s WHERE s.user_id = u.user_id AND s.source = f.source)")
-def feed_plan(m):
-    out = ingest.feed_plan(m["user_topics"], m["user_sources"], m["dim_feed"], m["dim_topic"])
-    return out.select("user_id", "topic", "source", "url", "feed_ord", "topic_ord")
+FAILURES = f"{LANDED}, {PLANNED}, runs AS (SELECT unnest(['r0', 'r1', 'r2']) AS run_id), told AS (SELECT run_id, feed_ord, count(*) AS items, count(*) FILTER (WHERE NOT whole) AS failed FROM lit GROUP BY 1, 2), sent AS (SELECT DISTINCT run_id, feed_ord FROM land WHERE feed_ord % 10 <> 3), fails AS (SELECT runs.run_id, plan.feed_ord, CASE WHEN sent.feed_ord IS NULL THEN 0 ELSE 1 END AS files, coalesce(items, 0) AS items, coalesce(failed, 0) AS failed, CASE WHEN sent.feed_ord IS NULL THEN 'missing' WHEN plan.feed_ord % 10 = 4 THEN 'empty' WHEN plan.feed_ord % 10 = 5 THEN 'no items' WHEN items = failed THEN 'unreadable' END AS reason FROM plan CROSS JOIN runs LEFT JOIN told ON told.feed_ord = plan.feed_ord AND told.run_id = runs.run_id LEFT JOIN sent ON sent.feed_ord = plan.feed_ord AND sent.run_id = runs.run_id)"
 
 
-@query("SELECT regexp_extract(url, '://([^/?#]*)', 1) AS feed, count(*) AS items, count(*) FILTER (WHERE html NOT LIKE '%</html>') AS failed FROM feed_items GROUP BY 1")
+@query("WITH " + FAILURES + " SELECT run_id, feed_ord, CAST(files AS BIGINT) AS files, items, failed, reason FROM fails")
 def feed_failures(m):
-    x = _landed(m)
-    return feeds.feed_failures(x, _feed_of(x))
+    return _failures(m)
 
 
-@query("SELECT regexp_extract(url, '://([^/?#]*)', 1) AS feed, count(*) AS items FROM feed_items GROUP BY 1 HAVING count(*) = count(*) FILTER (WHERE html NOT LIKE '%</html>')")
+@query("WITH " + FAILURES + " SELECT run_id, count(*) AS planned, count(reason) AS dead, count(*) FILTER (WHERE reason = 'missing') AS missing, count(*) FILTER (WHERE reason = 'empty') AS empty, count(*) FILTER (WHERE reason = 'no items') AS without_items, count(*) FILTER (WHERE reason = 'unreadable') AS unreadable FROM fails GROUP BY run_id")
 def dead_feed_report(m):
-    x = _landed(m)
-    return feeds.dead_feed_report(feeds.feed_failures(x, _feed_of(x)))
+    return feeds.dead_feed_report(_failures(m))
+
+
+@query("SELECT user_id, topic, source, url, feed_ord, ord AS topic_ord FROM (SELECT DISTINCT user_id, topic FROM user_topics) u JOIN dim_feed f USING (topic) JOIN dim_topic t USING (topic) WHERE EXISTS (SELECT 1 FROM user_sources s WHERE s.user_id = u.user_id AND s.source = f.source)")
+def feed_plan(m):
+    out = ingest.feed_plan(m["user_topics"], m["user_sources"], m["dim_feed"], m["dim_topic"])
+    return out.select("user_id", "topic", "source", "url", "feed_ord", "topic_ord")
 
 
 @query("SELECT id, digest_id, severity FROM cards WHERE severity <> 5 OR id % 2 = 0")

@@ -17,6 +17,22 @@ def one(spark, column):
         ("2026-07-31T14:00:00+02:00", 1785499200),
         ("Fri, 31 Jul 2026 12:00:00 +0000", 1785499200),
         ("Fri, 31 Jul 2026 12:00:00 GMT", 1785499200),
+        ("Fri, 31 Jul 2026 12:00 GMT", 1785499200),
+        ("Friday, 31-Jul-26 12:00:00 UTC", 1785499200),
+        ("31 Jul 26 8:00 EDT", 1785499200),
+        ("Fri, 31 Jul 2026 05:00:00 -0700 (PDT)", 1785499200),
+        ("July 31, 2026 12:00:00.5", 1785499200),
+        ("Fri 31 July 2026 13:30 +01:30", 1785499200),
+        ("2026-07-31 12:00Z", 1785499200),
+        ("2026-07-31T13:00:00.123+0100", 1785499200),
+        ("2026-07-31", 1785456000),
+        ("31 Jul 2026", 1785456000),
+        ("2 Jan 50", -631065600),
+        ("Fri, 31 Jun 2026 12:00 GMT", 5),
+        ("Fri, 31 Anf 2026 12:00 GMT", 5),
+        ("Fri, 31 Jul 2026 25:00 GMT", 5),
+        ("Fri, 31 Jul 2026 12:00 XYZ", 5),
+        ("1785499200", 5),
         ("soon", 5),
         ("", 5),
         (None, 5),

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from presswork.operators.ingest import first_sighting
@@ -10,31 +11,82 @@ from presswork.sources import events, feeds, logs
 from presswork.streaming import streams
 
 
-def test_rss_and_atom(spark, tmp_path):
-    rss = "<rss><channel><item><title> A &amp; B </title><link>https://x/1</link><description>&lt;p&gt;Hi&lt;/p&gt;</description><pubDate>Fri, 31 Jul 2026 12:00:00 GMT</pubDate></item><item><title>C</title></item></channel></rss>"
-    atom = '<feed><entry><title>D</title><link href="https://x/2"/><summary>s</summary><published>2026-07-31T12:00:00Z</published></entry></feed>'
-    (tmp_path / "rss").mkdir()
-    (tmp_path / "atom").mkdir()
-    (tmp_path / "rss" / "feed-1.xml").write_text(rss)
-    (tmp_path / "atom" / "feed-2.xml").write_text(atom)
-    got = feeds.with_feed(feeds.read_rss(spark, str(tmp_path / "rss"), 7), dims.dim_feed(spark)).orderBy("title").collect()
-    assert [(r["title"], r["url"], r["snippet"], r["published_s"], r["source"]) for r in got] == [("A & B", "https://x/1", "Hi", 1785499200, "BBC"), ("C", "", "", 7, "BBC")]
-    got = feeds.read_atom(spark, str(tmp_path / "atom"), 7).collect()
-    assert [(r["title"], r["url"], r["snippet"], r["published_s"]) for r in got] == [("D", "https://x/2", "s", 1785499200)]
+def land(tmp_path, run, feed, content, name="a.xml"):
+    folder = tmp_path / f"run={run}" / f"feed={feed}"
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_bytes(content if isinstance(content, bytes) else content.encode())
 
 
-def test_bad_items_do_not_hold_up_others(spark, tmp_path):
+def test_rss_and_atom(spark, tmp_path):
+    rss = "<rss><channel><item><title> A &amp; B </title><link>https://x/1</link><description>&lt;p&gt;Hi&lt;/p&gt;</description><pubDate>Fri, 31 Jul 2026 12:00 GMT</pubDate></item><item><title>C</title></item></channel></rss>"
+    atom = '<feed><entry><title>D</title><link href="https://x/2"/><summary>s</summary><published>2026-07-31T12:00:00Z</published></entry></feed>'
+    land(tmp_path, "r", 1, rss)
+    land(tmp_path, "r", 2, atom)
+    got = feeds.with_feed(feeds.read_feeds(spark, str(tmp_path), 7), dims.dim_feed(spark)).orderBy("title").collect()
+    assert [(r["title"], r["url"], r["snippet"], r["published_s"], r["source"], r["nth"]) for r in got] == [("A & B", "https://x/1", "Hi", 1785499200, "BBC", 0), ("C", "", "", 7, "BBC", 1), ("D", "https://x/2", "s", 1785499200, "TechCrunch", 0)]
+
+
+@pytest.mark.parametrize(
+    "links, url",
+    [
+        ('<link rel="alternate" href="a"/><link rel="edit" href="e"/>', "a"),
+        ('<link rel="edit" href="e"/><link rel="ALTERNATE" href="a"/>', "a"),
+        ('<link rel="self" href="s"/><link href="plain"/>', "plain"),
+        ('<link rel="self" href="s"/><link rel="edit" href="e"/>', "s"),
+        ('<link rel="alternate"/><link rel="self" href="s"/>', "s"),
+        ("", ""),
+    ],
+)
+def test_atom_links(spark, tmp_path, links, url):
+    land(tmp_path, "r", 1, f'<feed><entry><title type="html">T</title>{links}<updated>2026-07-31T12:00:00Z</updated></entry></feed>')
+    assert [(r["title"], r["url"], r["published_s"]) for r in feeds.read_feeds(spark, str(tmp_path), 7).collect()] == [("T", url, 1785499200)]
+
+
+@pytest.mark.parametrize(
+    "text, items",
+    [
+        ("<item>a</item><items>x</items><item x='1'>b</item>", [("item", "<item>a</item>", True), ("item", "<item x='1'>b</item>", True)]),
+        ("<item><![CDATA[ <item>no</item> ]]></item>", [("item", "<item><![CDATA[ <item>no</item> ]]></item>", True)]),
+        ("<!-- <item> --><entry>a<!-- </entry> --></entry>", [("entry", "<entry>a<!-- </entry> --></entry>", True)]),
+        ("<item/><entry />", [("item", "<item/>", True), ("entry", "<entry />", True)]),
+        ("<item>a<item>b</item>", [("item", "<item>a", False), ("item", "<item>b</item>", True)]),
+        ("<item>a</entry></item></item>", [("item", "<item>a</entry></item>", True)]),
+        ("<item><![CDATA[ a</item><item><![CDATA[b]]></item>", [("item", "<item><![CDATA[ a</item>", True), ("item", "<item><![CDATA[b]]></item>", True)]),
+        ("<item>a<!-- b</item><item>c</item>", [("item", "<item>a<!-- b</item>", True), ("item", "<item>c</item>", True)]),
+        ("x<item>cut", [("item", "<item>cut", False)]),
+        ("", []),
+    ],
+)
+def test_splitting(text, items):
+    assert list(feeds.split_items(text)) == items
+
+
+def test_encodings():
+    assert feeds.decoded('<?xml version="1.0" encoding="ISO-8859-1"?>é'.encode("latin-1")).endswith("é")
+    assert feeds.decoded(b"\xef\xbb\xbfa") == "a" and feeds.decoded("é".encode("utf-16")) == "é"
+    assert feeds.decoded(b"<?xml encoding='nope'?>\xc3\xa9").endswith("é") and feeds.decoded(b"\xff") == "\ufffd"
+
+
+def test_feeds_that_fail(spark, tmp_path):
     good = "<item><title>{0}</title><link>https://{0}/1</link><description>d</description></item>"
-    (tmp_path / "feed-1.xml").write_text("<rss><channel>" + good.format("a") + "<item><title>b</title><link>https://b/1</link><description>never ends</item>\n" + good.format("c") + "</channel></rss>")
-    (tmp_path / "feed-2.xml").write_text("<rss><channel><item><title>x</title><link>https://x/1</link>")
-    (tmp_path / "feed-3.xml").write_text("<rss><channel></channel></rss>")
-    x = feeds.rss_records(spark, str(tmp_path), 7)
-    assert sorted((r["good"], r["title"]) for r in x.collect()) == [(False, ""), (False, ""), (True, "a"), (True, "c")]
-    assert sorted(r["title"] for r in feeds.read_rss(spark, str(tmp_path), 7).collect()) == ["a", "c"]
-    failures = feeds.feed_failures(x, F.regexp_extract("file", r"feed-(\d)", 1))
-    assert sorted(tuple(r) for r in failures.collect()) == [("1", 3, 1), ("2", 1, 1)]
-    assert [tuple(r) for r in feeds.dead_feed_report(failures).collect()] == [("2", 1)]
-    assert {r["x"] for r in x.where("not good").select(feeds.link_of(F.col("url"), F.col("record")).alias("x")).collect()} == {"https://b/1", "https://x/1"}
+    land(tmp_path, "r", 1, "<rss><channel>" + good.format("a") + "<item><title>b</title><link>https://b/1</link><description>never ends</item>\n" + good.format("c") + "</channel></rss>")
+    land(tmp_path, "r", 1, "<rss><channel><item><title>e <![CDATA[ <item> ]]></title></item>", "b.xml")
+    land(tmp_path, "r", 2, "<rss><channel><item><title>x</title><link>https://x/1</link>")
+    land(tmp_path, "r", 3, "<rss><channel></channel></rss>")
+    land(tmp_path, "r", 4, b"")
+    land(tmp_path, "r", 5, " \n")
+    land(tmp_path, "s", 1, good.format("z"))
+    land(tmp_path, "s", 9, good.format("nobody asked"))
+    elements = feeds.feed_elements(spark, str(tmp_path))
+    records = feeds.feed_records(elements, 7)
+    assert sorted((r["good"], r["title"]) for r in records.collect()) == [(False, ""), (False, ""), (True, "a"), (True, "c"), (True, "e  <item>"), (True, "nobody asked"), (True, "z")]
+    planned = spark.createDataFrame([(r, f) for r in "rs" for f in range(1, 7)] * 2, "run_id string, feed_ord int")
+    failures = feeds.feed_failures(planned, feeds.landing_manifest(spark, str(tmp_path)), elements, records)
+    got = {(r["run_id"], r["feed_ord"]): (r["files"], r["items"], r["failed"], r["reason"]) for r in failures.collect()}
+    missing = (0, 0, 0, "missing")
+    assert got == {("r", 1): (2, 4, 1, None), ("r", 2): (1, 1, 1, "unreadable"), ("r", 3): (1, 0, 0, "no items"), ("r", 4): missing, ("r", 5): (1, 0, 0, "empty"), ("r", 6): missing, ("s", 1): (1, 1, 0, None)} | {("s", f): missing for f in range(2, 7)}
+    report = {r["run_id"]: tuple(r)[1:] for r in feeds.dead_feed_report(failures).collect()}
+    assert report == {"r": (6, 5, 2, 1, 1, 1), "s": (6, 5, 5, 0, 0, 0)}
 
 
 def test_logs(spark):
