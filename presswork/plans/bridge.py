@@ -28,6 +28,15 @@ VIEWS = {
     "user_sources": f"SELECT user_id, source FROM (SELECT user_id, (user_id * 5 + k) % {len(dims.SOURCES)} AS ord FROM (SELECT c_custkey AS user_id, EACH[{', '.join(str(11 * k) for k in range(12))}] AS k FROM customer WHERE c_custkey % 50 <> 3) c) x JOIN dim_source USING (ord)",
     # A thousand articles a user and a run, so both grow with the table. Copies of a text share its url.
     "articles": f"SELECT concat('u', CAST(CAST(floor(doc_id / 5000.0) AS BIGINT) * 5 + doc_id % 5 AS STRING)) AS user_id, concat('r', CAST(CAST(floor(doc_id / 4000.0) AS BIGINT) * 4 + doc_id % 4 AS STRING)) AS run_id, doc_id AS pos, substr(coalesce(text, ''), 1, 60) AS title, substr(coalesce(text, ''), 61) AS snippet, CASE WHEN doc_id % 97 = 0 THEN '' ELSE concat('https://news.example/', md5(coalesce(text, ''))) END AS url, source, lang AS topic, {NOW_S} - (doc_id * 7919 % 259200) AS published_s FROM documents",
+    # The same texts as items of feeds, a quarter of four thousand a run. Five readers follow the runs of four thousand texts,
+    # so readers, runs and what each of them gets grow with the table as they would. Every eleventh text was carded before.
+    "landings": f"SELECT *, row_number() OVER (PARTITION BY run_no, feed_ord, carded ORDER BY doc_id) - 1 AS nth FROM (SELECT doc_id, CAST(floor(doc_id / 4000.0) AS BIGINT) * 4 + doc_id % 4 AS run_no, CAST(CAST(floor(doc_id / 4.0) AS BIGINT) % {len(dims.FEEDS)} AS INT) AS feed_ord, doc_id % 11 = 5 AS carded, substr(coalesce(text, ''), 1, 60) AS title, substr(coalesce(text, ''), 61) AS snippet, CASE WHEN doc_id % 97 = 0 THEN '' ELSE concat('https://news.example/', md5(coalesce(text, ''))) END AS url, {NOW_S} - (doc_id * 7919 % 259200) AS published_s FROM documents) d",
+    "readers": "SELECT DISTINCT run_no, CAST(floor(run_no / 4.0) AS BIGINT) * 5 + k + 1 AS user_id FROM (SELECT run_no, EACH[0, 1, 2, 3, 4] AS k FROM (SELECT DISTINCT run_no FROM landings) r) x",
+    "reader_articles": "SELECT concat(CAST(p.user_id AS STRING), '/r', CAST(l.run_no AS STRING)) AS digest_id, p.user_id, ((p.user_id * 1000000 + l.run_no) * 128 + l.feed_ord) * 100000 + CASE WHEN l.carded THEN 50000 ELSE 0 END + l.nth AS pos, f.topic, l.title, l.snippet, l.url, l.published_s, l.carded, l.doc_id FROM readers p JOIN (SELECT DISTINCT user_id, topic FROM user_topics) t ON t.user_id = p.user_id JOIN dim_feed f ON f.topic = t.topic JOIN (SELECT DISTINCT user_id, source FROM user_sources) s ON s.user_id = p.user_id AND s.source = f.source JOIN landings l ON l.run_no = p.run_no AND l.feed_ord = f.feed_ord",
+    "reader_cursors": f"SELECT DISTINCT user_id, CASE user_id % 5 WHEN 1 THEN {NOW_S} - 86400 WHEN 2 THEN {NOW_S} + 301 WHEN 4 THEN {NOW_S} - 864000 ELSE CAST(NULL AS BIGINT) END AS cursor_s FROM readers",
+    "reader_verdicts": "SELECT pos AS cluster_pos, quality = 1 AS notable, CAST(1 + a.doc_id % 5 AS INT) AS severity FROM reader_articles a JOIN labels l ON l.doc_id = a.doc_id WHERE NOT carded",
+    # Both attempts of a conversation for every article, so each may become a card.
+    "reader_generations": "SELECT pos AS card_key, attempt, text, stop_reason FROM reader_articles a JOIN generations g ON g.card_key = a.doc_id % (SELECT count(DISTINCT conv_id) FROM conversations) WHERE NOT carded",
     "cursors": f"SELECT DISTINCT user_id, CASE user_id WHEN 'u0' THEN {NOW_S} - 86400 WHEN 'u1' THEN {NOW_S} + 300 WHEN 'u2' THEN {NOW_S} + 301 WHEN 'u3' THEN {NOW_S} - 864000 ELSE CAST(NULL AS BIGINT) END AS cursor_s FROM articles",
     "feed_items": "SELECT page_id, url, html FROM pages",
     "clusters": "SELECT run_id, topic, pos AS cluster_pos, title, snippet, url, source, published_s FROM articles",

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import tier_for_severity, writer_route
 from ..operators import edition, ingest, reads, stories, tables, triage, usage
 from ..operators.skew import written
+from ..sources import feeds
 
 
 def build_edition(
@@ -70,6 +71,45 @@ def build_edition(
     return tables.persist_runs(cards.drop("embedding"), digests, new, updates, runs)
 
 
+def feed_articles(records: DataFrame, planned: DataFrame) -> DataFrame:
+    """Each item that could be read, once for every reader whose plan(run_id, user_id, feed_ord, topic, source) of the run
+    has its feed: user_id, run_id, feed_ord, file, nth and the article."""
+    items = feeds.placed(records.where("good")).drop("good", "record")
+    return planned.select("run_id", "user_id", "feed_ord", "topic", "source").hint("merge").join(items.hint("merge"), ["run_id", "feed_ord"])
+
+
+def edition_from_feeds(
+    spark: SparkSession,
+    path: str,
+    planned: DataFrame,
+    place: Column,
+    cursors: DataFrame,
+    cards: DataFrame,
+    digests: DataFrame,
+    same_story: Callable[[DataFrame], DataFrame],
+    verdicts: DataFrame,
+    generations: DataFrame,
+    now_s: int,
+    attach: float = stories.ATTACH,
+    ask: float = stories.ASK,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """build_edition from the feed files landed beneath path on: (cards, digests, failures of planned feeds).
+
+    planned as feed_articles takes it; place is the position of an article in ingest order, unique, from user_id, run_id,
+    feed_ord and nth. cards hold title and snippet of what they tell, and ids that no position has; articles and cards are
+    embedded together, so that both are weighted by the same counts.
+    """
+    elements = written(feeds.feed_elements(spark, path))
+    records = written(feeds.feed_records(elements, now_s))
+    failures = feeds.feed_failures(planned, feeds.landing_manifest(spark, path), elements, records)
+    articles = written(feed_articles(records, written(planned)).withColumn("pos", place))
+    text = ["topic", "title", "snippet"]
+    vectors = written(stories.embed_articles(articles.select("pos", *text).unionByName(cards.select(F.col("id").alias("pos"), *text))))
+    known = cards.drop("title", "snippet").join(vectors.select(F.col("pos").alias("id"), "embedding").hint("merge"), "id", "left")
+    out = build_edition(articles, cursors, vectors, written(known), digests, same_story, verdicts, generations, now_s, ["pos"], attach, ask)
+    return *out, failures
+
+
 def read_edition(digests: DataFrame, cards: DataFrame, bookmarks: DataFrame, today_s: int, from_s: int | None = None, through_s: int | None = None) -> dict[str, DataFrame]:
     """What readers of all users see: day (cards with bookmark flag, badge, tier, place in the grid, place on the topic's
     page and rank on the front page), saved (the saved list) and history (past days). A range of days prunes the scan of

@@ -846,32 +846,65 @@ NEW_BATCHES = "nums AS (SELECT digest_id, topic, cluster_pos, row_number() OVER
 STANDS = "ga AS (SELECT card_key, text AS t1, stop_reason AS s1 FROM generations WHERE attempt = 1), gb AS (SELECT card_key, text AS t2 FROM generations WHERE attempt = 2), told AS (SELECT card_key FROM ga LEFT JOIN gb USING (card_key) WHERE CASE WHEN trim(t1) = '' THEN FALSE WHEN regexp_matches(trim(t1), '[.!?]$') THEN TRUE WHEN s1 <> 'end_turn' THEN FALSE ELSE regexp_matches(trim(coalesce(t2, '')), '[.!?]$') END)"
 
 
-@query(f"""WITH RECURSIVE f AS (SELECT * FROM articles WHERE pos % 11 <> 5 QUALIFY row_number() OVER (PARTITION BY user_id, url ORDER BY pos) = 1),
-s AS (SELECT f.*, user_id || '/' || run_id AS digest_id, CASE WHEN c.cursor_s <= {NOW_S} + 300 AND c.cursor_s > {NOW_S} - 172800 THEN c.cursor_s ELSE {NOW_S} - 172800 END AS cut FROM f LEFT JOIN cursors c USING (user_id)), fresh AS (SELECT * FROM s WHERE published_s >= cut),
-fv AS (SELECT digest_id, pos AS id, embedding FROM fresh JOIN vectors ON id = pos), hits AS (SELECT a.id AS a, b.id AS b FROM fv a JOIN fv b ON a.digest_id = b.digest_id AND a.id < b.id WHERE {_SIM} >= 0.35), bi AS (SELECT a, b FROM hits UNION ALL SELECT b, a FROM hits),
+ATTACH_AT, ASK_AT = 0.8, 0.6
+_TRIM = "trim({}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(8232) || chr(8233) || chr(12288) || chr(65279))"
+NEWS = f"""news AS (SELECT digest_id, user_id, pos, topic, carded, url, published_s, {_TRIM.format("title")} AS title, {_TRIM.format("regexp_replace(snippet, '<[^>]*>', '', 'g')")} AS snippet FROM reader_articles),
+told AS (SELECT *, CASE WHEN carded THEN -pos - 1 ELSE pos END AS id FROM news), w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(concat(title, '. ', snippet)), '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '')) AS word FROM told), tf AS (SELECT id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 64 AS dim, count(*) AS tf FROM w GROUP BY 1, 2),
+df AS (SELECT dim, ln((SELECT count(*) + 1 FROM told) / (count(*) + 1)) AS idf FROM tf GROUP BY dim), xs AS (SELECT id, dim, tf * idf AS x FROM tf JOIN df USING (dim)), norms AS (SELECT id, sqrt(sum(x * x)) AS norm FROM xs GROUP BY id), vec AS (SELECT id, dim, CAST(CAST(x / norm AS FLOAT) AS DOUBLE) AS x FROM xs JOIN norms USING (id) WHERE norm > 0)"""
+STEPS = f"""{NEWS}, f AS (SELECT * FROM news WHERE NOT carded QUALIFY row_number() OVER (PARTITION BY user_id, url ORDER BY pos) = 1),
+s AS (SELECT f.*, CASE WHEN c.cursor_s <= {NOW_S} + 300 AND c.cursor_s > {NOW_S} - 172800 THEN c.cursor_s ELSE {NOW_S} - 172800 END AS cut FROM f LEFT JOIN reader_cursors c USING (user_id)), fresh AS (SELECT * FROM s WHERE published_s >= cut), fv AS (SELECT digest_id, vec.* FROM fresh JOIN vec ON id = pos),
+bi AS (SELECT a.id AS a, b.id AS b FROM fv a JOIN fv b ON a.digest_id = b.digest_id AND a.dim = b.dim AND a.id <> b.id GROUP BY 1, 2 HAVING sum(a.x * b.x) >= {ATTACH_AT}),
 reach AS (SELECT pos AS id, pos AS other FROM fresh UNION SELECT r.id, x.b FROM reach r JOIN bi x ON x.a = r.other), st AS (SELECT id, min(other) AS story FROM reach GROUP BY id),
 members AS (SELECT fresh.*, story AS cluster_pos FROM fresh JOIN st ON id = pos), per AS (SELECT cluster_pos, max(published_s) AS published_s, count(*) AS n_sources FROM members GROUP BY 1), cl AS (SELECT digest_id, cluster_pos, topic, per.published_s, n_sources FROM members JOIN per USING (cluster_pos) WHERE pos = cluster_pos),
-ex AS (SELECT user_id || '/' || run_id AS digest_id, -pos - 1 AS id, topic, CAST(1 + pos % 5 AS INTEGER) AS severity, published_s, pos % 6 + 1 AS front_page_rank, published_s + 60 AS created_s, embedding FROM articles LEFT JOIN (SELECT id AS vid, embedding FROM vectors) v ON vid = pos WHERE pos % 11 = 5),
-parts AS (SELECT id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM fv), means AS (SELECT story, dim, avg(CAST(x AS DOUBLE)) AS x FROM parts JOIN st USING (id) GROUP BY 1, 2), cent AS (SELECT story, list(x ORDER BY dim) AS centroid FROM means GROUP BY 1),
-sims AS (SELECT cluster_pos, ex.id AS card_id, list_sum(list_transform(list_zip(centroid, ex.embedding), x -> x[1] * CAST(x[2] AS DOUBLE))) AS sim FROM cl JOIN cent ON story = cluster_pos JOIN ex ON ex.digest_id = cl.digest_id AND ex.topic = cl.topic WHERE ex.embedding IS NOT NULL), best AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY cluster_pos ORDER BY sim DESC, card_id) = 1),
-kept AS (SELECT * FROM cl WHERE cluster_pos NOT IN (SELECT cluster_pos FROM best WHERE sim >= 0.05 AND (cluster_pos - card_id) % 2 = 0)), {NEW_BATCHES}, judged AS (SELECT kept.*, batch, severity FROM kept JOIN batches USING (cluster_pos) JOIN verdicts USING (cluster_pos) WHERE notable),
-slots AS (SELECT *, row_number() OVER (PARTITION BY digest_id, topic ORDER BY severity DESC, cluster_pos) AS slot FROM judged), {STANDS}, new AS (SELECT digest_id, cluster_pos AS id, topic, severity, published_s, batch, slot, n_sources, CASE WHEN n_sources = 1 THEN 'small' ELSE 'large' END AS writer FROM slots JOIN told ON card_key = cluster_pos WHERE slot <= 8),
+ex AS (SELECT digest_id, -pos - 1 AS id, topic, CAST(1 + pos % 5 AS INTEGER) AS severity, published_s, pos % 6 + 1 AS front_page_rank, published_s + 60 AS created_s FROM news WHERE carded),
+cent AS (SELECT cluster_pos, dim, sum(x) / max(n_sources) AS x FROM fv JOIN members ON pos = id JOIN per USING (cluster_pos) GROUP BY 1, 2),
+sims AS (SELECT cl.cluster_pos, ex.id AS card_id, sum(cent.x * vec.x) AS sim FROM cl JOIN ex ON ex.digest_id = cl.digest_id AND ex.topic = cl.topic JOIN cent ON cent.cluster_pos = cl.cluster_pos JOIN vec ON vec.id = ex.id AND vec.dim = cent.dim GROUP BY 1, 2),
+best AS (SELECT * FROM sims WHERE sim >= {ASK_AT} QUALIFY row_number() OVER (PARTITION BY cluster_pos ORDER BY round(sim, 10) DESC, card_id) = 1), gone AS (SELECT cluster_pos FROM best WHERE (cluster_pos - card_id) % 3 = 0)"""
+
+
+@query(f"""WITH RECURSIVE {STEPS}, kept AS (SELECT * FROM cl WHERE cluster_pos NOT IN (SELECT cluster_pos FROM gone)), {NEW_BATCHES}, judged AS (SELECT kept.*, batch, severity FROM kept JOIN batches USING (cluster_pos) JOIN reader_verdicts USING (cluster_pos) WHERE notable),
+slots AS (SELECT *, row_number() OVER (PARTITION BY digest_id, topic ORDER BY severity DESC, cluster_pos) AS slot FROM judged), {STANDS.replace("FROM generations", "FROM reader_generations").replace("told AS", "stands AS")}, new AS (SELECT digest_id, cluster_pos AS id, topic, severity, published_s, batch, slot, n_sources, CASE WHEN n_sources = 1 THEN 'small' ELSE 'large' END AS writer FROM slots JOIN stands ON card_key = cluster_pos WHERE slot <= 8),
 shown AS (SELECT digest_id, id, topic, severity, published_s FROM ex UNION ALL SELECT digest_id, id, topic, severity, published_s FROM new), t AS (SELECT *, row_number() OVER (PARTITION BY digest_id, topic ORDER BY severity DESC, published_s DESC, id) AS trn FROM shown), r AS (SELECT digest_id, id, row_number() OVER (PARTITION BY digest_id ORDER BY trn, severity DESC, published_s DESC, id) AS rk FROM t),
 runs AS (SELECT DISTINCT digest_id FROM fresh)
-SELECT ex.digest_id, ex.id, ex.topic, ex.severity, ex.created_s, CASE WHEN runs.digest_id IS NULL THEN ex.front_page_rank WHEN rk <= 6 THEN rk END AS front_page_rank, CAST(NULL AS BIGINT) AS batch, CAST(NULL AS INTEGER) AS slot, CAST(NULL AS INTEGER) AS n_sources, CAST(NULL AS VARCHAR) AS writer FROM ex JOIN r USING (digest_id, id) LEFT JOIN runs ON runs.digest_id = ex.digest_id
-UNION ALL SELECT new.digest_id, new.id, topic, severity, {NOW_S}, CASE WHEN rk <= 6 THEN rk END, batch, CAST(slot AS INTEGER), CAST(n_sources AS INTEGER), writer FROM new JOIN r USING (digest_id, id)""")
+SELECT 'card' AS part, ex.digest_id, ex.id, ex.topic, ex.severity, ex.created_s, CASE WHEN runs.digest_id IS NULL THEN ex.front_page_rank WHEN rk <= 6 THEN rk END AS front_page_rank, CAST(NULL AS BIGINT) AS batch, CAST(NULL AS INTEGER) AS slot, CAST(NULL AS INTEGER) AS n_sources, CAST(NULL AS VARCHAR) AS writer FROM ex JOIN r USING (digest_id, id) LEFT JOIN runs ON runs.digest_id = ex.digest_id
+UNION ALL SELECT 'card', new.digest_id, new.id, topic, severity, {NOW_S}, CASE WHEN rk <= 6 THEN rk END, batch, CAST(slot AS INTEGER), CAST(n_sources AS INTEGER), writer FROM new JOIN r USING (digest_id, id)
+UNION ALL SELECT 'digest', d.digest_id, NULL, NULL, NULL, CASE WHEN runs.digest_id IS NULL THEN NULL ELSE {NOW_S} END, NULL, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT digest_id FROM reader_articles) d LEFT JOIN runs USING (digest_id)""")
 def build_edition(m):
-    """Every eleventh article was carded by an earlier run; the others come in."""
-    vectors = m["vectors"].select(F.col("id").alias("pos"), "embedding")
-    a = m["articles"]
+    """From landed feeds to persisted cards, and the digests with their cursors, which stand in created_s."""
+    return _edition(m)[0]
+
+
+def _edition(m):
+    """(cards and digests as rows, the judged candidates, failures) of the job."""
+    lands = m["landings"].where("not carded")
+    path = f"{stories.shared_folder(m.spark)}/feeds-{uuid.uuid4().hex}"
+    when = F.date_format(F.timestamp_seconds("published_s"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    dated = F.concat(F.lit("</description><pubDate>"), when, F.lit("</pubDate></item>"))
+    item = F.regexp_replace(feeds.rss_item(F.col("title"), F.col("url"), F.col("snippet")), "</description></item>$", "")
+    rows = lands.select(F.concat(item, dated).alias("value"), F.concat(F.lit("r"), F.col("run_no").cast("string")).alias("run"), F.col("feed_ord").alias("feed"), "nth")
+    rows.repartition("run", "feed").sortWithinPartitions("run", "feed", "nth").drop("nth").write.partitionBy("run", "feed").text(path)
+
+    readers = m["readers"].select("user_id", F.concat(F.lit("r"), F.col("run_no").cast("string")).alias("run_id"))
+    plan = ingest.feed_plan(m["user_topics"], m["user_sources"], m["dim_feed"], m["dim_topic"])
+    planned = plan.select("user_id", "topic", "source", "feed_ord").join(readers.hint("merge"), "user_id")
+    run_no = F.substring("run_id", 2, 19).cast("bigint")
+    place = ((F.col("user_id") * 1000000 + run_no) * 128 + F.col("feed_ord")) * 100000 + F.col("nth")
+
     pos = F.col("pos")
-    cards = a.where("pos % 11 = 5").join(vectors.hint("merge"), "pos", "left")
-    cards = cards.select(F.concat_ws("/", "user_id", "run_id").alias("digest_id"), (-pos - 1).alias("id"), "topic", (1 + pos % 5).cast("int").alias("severity"), "published_s", (pos % 6 + 1).alias("front_page_rank"), (F.col("published_s") + 60).alias("created_s"), "embedding")
-    cards = stories.written(cards)
-    digests = cards.select(F.col("digest_id").alias("id"), F.lit(None).cast("bigint").alias("last_generated_s")).distinct()
-    judge = lambda c: c.select("cluster_pos", "card_id", ((F.col("cluster_pos") - F.col("card_id")) % 2 == 0).alias("same"))
-    out, _ = jobs.build_edition(a.where("pos % 11 <> 5"), m["cursors"], vectors, cards, digests, judge, m["verdicts"], m["generations"], NOW_S, ["pos"], 0.35, 0.05)
-    return out.select("digest_id", "id", "topic", "severity", "created_s", "front_page_rank", "batch", "slot", F.size("sources").alias("n_sources"), "writer").withColumn("n_sources", F.when(F.col("n_sources") > 0, F.col("n_sources")))
+    known = stories.written(m["reader_articles"].select("digest_id", "pos", "topic", "title", "snippet", "published_s", "carded"))
+    cards = known.where("carded").select("digest_id", (-pos - 1).alias("id"), "topic", (1 + pos % 5).cast("int").alias("severity"), "published_s", (pos % 6 + 1).alias("front_page_rank"), (F.col("published_s") + 60).alias("created_s"), "title", "snippet")
+    digests = known.select(F.col("digest_id").alias("id"), F.lit(None).cast("bigint").alias("last_generated_s")).distinct()
+    judged = []
+
+    def judge(candidates):
+        judged.append(candidates.select("cluster_pos", "card_id", ((F.col("cluster_pos") - F.col("card_id")) % 3 == 0).alias("same")))
+        return judged[0]
+
+    out, advanced, failures = jobs.edition_from_feeds(m.spark, path, planned, place, m["reader_cursors"], cards, digests, judge, m["reader_verdicts"], m["reader_generations"], NOW_S, ATTACH_AT, ASK_AT)
+    n = F.size("sources")
+    out = out.select(F.lit("card").alias("part"), "digest_id", "id", "topic", "severity", "created_s", "front_page_rank", "batch", "slot", F.when(n > 0, n).alias("n_sources"), "writer")
+    ends = advanced.select(F.lit("digest").alias("part"), F.col("id").alias("digest_id"), F.col("last_generated_s").alias("created_s"))
+    return out.unionByName(ends, allowMissingColumns=True), judged[0], failures
 
 
 LAYOUT = DAY + ", seen AS (SELECT day.*, created_s = max(created_s) OVER w AND max(created_s) OVER w <> min(created_s) OVER w AS is_new, row_number() OVER (PARTITION BY digest_id, topic ORDER BY severity DESC, published_s DESC, id) AS topic_place FROM day WHERE date_s BETWEEN 870000000 AND 890000000 WINDOW w AS (PARTITION BY digest_id)), front AS (SELECT digest_id, id, row_number() OVER (PARTITION BY digest_id ORDER BY front_page_rank, id) AS front_place FROM cards WHERE front_page_rank IS NOT NULL QUALIFY front_place <= 6)"
