@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import edition, ingest, quality, reads, stories, story_state, tables, triage, usage
 from ..operators.vectors import banded_pairs
-from ..sources import events, feeds, logs
+from ..sources import commits, events, feeds, logs
 from ..streaming import streams
 from . import dims, jobs
 from .bridge import NOW_S, Model, oracle
@@ -724,16 +724,23 @@ def overlapping_runs(m):
 
 
 # ---- 2.12 streaming twins in batch form, and hooks
-def _drained(stream, mode="append"):
-    """All that a stream gives for the files there are, by way of the shared folder."""
-    base = f"{stories.shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+def _drained(stream, mode="append", base=None):
+    """All that a stream gives for the files there are, by way of the shared folder, with the batch_id of each row."""
+    base = base or f"{stories.shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def save(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
 
     q = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
+    schema = stream.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", batch_id bigint"
+    return stream.sparkSession.read.schema(schema).parquet(f"{base}/out")
+
+
+def _latest(rows, keys):
+    """The row of the last batch for each key of a stream in update mode."""
+    others = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("r")).select(*keys, "r.*")
 
 
 @query("SELECT DISTINCT user_id, url FROM articles")
@@ -756,26 +763,79 @@ def missed_articles(m):
     return ingest.late_articles(m["articles"], m["cursors"], NOW_S).select("user_id", "pos")
 
 
-@query("SELECT run_id, seq, stage FROM progress")
+@query("""SELECT 'card' AS part, digest_id, id, CASE WHEN id % 4 = 0 THEN CASE WHEN id % 8 = 4 THEN 5 END ELSE front_page_rank END AS rank, created_s FROM cards
+UNION ALL SELECT 'card', digest_id, -id, 1, 899999999 FROM cards WHERE id % 3 = 0 UNION ALL SELECT 'digest', id, NULL, NULL, CASE WHEN id IN (SELECT digest_id FROM cards WHERE id % 3 = 0 OR id % 4 = 0) THEN 899999999 ELSE last_generated_s END FROM digests""")
 def stream_persist(m):
-    base = f"{stories.shared_folder(m.spark)}/persist-{uuid.uuid4().hex}"
-    e = m.stream("progress").select("run_id", "seq", "stage")
-    streams.stream_persist(e, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return m.spark.read.schema(e.schema).parquet(f"{base}/out").select("run_id", "seq", "stage")
+    """New cards and rank changes stream in on a store of all cards; then the log is compacted, and the stream's batches come
+    again, which changes nothing."""
+    base = f"{stories.shared_folder(m.spark)}/store-{uuid.uuid4().hex}"
+    log = commits.CommitLog(m.spark, base)
+    c = m["cards"]
+    commits.open_store(log, c, m["digests"])
+    stamp = F.lit(899999999).cast("bigint").alias("run_at_s")
+    new = c.where("id % 3 = 0").select("digest_id", (-F.col("id")).alias("id"), F.lit("insert").alias("kind"), F.lit(1).cast("bigint").alias("rank"), stamp, F.col("id").alias("seq"))
+    ranks = c.where("id % 4 = 0").select("digest_id", "id", F.lit("rank").alias("kind"), F.when(F.col("id") % 8 == 4, 5).cast("bigint").alias("rank"), stamp, F.col("id").alias("seq"))
+    changes = new.unionByName(ranks)
+    changes.write.parquet(f"{base}/in")
+    for at in range(2):
+        stream = m.spark.readStream.schema(changes.schema).parquet(f"{base}/in")
+        streams.stream_persist(stream, log, "query", f"{base}/checkpoint{at}").awaitTermination()
+        if not at:
+            commits.compact(log)
+    cards, digests = commits.current(log)
+    cards = cards.select(F.lit("card").alias("part"), "digest_id", "id", F.col("front_page_rank").alias("rank"), "created_s")
+    return cards.unionByName(digests.select(F.lit("digest").alias("part"), F.col("id").alias("digest_id"), F.col("last_generated_s").alias("created_s")), allowMissingColumns=True)
+
+
+RUNS_SQL = "p AS (SELECT run_id || '/' || CAST(at_s // 86400 AS VARCHAR) AS run_id, seq, stage, at_s FROM progress), w AS (SELECT max(at_s) - 3600 AS wm FROM p), r AS (SELECT run_id, max_by(stage, seq) AS stage, max(seq) AS seq, max(at_s) AS at_s, min_by(stage, seq) FILTER (WHERE stage IN ('signup', 'error')) AS ended FROM p GROUP BY 1)"
+
+
+@query("WITH " + RUNS_SQL + " SELECT run_id, stage, seq, CASE ended WHEN 'signup' THEN 'done' WHEN 'error' THEN 'error' ELSE CASE WHEN at_s + 21600 < wm THEN 'lost' ELSE 'running' END END AS status FROM r, w")
+def run_progress(m):
+    """As a stream: a run is a user's day, a signup ends it well and an error badly, and six hours without either lose it."""
+    run = F.concat_ws("/", F.col("run_id").cast("string"), F.floor(F.col("at_s") / 86400).cast("string"))
+    e = m.stream("progress").select(run.alias("run_id"), "seq", "stage", F.timestamp_seconds("at_s").alias("at")).withWatermark("at", "1 hour")
+    return _latest(_drained(streams.run_states(e, {"signup": "done", "error": "error"}, 21600), "update"), ["run_id"])
 
 
 @query("SELECT run_id, stage, seq FROM progress QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) = 1")
-def run_progress(m):
+def run_stages(m):
     return streams.run_progress(m["progress"])
 
 
 @query("SELECT run_id, stage, model, count(*) FILTER (WHERE measured) AS calls, count(*) FILTER (WHERE NOT measured) AS unmeasured, CAST(coalesce(sum(input) FILTER (WHERE measured), 0) AS BIGINT) AS input, CAST(coalesce(sum(output) FILTER (WHERE measured), 0) AS BIGINT) AS output FROM usage_calls GROUP BY 1, 2, 3")
 def usage_stream(m):
-    return streams.usage_stream(m["usage_calls"])
+    """As a stream in update mode: the totals of the last batch that changed them."""
+    return _latest(_drained(streams.usage_stream(m.stream("usage_calls")), "update"), ["run_id", "stage", "model"])
 
 
-@query("SELECT EPOCH(date_trunc('day', ts)) AS day_s, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _in_two_turns(m, of):
+    """What a stream of the events gives when every fiftieth comes only after all others, in a second run."""
+    e = m.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    base = f"{stories.shared_folder(m.spark)}/turns-{uuid.uuid4().hex}"
+    for turn in ("event_id % 50 <> 0", "event_id % 50 = 0"):
+        e.where(turn).write.mode("append").parquet(f"{base}/in")
+        stream = m.spark.readStream.schema(e.schema).parquet(f"{base}/in").withWatermark("ts", "2 hours")
+        out = _drained(of(stream), "append", base)
+    return out
+
+
+CLOSED = "e AS (SELECT *, EPOCH(date_trunc('day', ts)) AS day_s FROM events), w AS (SELECT max(ts) FILTER (WHERE event_id % 50 <> 0) - INTERVAL 2 HOUR AS early, max(ts) - INTERVAL 2 HOUR AS wm FROM events), f AS (SELECT e.*, event_id % 50 = 0 AND day_s + 86400 <= EPOCH(early) AS late, day_s + 86400 <= EPOCH(wm) AS closed FROM e, w)"
+
+
+@query("WITH " + CLOSED + " SELECT day_s, event_type, count(*) AS n FROM f WHERE closed AND NOT late GROUP BY 1, 2")
 def daily_edition_counts(m):
+    """As a stream in append mode: days that the watermark closed, without what came too late for them."""
+    return _in_two_turns(m, streams.daily_edition_counts).select("day_s", "event_type", "n")
+
+
+@query("WITH " + CLOSED + " SELECT day_s, event_id, event_type FROM f WHERE late")
+def late_events(m):
+    return _in_two_turns(m, streams.late_events).select("day_s", "event_id", "event_type")
+
+
+@query("SELECT EPOCH(date_trunc('day', ts)) AS day_s, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def daily_counts(m):
     return streams.daily_edition_counts(m.table("events"))
 
 

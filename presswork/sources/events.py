@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,18 +34,3 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     if partition_by:
         w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     w.parquet(path)
-
-
-def write_snapshot(spark: SparkSession, base: str, tables: dict[str, DataFrame]) -> str:
-    """Write all tables into a new folder, then point to it: readers see the old snapshot or the new one, never a mix."""
-    version = uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.parquet(f"{base}/{version}/{name}")
-    pointer = spark.createDataFrame([(version,)], "version string")
-    pointer.coalesce(1).write.mode("overwrite").text(f"{base}/_current")
-    return version
-
-
-def read_snapshot(spark: SparkSession, base: str, name: str) -> DataFrame:
-    version = spark.read.text(f"{base}/_current").first()["value"]
-    return spark.read.parquet(f"{base}/{version}/{name}")

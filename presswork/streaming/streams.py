@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.commits import CommitLog, saver
+
 
 def stream_new_articles(articles: DataFrame) -> DataFrame:
     """The first sighting of each url; state is kept for the lookback of 48 hours, after which nothing is fresh."""
@@ -21,13 +23,45 @@ def late_articles_sink(save: Callable[[DataFrame, int], None], cutoff_s: int) ->
     return lambda batch, batch_id: save(batch.where(F.unix_timestamp("published_at") < cutoff_s), batch_id)
 
 
-def stream_persist(runs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Persist every micro-batch under its own id. A batch that is written again replaces itself, so it counts once."""
+def stream_persist(changes: DataFrame, log: CommitLog, run_id: str, checkpoint: str) -> StreamingQuery:
+    """Persist every micro-batch of changes as commits.persist_batch does: its cards, rank changes and cursors together. A
+    batch that is run again, after a kill at any point, is committed once."""
+    return changes.writeStream.foreachBatch(saver(log, run_id)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+RUN_STATE = "run_id string, stage string, seq long, status string"
+
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def run_states(events: DataFrame, terminal: dict[str, str], lost_after_s: int) -> DataFrame:
+    """events(run_id, seq, stage, at), with a watermark on at -> (run_id, stage, seq, status), a row whenever a run changes.
 
-    return runs.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stage is the one of the highest seq. The first terminal stage, by seq, gives the run its status, such as done or error;
+    until then it is running. A run without one is lost when the watermark is more than lost_after_s beyond its last
+    event, by a timer of event time, so also if no event of it comes again; one that does, and is not late, sets it running.
+    """
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        row = lambda stage, seq, status: pd.DataFrame({"run_id": [key[0]], "stage": [stage], "seq": [seq], "status": [status]})
+        if state.hasTimedOut:
+            stage, seq, _, ended, _ = state.get
+            state.remove()
+            if ended is None:
+                yield row(stage, seq, "lost")
+            return
+        stage, seq, latest, ended, end_seq = state.get if state.exists else (None, None, 0, None, None)
+        for pdf in frames:
+            for s, what, at in zip(pdf["seq"], pdf["stage"], pdf["at"], strict=True):
+                latest = max(latest, int(at.timestamp() * 1000))
+                if seq is None or s > seq:
+                    stage, seq = what, int(s)
+                if what in terminal and (end_seq is None or s < end_seq):
+                    ended, end_seq = terminal[what], int(s)
+        state.update((stage, seq, latest, ended, end_seq))
+        state.setTimeoutTimestamp(max(latest + lost_after_s * 1000, state.getCurrentWatermarkMs() + 1))
+        yield row(stage, seq, ended or "running")
+
+    kept = "stage string, seq long, latest long, ended string, end_seq long"
+    return events.groupBy("run_id").applyInPandasWithState(fold, RUN_STATE, kept, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_progress(events: DataFrame) -> DataFrame:
@@ -42,11 +76,28 @@ def usage_stream(calls: DataFrame) -> DataFrame:
 
 
 def daily_edition_counts(events: DataFrame, ts: str = "ts") -> DataFrame:
-    """Events of each UTC day."""
+    """Events of each UTC day. On a stream with a watermark on ts, in append mode, a day comes out once, when the watermark
+    has closed it, and leaves the state; rows of closed days are dropped, and late_events gives them."""
     x = events.groupBy(F.window(ts, "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
     return x.select(F.unix_timestamp("w.start").alias("day_s"), "event_type", "n")
 
 
+LATE = "day_s long, event_id long, event_type string"
+
+
+def late_events(events: DataFrame) -> DataFrame:
+    """Of a stream with a watermark on ts, the rows whose UTC day the watermark had closed when they came, as daily_edition_counts
+    drops them. Keeps no state."""
+
+    def closed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if (key[0] + 86400) * 1000 <= state.getCurrentWatermarkMs():
+            for pdf in frames:
+                yield pdf[["day_s", "event_id", "event_type"]]
+
+    x = events.withColumn("day_s", F.unix_timestamp(F.date_trunc("day", "ts")))
+    return x.groupBy("day_s").applyInPandasWithState(closed, LATE, "nothing boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 CARD_STATE = "id long, front_page_rank long, updates long"
 
 
