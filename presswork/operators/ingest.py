@@ -14,7 +14,7 @@ def feed_plan(user_topics: DataFrame, user_sources: DataFrame, dim_feed: DataFra
     """The feeds to read for each user: those of their topics, kept where they chose the source, in curated order."""
     ordered = F.broadcast(dim_topic.select("topic", F.col("ord").alias("topic_ord")))
     wanted = user_topics.select("user_id", "topic").distinct().join(F.broadcast(dim_feed), "topic").join(ordered, "topic")
-    return wanted.join(user_sources.select("user_id", "source"), ["user_id", "source"], "left_semi")
+    return wanted.join(user_sources.select("user_id", "source").hint("merge"), ["user_id", "source"], "left_semi")
 
 
 def first_sighting(articles: DataFrame, order: list[str]) -> DataFrame:

@@ -61,7 +61,7 @@ def remove_bookmarks(bookmarks: DataFrame, gone: DataFrame) -> DataFrame:
 
 def replace_preferences(stored: DataFrame, new: DataFrame) -> DataFrame:
     """All rows of the users in new are replaced."""
-    return stored.join(new.select("user_id").distinct(), "user_id", "left_anti").unionByName(new.distinct())
+    return stored.join(new.select("user_id").distinct().hint("merge"), "user_id", "left_anti").unionByName(new.distinct())
 
 
 def fill_reports(cards: DataFrame, reports: DataFrame) -> DataFrame:

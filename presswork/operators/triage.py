@@ -20,6 +20,14 @@ def triage_batches(clusters: DataFrame) -> DataFrame:
     return x.withColumns({"batch": batch.cast("bigint"), "batch_pos": at.cast("bigint")}).drop("i", "n", "batches", "size", "larger")
 
 
+def batch_contexts(batched: DataFrame) -> DataFrame:
+    """(run_id, topic, batch, clusters, text) from triage_batches with the context of each cluster: what a judge reads, numbered
+    from 0 within the batch, as its answer refers to them. A batch is at most twenty clusters."""
+    lines = F.array_sort(F.collect_list(F.struct("batch_pos", F.concat(F.col("batch_pos").cast("string"), F.lit(". "), F.coalesce("context", F.lit(""))).alias("line"))))
+    x = batched.groupBy("run_id", "topic", "batch").agg(F.count("*").alias("clusters"), F.transform(lines, lambda s: s["line"]).alias("lines"))
+    return x.select("run_id", "topic", "batch", "clusters", F.array_join("lines", "\n\n").alias("text"))
+
+
 def first_verdict_wins(responses: DataFrame) -> DataFrame:
     """responses(batch_id, batch_size, verdicts array<struct<index, notable, severity>>): one verdict an index.
 

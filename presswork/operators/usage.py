@@ -90,6 +90,20 @@ def cost_projection(priced: DataFrame, users: int, days: int) -> DataFrame:
     return x.select("stage", (F.col("spent") / F.col("runs")).alias("per_run_usd"), (F.col("spent") / F.col("whole")).alias("share"), (F.col("spent") / F.col("runs") * users * days).alias("monthly_usd"))
 
 
+def cost_per_card(priced: DataFrame, cards: DataFrame) -> DataFrame:
+    """How each stage's list price of a run grows with its cards(run_id, cards): (stage, runs, slope_usd, intercept_usd, r2) of
+    the line of least squares. slope_usd is what one more card costs; all three are null where all runs have as many."""
+    per_run = priced.groupBy("run_id", "stage").agg(F.sum("list_usd").alias("usd")).join(cards.select("run_id", "cards").hint("merge"), "run_id")
+    x = per_run.groupBy("stage").agg(F.count("*").alias("runs"), *(f("usd", "cards").alias(name) for f, name in ((F.regr_slope, "slope_usd"), (F.regr_intercept, "intercept_usd"), (F.regr_r2, "r2"))))
+    return x.select("stage", "runs", *(F.when(F.col("slope_usd").isNotNull(), F.col(c)).alias(c) for c in ("slope_usd", "intercept_usd", "r2")))
+
+
+def cost_of_cards(per_card: DataFrame, sizes: list[int]) -> DataFrame:
+    """(cards, usd): the list price of a run of so many cards, by the lines of cost_per_card over all stages."""
+    x = per_card.where("slope_usd is not null").agg(F.sum("slope_usd").alias("slope"), F.sum("intercept_usd").alias("base"))
+    return x.select(F.explode(F.array(*(F.lit(n).cast("long") for n in sizes))).alias("cards"), "slope", "base").select("cards", (F.col("base") + F.col("slope") * F.col("cards")).alias("usd"))
+
+
 def single_source_share(members: DataFrame) -> DataFrame:
     """Of each topic the share of stories that rest on one article, from members(topic, cluster_pos)."""
     n = members.groupBy("topic", "cluster_pos").agg(F.count("*").alias("n"))

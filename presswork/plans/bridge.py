@@ -23,9 +23,9 @@ VIEWS = {
     "dim_feed": dims.values_sql(dims.feed_rows(), "topic, source, url, feed_ord"),
     # Customers as users. Each follows five topics and twelve sources, in no particular order; some store an unknown or a
     # repeated topic, or no source.
-    "user_topics": f"SELECT user_id, topic FROM (SELECT user_id, (user_id * 7 + k) % {len(dims.TOPICS)} AS ord FROM (SELECT c_custkey AS user_id, EACH[0, 3, 6, 9, 12] AS k FROM customer) c) x JOIN dim_topic USING (ord)"
+    "user_topics": f"SELECT /*+ BROADCAST(dim_topic) */ user_id, topic FROM (SELECT user_id, (user_id * 7 + k) % {len(dims.TOPICS)} AS ord FROM (SELECT c_custkey AS user_id, EACH[0, 3, 6, 9, 12] AS k FROM customer) c) x JOIN dim_topic USING (ord)"
     " UNION ALL SELECT c_custkey AS user_id, 'Gardening' AS topic FROM customer WHERE c_custkey % 6 = 0 UNION ALL SELECT c_custkey AS user_id, 'Tennis' AS topic FROM customer WHERE c_custkey % 4 = 0",
-    "user_sources": f"SELECT user_id, source FROM (SELECT user_id, (user_id * 5 + k) % {len(dims.SOURCES)} AS ord FROM (SELECT c_custkey AS user_id, EACH[{', '.join(str(11 * k) for k in range(12))}] AS k FROM customer WHERE c_custkey % 50 <> 3) c) x JOIN dim_source USING (ord)",
+    "user_sources": f"SELECT /*+ BROADCAST(dim_source) */ user_id, source FROM (SELECT user_id, (user_id * 5 + k) % {len(dims.SOURCES)} AS ord FROM (SELECT c_custkey AS user_id, EACH[{', '.join(str(11 * k) for k in range(12))}] AS k FROM customer WHERE c_custkey % 50 <> 3) c) x JOIN dim_source USING (ord)",
     # A thousand articles a user and a run, so both grow with the table. Copies of a text share its url.
     "articles": f"SELECT concat('u', CAST(CAST(floor(doc_id / 5000.0) AS BIGINT) * 5 + doc_id % 5 AS STRING)) AS user_id, concat('r', CAST(CAST(floor(doc_id / 4000.0) AS BIGINT) * 4 + doc_id % 4 AS STRING)) AS run_id, doc_id AS pos, substr(coalesce(text, ''), 1, 60) AS title, substr(coalesce(text, ''), 61) AS snippet, CASE WHEN doc_id % 97 = 0 THEN '' ELSE concat('https://news.example/', md5(coalesce(text, ''))) END AS url, source, lang AS topic, {NOW_S} - (doc_id * 7919 % 259200) AS published_s FROM documents",
     # The same texts as items of feeds, a quarter of four thousand a run. Five readers follow the runs of four thousand texts,

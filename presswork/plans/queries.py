@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import cluster_context, valid_date, valid_uuid
 from ..operators import edition, ingest, quality, reads, stories, story_state, tables, triage, usage
 from ..operators.vectors import banded_pairs
 from ..sources import commits, events, feeds, logs
@@ -264,6 +265,13 @@ def drop_covered(m):
     return stories.drop_covered(clusters, candidates, judged).select("cluster_pos", "topic")
 
 
+@query("WITH " + BATCHES + """, n AS (SELECT *, row_number() OVER (PARTITION BY run_id, topic, batch ORDER BY cluster_pos) - 1 AS k FROM batches) SELECT n.run_id, n.topic, batch, count(*) AS clusters, md5(string_agg(k || '. - ' || title || chr(10) || '  ' || substr(snippet, 1, 200), chr(10) || chr(10) ORDER BY k)) AS text FROM n JOIN clusters USING (cluster_pos) GROUP BY 1, 2, 3""")
+def batch_contexts(m):
+    context = cluster_context(F.array(F.struct("title", "snippet")))
+    x = triage.batch_contexts(triage.triage_batches(m["clusters"].withColumn("context", context)))
+    return x.withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
 @query("WITH " + JUDGED + " SELECT cluster_pos, notable, severity FROM judged")
 def align_verdicts(m):
     return _judged(m).select("cluster_pos", "notable", "severity")
@@ -410,6 +418,24 @@ def cost_projection(m):
     return out.select("stage", F.round("per_run_usd", 6).alias("per_run_usd"), F.round("share", 6).alias("share"), F.round("monthly_usd", 3).alias("monthly_usd"))
 
 
+CARDS_MADE = "made AS (SELECT run_id, count(*) FILTER (WHERE stage = 'signup') AS cards FROM usage_calls GROUP BY 1), spent AS (SELECT run_id, stage, sum(list_usd) AS usd FROM priced GROUP BY 1, 2), lines AS (SELECT stage, count(*) AS runs, regr_slope(usd, cards) AS slope, regr_intercept(usd, cards) AS base, regr_r2(usd, cards) AS r2 FROM spent JOIN made USING (run_id) GROUP BY 1)"
+
+
+def _per_card(m):
+    return usage.cost_per_card(_priced(m), m["usage_calls"].groupBy("run_id").agg(F.count_if(F.col("stage") == "signup").alias("cards")))
+
+
+@query("WITH " + PRICED + ", " + CARDS_MADE + " SELECT stage, runs, round(slope, 7) AS slope_usd, round(base, 6) AS intercept_usd, round(r2, 6) AS r2 FROM lines")
+def cost_per_card(m):
+    """A call of the stage signup stands for a card that was written."""
+    return _per_card(m).select("stage", "runs", F.round("slope_usd", 7).alias("slope_usd"), F.round("intercept_usd", 6).alias("intercept_usd"), F.round("r2", 6).alias("r2"))
+
+
+@query("WITH " + PRICED + ", " + CARDS_MADE + ", sizes AS (SELECT unnest([15, 20, 30, 130]) AS cards) SELECT CAST(cards AS BIGINT) AS cards, round(sum(base) + sum(slope) * max(cards), 5) AS usd FROM lines, sizes GROUP BY cards")
+def cost_of_cards(m):
+    return usage.cost_of_cards(_per_card(m), [15, 20, 30, 130]).withColumn("usd", F.round("usd", 5))
+
+
 @query("SELECT topic, round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6) AS share FROM (SELECT source AS topic, cluster_pos, count(*) AS n FROM cluster_articles GROUP BY 1, 2) GROUP BY topic")
 def single_source_share(m):
     out = usage.single_source_share(m["cluster_articles"].select(F.col("source").alias("topic"), "cluster_pos"))
@@ -695,9 +721,18 @@ def cascade_delete(m):
 
 
 # ---- 2.11 quality
-@query("SELECT 'digests.user_date' AS \"check\", CAST(user_id AS VARCHAR) || '|' || CAST(date_s AS VARCHAR) AS value, count(*) AS n FROM digests GROUP BY user_id, date_s HAVING count(*) > 1 UNION ALL SELECT 'cards.id', CAST(id AS VARCHAR), count(*) FROM cards GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'bookmarks.card_id', '-1', count(*) FROM bookmarks WHERE card_id NOT IN (SELECT id FROM cards)")
+_UUID = "concat(substr(md5(id), 1, 8), '-', substr(md5(id), 9, 4), '-4', substr(md5(id), 14, 3), '-8', substr(md5(id), 18, 3), '-', substr(md5(id), 21, 12))"
+
+
+@query("""SELECT 'digests.user_date' AS "check", CAST(user_id AS VARCHAR) || '|' || CAST(date_s AS VARCHAR) AS value, count(*) AS n FROM digests GROUP BY user_id, date_s HAVING count(*) > 1 UNION ALL SELECT 'cards.id', CAST(id AS VARCHAR), count(*) FROM cards GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'bookmarks.card_id', '-1', count(*) FROM bookmarks WHERE card_id NOT IN (SELECT id FROM cards)
+UNION ALL SELECT 'user_topics.pair', CAST(user_id AS VARCHAR) || '|' || topic, count(*) FROM user_topics GROUP BY user_id, topic HAVING count(*) > 1 UNION ALL SELECT 'user_sources.pair', CAST(user_id AS VARCHAR) || '|' || source, count(*) FROM user_sources GROUP BY user_id, source HAVING count(*) > 1
+UNION ALL SELECT 'digests.uuid', 'not-a-uuid', count(*) FROM digests WHERE user_id % 3 = 1 UNION ALL SELECT 'digests.date', '1/2/2024', count(*) FROM digests WHERE user_id % 4 = 2""")
 def key_violations(m):
-    return quality.key_violations(m["digests"], m["cards"], m["bookmarks"])
+    """Every third reader's digests have an id, and every fourth's a date, of the wrong format."""
+    d = m["digests"]
+    told = d.select(F.when(F.col("user_id") % 3 == 1, "not-a-uuid").otherwise(F.expr(_UUID)).alias("uuid"), F.when(F.col("user_id") % 4 == 2, "1/2/2024").otherwise(F.date_format(F.timestamp_seconds("date_s"), "yyyy-MM-dd")).alias("date"))
+    formats = [("digests.uuid", told, "uuid", valid_uuid(F.col("uuid"))), ("digests.date", told, "date", valid_date(F.col("date")))]
+    return quality.key_violations(d, m["cards"], m["bookmarks"], m["user_topics"], m["user_sources"], formats)
 
 
 @query("SELECT user_id, 'unknown_topic' AS error, topic AS value FROM user_topics WHERE topic NOT IN (SELECT topic FROM dim_topic) UNION ALL SELECT c_custkey, 'no_sources', '' FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM user_sources) UNION ALL SELECT c_custkey, 'no_topics', '' FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM user_topics)")
