@@ -22,8 +22,8 @@ def digest_for_date(digests: DataFrame, cards: DataFrame, bookmarks: DataFrame)
     """Every digest's cards with the bookmark flag and their place in the day: newest first, then by id."""
     of = digests.select(F.col("id").alias("digest_id"), "last_generated_s")
     place = Window.partitionBy("digest_id").orderBy(F.desc("published_s"), "id")
-    flagged = bookmark_flag(card_view(cards).join(of, "digest_id"), bookmarks)
-    return flagged.withColumn("place", F.row_number().over(place))
+    # Numbered before the bookmarks are joined by reader and card, while rows still lie by digest.
+    return bookmark_flag(card_view(cards).join(of, "digest_id").withColumn("place", F.row_number().over(place)), bookmarks)
 
 
 def topic_page(day: DataFrame, topic: str) -> DataFrame:

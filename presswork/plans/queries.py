@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import cluster_context, valid_date, valid_uuid
 from ..operators import edition, ingest, quality, reads, stories, story_state, tables, triage, usage
 from ..operators.vectors import banded_pairs
-from ..sources import commits, events, feeds, logs
+from ..sources import commits, events, feeds, layout, logs
 from ..streaming import streams
 from . import dims, jobs
 from .bridge import NOW_S, Model, oracle
@@ -221,6 +221,15 @@ def digest_for_date(m):
     return reads.digest_for_date(m["digests"], m["cards"], m["bookmarks"]).select("digest_id", "id", "title", "last_generated_s", "bookmarked", "place")
 
 
+@query("WITH " + DAY + " SELECT digest_id, id, coalesce(title, '') AS title, last_generated_s, bookmarked, CAST(place AS INTEGER) AS place FROM day WHERE date_s BETWEEN 870000000 AND 890000000")
+def stored_digests(m):
+    """A range of days from the stored tables, of which other days are not read."""
+    prefix = f"editions_{uuid.uuid4().hex}"
+    layout.store_editions(m["cards"], m["digests"], prefix, stories.shared_folder(m.spark), 4)
+    cards, digests = layout.stored_editions(m.spark, prefix, 870000000, 890000000)
+    return reads.digest_for_date(digests, cards, m["bookmarks"]).select("digest_id", "id", "title", "last_generated_s", "bookmarked", "place")
+
+
 @query("SELECT c.id, c.user_id, EXISTS (SELECT 1 FROM bookmarks b WHERE b.user_id = c.user_id AND b.card_id = c.id) AS bookmarked FROM cards c")
 def bookmark_flag(m):
     return reads.bookmark_flag(m["cards"], m["bookmarks"]).select("id", "user_id", "bookmarked")

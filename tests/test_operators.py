@@ -216,3 +216,48 @@ def test_texts_far_beyond_the_limits_are_clipped_there(spark):
     one = spark.createDataFrame([("t", "x" * 5000)], "title string, snippet string")
     n = one.select(*(F.length(exprs.clip(F.col("snippet"), k)).alias(f"n{k}") for k in (200, 300, 1200))).first()
     assert tuple(n) == (200, 300, 1200)
+
+
+def test_stored_editions_are_pruned_and_do_not_shuffle_by_digest(spark, sf_dir, tmp_path):
+    import re
+
+    from presswork.sources import layout
+
+    m = Model(spark, sf_dir)
+    layout.store_editions(m["cards"], m["digests"], "editions_test", str(tmp_path), 4)
+    cards, digests = layout.stored_editions(spark, "editions_test", 870000000, 890000000)
+    columns = ["digest_id", "id", "place", "bookmarked"]
+    stored = reads.digest_for_date(digests.hint("merge"), cards, m["bookmarks"]).select(*columns)
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\((digest_id|id)#\d+,", plan)
+    filters = re.findall(r"PartitionFilters: \[([^]]*)\]", plan)
+    assert sum("870000000" in f and "890000000" in f for f in filters) == 2
+    plain = reads.digest_for_date(m["digests"].where("date_s between 870000000 and 890000000"), m["cards"], m["bookmarks"]).select(*columns)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, plain.collect())) != []
+    spark.sql("DROP TABLE editions_test_cards")
+    spark.sql("DROP TABLE editions_test_digests")
+
+
+def test_cost_per_card(spark):
+    priced = spark.createDataFrame([(r, s, 0.05 + k * n * 0.5) for r, n in ((1, 2), (2, 4), (3, 9)) for s, k in (("writing", 0.01), ("triage", 0.0)) for _ in range(2)], "run_id long, stage string, list_usd double")
+    cards = spark.createDataFrame([(1, 2), (2, 4), (3, 9), (4, 7)], "run_id long, cards long")
+    per = usage.cost_per_card(priced, cards)
+    got = {r["stage"]: (r["runs"], round(r["slope_usd"], 9), round(r["intercept_usd"], 9)) for r in per.collect()}
+    assert got == {"writing": (3, 0.01, 0.1), "triage": (3, 0.0, 0.1)}
+    assert {r["cards"]: round(r["usd"], 9) for r in usage.cost_of_cards(per, [0, 30]).collect()} == {0: 0.2, 30: 0.5}
+    same = usage.cost_per_card(priced.where("run_id = 1"), cards).collect()
+    assert all(r["slope_usd"] is None and r["intercept_usd"] is None for r in same)
+
+
+def test_batch_contexts_are_numbered_from_zero(spark):
+    c = spark.createDataFrame([("r", "t", i, f"- c{i}" if i else None) for i in range(21)], "run_id string, topic string, cluster_pos long, context string")
+    got = {r["batch"]: (r["clusters"], r["text"]) for r in triage.batch_contexts(triage.triage_batches(c)).collect()}
+    assert got[0] == (11, "\n\n".join(f"{i}. {f'- c{i}' if i else ''}" for i in range(11)))
+    assert got[1] == (10, "\n\n".join(f"{i}. - c{i + 11}" for i in range(10)))
+
+
+def test_formats(spark):
+    from presswork.functions.exprs import valid_uuid
+
+    t = spark.createDataFrame([("123e4567-e89b-42d3-a456-426614174000",), ("not-a-uuid",), ("not-a-uuid",), (None,)], "id string")
+    assert [tuple(r) for r in quality.bad_formats(t, "t.id", "id", valid_uuid(F.col("id"))).collect()] == [("t.id", "not-a-uuid", 2)]
