@@ -143,6 +143,17 @@ def _edit_sql() -> str:
     return ", ".join(out)
 
 
+def _node_sql(url: str) -> str:
+    """A url without its fragment, scheme and host in lower case and / for an empty path; null without ://."""
+    path = rf"CASE {_path_sql(url)} WHEN '' THEN '/' ELSE {_path_sql(url)} END"
+    return rf"CASE WHEN contains({url}, '://') THEN translate(regexp_extract({url}, '(?s)^(.*?)://', 1), {_AZ}) || '://' || {_host_sql(url)} || {path} || regexp_extract({url}, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)?', 1) END"
+
+
+def _value_sql(tag: str, name: str) -> str:
+    """The value of an attribute; no tag of the tables' pages has entities or paths with dots, which tests hold."""
+    return rf"""trim(regexp_extract({tag}, '(?is)[\s"'']{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1), '"'' ')"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": rf"""
 WITH l AS (
@@ -161,31 +172,33 @@ FROM j GROUP BY doc_id
 """,
     "op2_url_filter": rf"""
 WITH RECURSIVE p AS (
-  SELECT page_id, url, html, {_host_sql("url")} AS host, {_path_sql("url")} AS path FROM pages
+  SELECT page_id, url, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html, {_host_sql("url")} AS host, {_path_sql("url")} AS path, {_node_sql("url")} AS node FROM pages
 ), t AS (
-  SELECT host, path, unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?\s*([^"''>\s]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?\s*([^"''>\s]+)', 1)
-  ]) AS a FROM p WHERE url IS NOT NULL
+  SELECT url, unnest([
+    list_filter(list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda x: [{_value_sql("x", "rel")}, {_value_sql("x", "href")}]), lambda x: list_contains(regexp_split_to_array(lower(x[1]), '\s+'), 'canonical'))[1][2],
+    regexp_extract(list_filter(list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda x: [{_value_sql("x", "http-equiv")}, {_value_sql("x", "content")}]), lambda x: lower(x[1]) = 'refresh')[1][2], '(?is)\burl\s*=\s*["'']?\s*([^"''\s]+)', 1)
+  ]) AS a FROM p WHERE contains(url, '://')
 ), w AS (
-  SELECT host || path AS src, CASE WHEN contains(a, '://') THEN a WHEN starts_with(a, '//') THEN 'http:' || a
-    WHEN starts_with(a, '/') THEN 'http://' || host || a
-    ELSE 'http://' || host || CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*/)', 1) ELSE '/' END || a END AS u
-  FROM t WHERE a <> ''
+  SELECT url, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) AS name, {_path_sql("url")} AS path, regexp_replace(a, '(?s)#.*$', '') AS a FROM t WHERE a <> ''
+), x AS (
+  SELECT url, CASE WHEN regexp_matches(a, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN a WHEN regexp_matches(a, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(a, '//') THEN scheme || ':' || a
+    WHEN starts_with(a, '/') THEN scheme || '://' || name || a WHEN starts_with(a, '?') THEN scheme || '://' || name || path || a WHEN a = '' THEN regexp_replace(url, '(?s)#.*$', '')
+    ELSE scheme || '://' || name || CASE WHEN contains(path, '/') THEN regexp_extract(path, '(?s)^(.*/)', 1) ELSE '/' END || a END AS u
+  FROM w
 ), e AS (
-  SELECT src, {_host_sql("u")} || {_path_sql("u")} AS dst FROM w
+  SELECT {_node_sql("url")} AS src, {_node_sql("u")} AS dst FROM x WHERE u IS NOT NULL
 ), both_ways AS (
   SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e
 ), reach AS (
   SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, x.b FROM reach r JOIN both_ways x ON x.a = r.other
 ), ruled AS (
-  SELECT node, {_rule_sql("split_part(other, '/', 1)", "substr(other, length(split_part(other, '/', 1)) + 1)", 3)} AS v FROM reach
+  SELECT node, {_rule_sql(_host_sql("other"), _path_sql("other"), 3)} AS v FROM reach
 ), spread AS (
   SELECT node, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' ELSE 'allow' END AS v FROM ruled GROUP BY node
 )
 SELECT page_id, host, path, {_rule_sql("host", "path", 2)} AS rule,
        coalesce({_rule_sql("host", "path", 3)}, s.v, 'allow') AS verdict
-FROM p LEFT JOIN spread s ON s.node = host || path
+FROM p LEFT JOIN spread s ON s.node = p.node
 """,
     "op4_exact_dedup": r"""
 WITH d AS (

@@ -55,18 +55,65 @@ def test_aliases(spark):
         (7, "http://x.org/7", canonical("http://a.net/6")),  # an allowed alias takes precedence
         (8, "http://a.net/8", "<p>no link</p>"),
         (9, "http://x.com/de/8", None),  # its own rule stands
-        (10, "http://a.net/1?again", None),  # the same place as 1
+        (10, "http://a.net/1?again", None),  # another page than 1
         (None, "http://a.net/2#x", None),
         (10, "http://a.net/dir/10", canonical("11")),
         (11, "http://a.net/dir/11", canonical("//x.com/de/7")),
     ]
     got = sorted((str(r["page_id"]), r["path"], r["verdict"]) for r in urls.url_verdicts(pages(spark, data)).collect())
-    expected = [("1", "/1", "block"), ("2", "/2", "block"), ("3", "/3", "allow"), ("4", "/4", "allow"), ("5", "/5", "allow"), ("6", "/6", "allow"), ("7", "/7", "allow"), ("8", "/8", "allow"), ("9", "/de/8", "block"), ("10", "/1", "block"), ("None", "/2", "block"), ("10", "/dir/10", "block"), ("11", "/dir/11", "block")]
+    expected = [("1", "/1", "block"), ("2", "/2", "block"), ("3", "/3", "allow"), ("4", "/4", "allow"), ("5", "/5", "allow"), ("6", "/6", "allow"), ("7", "/7", "allow"), ("8", "/8", "allow"), ("9", "/de/8", "block"), ("10", "/1", "allow"), ("None", "/2", "block"), ("10", "/dir/10", "block"), ("11", "/dir/11", "block")]
     assert got == sorted(expected)
 
 
+def test_links_to_no_page_and_other_pages(spark):
+    """Verdicts go to the very page that a link names, and never through urls that name none."""
+    bad = "http://x.com/de/9"
+    data = [
+        (1, "no scheme", canonical(bad)),  # names no page
+        (2, "also none", None),
+        (3, None, canonical(bad)),
+        (4, None, None),
+        (5, "http://forum.net/view?id=1", canonical(bad)),
+        (6, "http://forum.net/view?id=2", None),  # another query, another page
+        (7, "HTTP://Forum.net/view?id=1#top", None),  # the page of 5
+        (8, "http://c.net/a/b", canonical("?x=1")),  # c.net/a/b?x=1
+        (9, "http://c.net/a/", None),
+        (10, "http://c.net/a/b?x=1", canonical(bad)),
+        (11, "http://c.net/x/y/z", canonical("../../de/../q/./r")),  # c.net/q/r
+        (12, "http://c.net/q/r", canonical(bad)),
+        (13, "http://d.net/1", f'<link title="a" rel="nofollow Canonical" href=\'{bad}\'>'),
+        (14, "http://d.net/2", f'<!-- <link rel="canonical" href="{bad}"> -->'),
+        (15, "http://d.net/3", '<link rel="canonical" href="http://d.net/s?a=1&amp;b=2">'),
+        (16, "http://d.net/s?a=1&b=2", canonical(bad)),
+        (17, "http://d.net/5", canonical("mailto:x@x.com/de/")),
+        (18, "http://d.net/6", '<link rel="canonical-not" href="http://x.com/de/1"><link rel=alternate href=/7>'),
+        (19, "http://d.net", canonical(bad)),
+        (20, "http://d.net/", None),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in urls.url_verdicts(pages(spark, data)).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {5, 7, 8, 10, 11, 12, 13, 15, 16, 19, 20}
+
+
+@pytest.mark.parametrize("base", ["http://a.b/c/d/e?q#f", "https://A.b", "http://a.b/", "http://a.b/x/../y"])
+def test_resolving(spark, base):
+    from urllib.parse import urldefrag, urljoin
+
+    from pyspark.sql import functions as F
+
+    refs = ["g", "./g", "g/", "/g", "//h/i", "?y", "g?y", "#s", "g#s", "..", "../", "../g", "../../g", "../../../../g", "./../g", "./g/.", "g/./h", "g/../h", "/./g", "/../g", "http://z/a/b?c", "g;x=1/../y", "../..", "."]
+    rows = spark.createDataFrame([(base, r) for r in refs], "base string, ref string").select("ref", urls.page_node(urls.resolved(F.col("base"), F.col("ref"))).alias("got"))
+    node = lambda u: u if "/" in u.split("://")[1] else u.replace("?", "/?") if "?" in u else u + "/"
+    for r in rows.collect():
+        want = urldefrag(urljoin(base, r["ref"]))[0]
+        scheme, rest = want.split("://")
+        host = rest.split("/")[0].split("?")[0]
+        if r["ref"] in ("?y", "#s") and "/../" in base:
+            continue  # a base with dots of its own: urljoin leaves them, as the page's own url is taken
+        assert r["got"] == node(f"{scheme}://{host.lower()}{rest[len(host):]}"), r["ref"]
+
+
 def test_given_edges_and_empty(spark):
-    edges = spark.createDataFrame([("a.net/1", "x.com/de/1")], "src string, dst string")
+    edges = spark.createDataFrame([("http://a.net/1", "http://x.com/de/1")], "src string, dst string")
     assert urls.url_verdicts(pages(spark, [(1, "http://a.net/1", None)]), edges=edges).first()["verdict"] == "block"
     assert urls.url_verdicts(spark.createDataFrame([], PAGE)).count() == 0
 
