@@ -24,8 +24,10 @@ def filter_bits(rows: int, bits_per_row: int, most_bits: int) -> int:
 
 
 def _cells(bits: int) -> list[Column]:
+    """Two cells in one block, so that a row meets one bitmap."""
     first = F.xxhash64("text_sha256")
-    return [F.pmod(first, F.lit(bits)), F.pmod(F.xxhash64(first, F.lit(7)), F.lit(bits))]
+    cell = F.pmod(first, F.lit(bits))
+    return [cell, cell - cell % BLOCK + F.pmod(F.xxhash64(first, F.lit(7)), F.lit(BLOCK))]
 
 
 def repeat_filter(digests: DataFrame, bits: int) -> DataFrame:
@@ -40,17 +42,15 @@ def repeat_filter(digests: DataFrame, bits: int) -> DataFrame:
 
 
 def _probe(rows: DataFrame, cells: DataFrame, bits: int) -> DataFrame:
-    """Pass 2: rows with a column maybe, true if both of the row's cells are in the filter."""
-    for k, cell in enumerate(_cells(bits)):
-        block = cells.select(F.col("block").alias(f"block{k}"), F.col("bitmap").alias(f"bitmap{k}"))
-        rows = rows.withColumn(f"cell{k}", cell).withColumn(f"block{k}", F.shiftright(f"cell{k}", 15))
-        rows = rows.join(F.broadcast(block), f"block{k}", "left")
+    """Pass 2: rows with a column maybe, true if both of the row's cells are in the filter, which is broadcast once."""
+    first, second = _cells(bits)
+    x = rows.withColumn("_cell0", first).withColumn("_cell1", second).withColumn("_block", F.shiftright("_cell0", 15))
+    x = x.join(F.broadcast(cells.select(F.col("block").alias("_block"), F.col("bitmap").alias("_bitmap"))), "_block", "left")
     tests = [
-        F.expr(f"shiftright(cast(conv(hex(substring(bitmap{k}, int((cell{k} & {BLOCK - 1}) div 8) + 1, 1)), 16, 10) as int), int(cell{k} & 7)) & 1")
+        F.expr(f"shiftright(cast(conv(hex(substring(_bitmap, int((_cell{k} & {BLOCK - 1}) div 8) + 1, 1)), 16, 10) as int), int(_cell{k} & 7)) & 1")
         for k in (0, 1)
     ]
-    maybe = F.coalesce(tests[0] * tests[1] == 1, F.lit(False))
-    return rows.withColumn("maybe", maybe).drop(*(f"{x}{k}" for x in ("cell", "block", "bitmap") for k in (0, 1)))
+    return x.select(*rows.columns, F.coalesce(tests[0] * tests[1] == 1, F.lit(False)).alias("maybe"))
 
 
 def _more_bits(rows: int) -> int:
