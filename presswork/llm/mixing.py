@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import WHITE, field, materialize, row_struct, text_or_empty
 
 DOMAINS = ("good", "junk", "toxic")
-#: Share of the mixed tokens that each domain is to have, were domains known for certain; see soft_targets.
-TARGETS = {"good": 0.99, "junk": 0.01, "toxic": 0.0}
+#: Share of the mixed tokens that each domain is expected to have. Memberships are soft: also a set without any toxic text is
+#: expected to hold a little of it, and a target of 0 would take away good texts of which the classifier is merely unsure.
+TARGETS = {"good": 0.96, "junk": 0.02, "toxic": 0.02}
 #: A row goes into the mix at most so many times.
 MOST_RATE = 2.0
 #: The classifier is fitted on at most so many labelled documents, those of the lowest hashes of doc_id.
@@ -33,6 +34,8 @@ BUCKETS = 1 << 16
 SIGNIFICANT, KEPT = 15.0, 1024
 #: Of the rates, against change.
 RIDGE = 0.02
+#: Rows whose posteriors are within the same steps of this size share the rounds that fit the rates.
+GRAIN = 1e-3
 #: Rounds at most; the change of any domain's share of the tokens that ends them.
 STEPS, TOLERANCE = 40, 2e-4
 
@@ -76,14 +79,6 @@ class Model:
     bias: np.ndarray  # [domain]
     slots: np.ndarray  # [bucket], 0: no weight
     weights: np.ndarray  # [domain, slot], slot 0 unused
-    confusion: np.ndarray  # [domain, domain]: the mean posteriors of the labelled tokens of a domain
-
-    def soft_targets(self, targets: dict[str, float] | None = None) -> dict[str, float]:
-        """The posteriors that a mix with these shares of certain domains is expected to have. Memberships are soft: a
-        set without any toxic text still expects a little of it, and rates that force this to 0 would take away good
-        texts of which the classifier is merely unsure."""
-        share = np.array([(TARGETS if targets is None else targets)[d] for d in DOMAINS])
-        return dict(zip(DOMAINS, (share @ self.confusion).tolist(), strict=True))
 
 
 def telling_buckets(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -174,20 +169,13 @@ def fit_known(known: DataFrame) -> Model:
     for at, *n in known.select("domain", F.explode("buckets").alias("at")).groupBy("at").agg(*part).collect():
         counts[:, at] = n
     slots = telling_buckets(counts, np.array(known.agg(*part).first(), float))
-    model = Model(np.zeros(len(DOMAINS)), slots, np.zeros((len(DOMAINS), slots.max() + 1)), np.eye(len(DOMAINS)))
-    found = known.select("domain", "tokens", hits_of(F.col("buckets"), model).alias("hits")).collect()
+    model = Model(np.zeros(len(DOMAINS)), slots, np.zeros((len(DOMAINS), slots.max() + 1)))
+    found = known.select("domain", hits_of(F.col("buckets"), model).alias("hits")).collect()
     x = np.zeros((len(found), slots.max() + 1), bool)
     for i, r in enumerate(found):
         x[i, r["hits"]] = True
     y = np.array([DOMAINS.index(r["domain"]) for r in found], int)
     bias, weights = regression(x[:, 1:], y)
-    z = x[:, 1:] @ weights + bias
-    p = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
-    p = p / p.sum(1, keepdims=True)
-    tokens = np.array([r["tokens"] for r in found], float)
-    for d in range(len(DOMAINS)):  # a domain without labelled tokens is taken as certain
-        if tokens[y == d].sum():
-            model.confusion[d] = tokens[y == d] @ p[y == d] / tokens[y == d].sum()
     model.bias = (bias - bias[0]).astype(float)
     model.weights[:, 1:] = (weights - weights[:, :1]).T
     return model
@@ -244,8 +232,9 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
     The metric of the residual is the inverse of the domains' second moments, so the step 1 / (1 + ridge) suits all
     domains, whatever their sizes; the momentum is Nesterov's for that objective. budget is the tokens of the mix;
     unless given, such that the domain with the largest target keeps what it has. Targets out of reach (a domain too
-    scarce for most_rate) are met as nearly as least squares can. Each round is one aggregation over the written
-    table; only sums by domain reach the driver.
+    scarce for most_rate) are met as nearly as least squares can. Rows whose posteriors agree to GRAIN are one row of the
+    rounds, with the sum of their tokens, so a round reads a table whose size does not grow with the rows; only sums by
+    domain reach the driver.
     """
     share = np.array([targets[d] for d in DOMAINS])
     k, p = len(DOMAINS), [F.col(f"p_{d}") for d in DOMAINS]
@@ -260,6 +249,9 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
     metric = np.linalg.pinv(moments, rcond=1e-9, hermitian=True)
     slow = np.sqrt(ridge / (1 + ridge))
     momentum = (1 - slow) / (1 + slow)
+    grain = [F.round(x / GRAIN).cast("int").alias(f"g{i}") for i, x in enumerate(p[1:])]
+    means = [(F.sum(tokens * x) / F.sum(tokens)).alias(f"p_{d}") for x, d in zip(p, DOMAINS, strict=True)]
+    members = materialize(members.where("tokens > 0").groupBy(*grain).agg(F.sum("tokens").alias("tokens"), *means), "alike-members")
     steps: list[list[float]] = []
     still = 0
     while len(steps) < STEPS and still < 2:
@@ -277,9 +269,17 @@ def copies_of(rate: Column) -> Column:
     return F.floor(rate + u).cast("int")
 
 
+def expected_shares(rated: DataFrame) -> DataFrame:
+    """(domain, share, mixed): of the result of mixing_rates the share of each domain in the expected tokens, as they were
+    and as the rates mix them, to be held against the targets."""
+    x = rated.agg(*(F.sum(F.col("tokens") * F.col(f"p_{d}") * r).alias(f"{d}{i}") for d in DOMAINS for i, r in enumerate((F.lit(1.0), F.col("rate")))))
+    whole = [sum((F.col(f"{d}{i}") for d in DOMAINS[1:]), F.col(f"{DOMAINS[0]}{i}")) for i in (0, 1)]
+    return x.select(F.explode(F.array(*(F.struct(F.lit(d).alias("domain"), (F.col(f"{d}0") / whole[0]).alias("share"), (F.col(f"{d}1") / whole[1]).alias("mixed")) for d in DOMAINS))).alias("s")).select("s.*")
+
+
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most_rate: float = MOST_RATE) -> DataFrame:
-    """One row per row of docs: doc_id, tokens, p_good, p_junk, p_toxic, rate, copies. targets are shares of domains known
-    for certain.
+    """One row per row of docs: doc_id, tokens, p_good, p_junk, p_toxic, rate, copies. targets are the shares of the
+    domains in the expected tokens of the mix; see TARGETS and expected_shares.
 
     copies, at most most_rate rounded up, is how often the row goes into the mix. Null and empty texts have no tokens
     and do not bear on the totals; their posteriors are those of a text without features. Repeated rows count each,
@@ -288,7 +288,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     """
     model = fit_classifier(docs, labels)
     members = materialize(with_memberships(docs, model, [F.col("doc_id")]), "members")
-    rate = rate_of(fit_rates(members, model.soft_targets(targets), most_rate=most_rate), most_rate=most_rate)
+    rate = rate_of(fit_rates(members, targets or TARGETS, most_rate=most_rate), most_rate=most_rate)
     return members.select("*", rate.alias("rate")).withColumn("copies", copies_of(F.col("rate")))
 
 
@@ -301,7 +301,7 @@ def mixed(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None =
     """
     model = fit_classifier(docs if labelled_docs is None else labelled_docs, labels)
     members = materialize(with_memberships(docs, model, [F.col("doc_id"), row_struct(docs).alias("row")]), "members")
-    rate = rate_of(fit_rates(members, model.soft_targets(targets), most_rate=most_rate), most_rate=most_rate)
+    rate = rate_of(fit_rates(members, targets or TARGETS, most_rate=most_rate), most_rate=most_rate)
     rows = members.withColumn("copies", copies_of(rate)).where("copies > 0")
     rows = rows.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row"))
     return rows.select(*(field("row", c) for c in docs.columns))
