@@ -5,13 +5,21 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with at least 1 / HOT of the rows is hot, so there are at most HOT of them to broadcast.
 HOT = 1000
+#: So many links, some megabytes, are worked by one task rather than by rounds of joins.
+FEW_LINKS = 100_000
+#: Where written tables go, if not straight into the shared folder.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 _FOLDERS: dict[str, str] = {}
 
 
@@ -31,9 +39,22 @@ def package_on_workers(spark: SparkSession) -> None:
         spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables that written makes inside of it are deleted at its end, so results must be used or saved before."""
+    folder = f"{_SCRATCH.get() or shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    before = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut and its size known."""
-    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    """df as a table in the shared folder: its lineage is cut and its size known. See scratch for when it goes."""
+    path = f"{_SCRATCH.get() or shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -49,16 +70,42 @@ def with_hot_keys(rows: DataFrame, per_key: DataFrame, key: str, size: str) -> D
     return rows.join(F.broadcast(few), key).unionByName(others)
 
 
-def star_components(links: DataFrame, rounds: int = 200) -> DataFrame:
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of a few links, by a forest whose roots are the smallest ids."""
+    above: dict = {}
+    kind = None
+
+    def root(x):
+        while above.setdefault(x, x) != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for b in batches:
+        kind = b.schema.field("a").type
+        for a, c in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True):
+            low, high = sorted((root(a), root(c)))
+            above[high] = low
+    if above:
+        yield pa.RecordBatch.from_arrays([pa.array(list(above), kind), pa.array([root(x) for x in list(above)], kind)], ["id", "component"])
+
+
+def star_components(links: DataFrame, rounds: int = 200, few: int = FEW_LINKS) -> DataFrame:
     """(id, component) of every end of links(a, b): the smallest id that it reaches. Ends that link to nothing but
     themselves are left out.
 
-    Each round hangs every id's larger neighbours on the smallest one, then every id's smaller neighbours too, so the
+    At most few links are worked by one task, which a table of that size does not burden; more of them go by rounds. Each
+    round hangs every id's larger neighbours on the smallest one, then every id's smaller neighbours too, so the
     distances shrink by a factor each round; it ends when all links form stars. Rounds grow with the logarithm of
     the longest chain, so the bound is far beyond what any table needs.
     """
     links = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
+    if links.count() <= few:
+        kind = links.schema["a"].dataType.simpleString()
+        package_on_workers(links.sparkSession)
+        return links.coalesce(1).mapInArrow(_joined_up, f"id {kind}, component {kind}")
+
     def smallest(ends: DataFrame) -> DataFrame:
         return written(ends.groupBy("x").agg(F.least(F.min("y"), "x").alias("root"), F.count("*").alias("n")))
 

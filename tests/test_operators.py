@@ -261,3 +261,41 @@ def test_formats(spark):
 
     t = spark.createDataFrame([("123e4567-e89b-42d3-a456-426614174000",), ("not-a-uuid",), ("not-a-uuid",), (None,)], "id string")
     assert [tuple(r) for r in quality.bad_formats(t, "t.id", "id", valid_uuid(F.col("id"))).collect()] == [("t.id", "not-a-uuid", 2)]
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_by_rounds_and_by_one_task(spark, few):
+    from presswork.operators.skew import star_components
+
+    rng = random.Random(8)
+    links = [(i, i + 1) for i in range(200, 300)] + [(500, i) for i in range(501, 560)] + [(rng.randrange(100), rng.randrange(100)) for _ in range(60)] + [(7, 7), (400, 400)]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for a in sorted(near):
+        todo = [a]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = a
+                todo += near[x]
+    lone = {x for x in near if near[x] == {x}}
+    got = {r["id"]: r["component"] for r in star_components(spark.createDataFrame(links, "a long, b long").repartition(4), few=few).collect()}
+    assert got == {k: v for k, v in want.items() if k not in lone}
+    assert star_components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from presswork.operators.skew import scratch, written
+
+    with scratch(spark) as folder:
+        assert written(spark.range(5)).count() == 5
+        with scratch(spark) as inner:
+            assert inner.startswith(folder) and written(spark.range(3)).count() == 3
+        assert len(os.listdir(folder)) == 1
+    assert not os.path.exists(folder)
+    assert written(spark.range(2)).count() == 2
