@@ -191,8 +191,8 @@ def line_dedup(docs: DataFrame, with_text: bool = True, probes_per_shard: int =
 
     1. Each batch of documents gives its distinct line hashes once, so a line that is everywhere costs one row a
        batch. 2. Hashes found in at least two documents go to shards by hash; each shard is a minimal perfect hash over
-       arrays of fingerprints, counts and first documents. Hashes that very many batches hold make one more shard, of
-       at most HEAVY of them, which goes to all tasks, so no shard is probed by more than its share. 3. The batches'
+       arrays of fingerprints, counts and first documents. Hashes that very many rows hold make one more shard, of at
+       most HEAVY of them, which goes to all tasks, so no shard is probed by more than its share of rows, 16 bytes each. 3. The batches'
        hashes are looked up in the arrays; the documents that lose a line meet the list of their hashes, by a key of
        the whole row, and drop the lines; all others pass straight through.
 
@@ -203,11 +203,11 @@ def line_dedup(docs: DataFrame, with_text: bool = True, probes_per_shard: int =
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     text = text.withColumn("row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
     lines = materialize(text.mapInArrow(_batch_lines, "h long, g long, n long, first long, last long, rows binary, docs binary"), "lines")
-    total = lines.count()
+    total = lines.agg(F.sum("n")).first()[0] or 0  # a line of a batch has two numbers for each of its rows
     shards = max(1, -(-total // probes_per_shard))
     shard = F.pmod("h", F.lit(shards))
-    repeated = lines.groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("batches"))
-    heavy = F.col("batches") >= max(probes_per_shard // 4, -(-total // HEAVY))
+    repeated = lines.groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    heavy = F.col("n") >= max(probes_per_shard // 4, -(-total // HEAVY))
     repeated = repeated.where(F.expr("first < last") | heavy).select(F.when(heavy, -1).otherwise(shard).alias("shard"), "h", "g", "n", "first")
     schema = "shard long, sizes array<long>, bits binary, fingerprints binary, counts binary, firsts binary"
     index = materialize(repeated.groupBy("shard").applyInArrow(_build_shard, schema), "line-index")
