@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import cluster_context, valid_date, valid_uuid
+from ..functions.exprs import article_text, cluster_context, valid_date, valid_uuid
 from ..operators import edition, ingest, quality, reads, stories, story_state, tables, triage, usage
 from ..operators.vectors import banded_pairs
 from ..sources import commits, events, feeds, layout, logs
@@ -905,14 +905,14 @@ def judge_hook(m):
     return stories.map_batches(b, judge, "batch_id string, n long, first_pos long")
 
 
-@query("SELECT pos AS id, round(length(title) / sqrt(length(title) * length(title) + 1), 4) AS x FROM articles")
+@query("SELECT pos AS id, round(CAST(CAST(1000.0 / sqrt(1000000.0 + n * n) AS FLOAT) AS DOUBLE), 6) AS x FROM (SELECT pos, length(concat(title, '. ', snippet)) AS n FROM articles)")
 def embedder_hook(m):
     def embed(texts):
         assert len(texts) <= stories.EMBED_BATCH
-        return [(len(t) / (len(t) ** 2 + 1) ** 0.5, 1 / (len(t) ** 2 + 1) ** 0.5) for t in texts]
+        return [(1000 / (1e6 + len(t) ** 2) ** 0.5, len(t) / (1e6 + len(t) ** 2) ** 0.5) for t in texts]
 
-    out = stories.embed_with(m["articles"].select(F.col("pos").alias("id"), F.col("title").alias("text")), embed)
-    return out.select("id", F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("x"))
+    out = stories.embed_with(m["articles"].select(F.col("pos").alias("id"), article_text(F.col("title"), F.col("snippet")).alias("text")), embed)
+    return out.select("id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("x"))
 
 
 @query("WITH " + BEST + " SELECT cluster_pos, card_id, cluster_pos % 10 <> 4 AND cluster_pos % 3 <> 1 AND (cluster_pos + card_id) % 3 = 0 AS same FROM best WHERE sim >= 0.2")
