@@ -995,16 +995,22 @@ def _edition(m):
     place = ((F.col("user_id") * 1000000 + run_no) * 128 + F.col("feed_ord")) * 100000 + F.col("nth")
 
     pos = F.col("pos")
-    known = stories.written(m["reader_articles"].select("digest_id", "pos", "topic", "title", "snippet", "published_s", "carded"))
+    known = stories.written(m["reader_articles"].select("digest_id", "pos", "topic", "title", "snippet", "published_s", "carded", "doc_id"))
     cards = known.where("carded").select("digest_id", (-pos - 1).alias("id"), "topic", (1 + pos % 5).cast("int").alias("severity"), "published_s", (pos % 6 + 1).alias("front_page_rank"), (F.col("published_s") + 60).alias("created_s"), "title", "snippet")
     digests = known.select(F.col("digest_id").alias("id"), F.lit(None).cast("bigint").alias("last_generated_s")).distinct()
+    came = known.where("not carded").select("pos", "doc_id")
+    given = m["verdicts"].select(F.col("cluster_pos").alias("doc_id"), "notable", "severity")
+    verdicts = came.join(given.hint("merge"), "doc_id").select(F.col("pos").alias("cluster_pos"), "notable", "severity")
+    attempts = stories.written(m["generations"].withColumnRenamed("card_key", "of"))
+    each = m.table("conversations").select("conv_id").distinct().count()
+    told = came.withColumn("of", F.col("doc_id") % each).join(attempts.hint("merge"), "of").select(F.col("pos").alias("card_key"), "attempt", "text", "stop_reason")
     judged = []
 
     def judge(candidates):
         judged.append(candidates.select("cluster_pos", "card_id", ((F.col("cluster_pos") - F.col("card_id")) % 3 == 0).alias("same")))
         return judged[0]
 
-    out, advanced, failures = jobs.edition_from_feeds(m.spark, path, planned, place, m["reader_cursors"], cards, digests, judge, m["reader_verdicts"], m["reader_generations"], NOW_S, ATTACH_AT, ASK_AT)
+    out, advanced, failures = jobs.edition_from_feeds(m.spark, path, planned, place, m["reader_cursors"], cards, digests, judge, verdicts, told, NOW_S, ATTACH_AT, ASK_AT)
     n = F.size("sources")
     out = out.select(F.lit("card").alias("part"), "digest_id", "id", "topic", "severity", "created_s", "front_page_rank", "batch", "slot", F.when(n > 0, n).alias("n_sources"), "writer")
     ends = advanced.select(F.lit("digest").alias("part"), F.col("id").alias("digest_id"), F.col("last_generated_s").alias("created_s"))
