@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -29,39 +30,83 @@ def stream_persist(changes: DataFrame, log: CommitLog, run_id: str, checkpoint:
     return changes.writeStream.foreachBatch(saver(log, run_id)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Groups whose state holds many keys each: a micro-batch costs a call of Python for a group and not for a key. A stream
+#: keeps the number that it began with; more of them make smaller states, for streams of very many open keys.
+GROUPS = 512
+KEPT = "rows binary"
+
+
+def _group(key: str, groups: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(groups)).alias("part")
+
+
+def _kept(state: GroupState, kinds: dict[str, str]) -> pd.DataFrame:
+    """The rows that a group's state holds."""
+    if not state.exists:
+        return pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in kinds.items()})
+    return pa.ipc.open_stream(state.get[0]).read_all().to_pandas().astype(kinds)
+
+
+def _keep(state: GroupState, rows: pd.DataFrame) -> None:
+    table, out = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as to:
+        to.write_table(table)
+    state.update((out.getvalue().to_pybytes(),))
+
+
+def _in_bulk(frames: Iterator[pd.DataFrame], least: Callable[[], int]) -> Iterator[pd.DataFrame]:
+    """The frames, several as one while they have fewer rows than the state, so that it is merged few times."""
+    some: list[pd.DataFrame] = []
+    for pdf in frames:
+        some.append(pdf)
+        if sum(map(len, some)) >= least():
+            yield pd.concat(some, ignore_index=True)
+            some = []
+    if some:
+        yield pd.concat(some, ignore_index=True)
+
+
 RUN_STATE = "run_id string, stage string, seq long, status string"
+_RUN = {"run_id": "object", "stage": "object", "seq": "Int64", "ended": "object", "end_seq": "Int64", "latest": "int64", "due": "int64", "came": "bool"}
 
 
-def run_states(events: DataFrame, terminal: dict[str, str], lost_after_s: int) -> DataFrame:
+def run_states(events: DataFrame, terminal: dict[str, str], lost_after_s: int, groups: int = GROUPS) -> DataFrame:
     """events(run_id, seq, stage, at), with a watermark on at -> (run_id, stage, seq, status), a row whenever a run changes.
 
     stage is the one of the highest seq. The first terminal stage, by seq, gives the run its status, such as done or error;
     until then it is running. A run without one is lost when the watermark is more than lost_after_s beyond its last
     event, by a timer of event time, so also if no event of it comes again; one that does, and is not late, sets it running.
+    The runs of a group share its timer, which is set to the first of theirs.
     """
 
+    def folded(rows: pd.DataFrame) -> pd.DataFrame:
+        """One row a run; of equal seqs the first stands."""
+        last = rows.sort_values("seq", ascending=False, kind="stable").drop_duplicates("run_id")[["run_id", "stage", "seq"]]
+        ends = rows[rows["ended"].notna()].sort_values("end_seq", kind="stable").drop_duplicates("run_id")[["run_id", "ended", "end_seq"]]
+        most = rows.groupby("run_id", sort=False, dropna=False, as_index=False)[["latest", "due", "came"]].max()
+        return last.merge(ends, "left", "run_id").merge(most, "inner", "run_id").astype(_RUN)
+
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        row = lambda stage, seq, status: pd.DataFrame({"run_id": [key[0]], "stage": [stage], "seq": [seq], "status": [status]})
-        if state.hasTimedOut:
-            stage, seq, _, ended, _ = state.get
+        now, runs = state.getCurrentWatermarkMs(), _kept(state, _RUN)
+        for pdf in [] if state.hasTimedOut else _in_bulk(frames, lambda: len(runs)):
+            new = pdf[["run_id", "stage", "seq"]].assign(ended=pdf["stage"].map(terminal), latest=pdf["ms"], due=0, came=True)
+            new["end_seq"] = new["seq"].where(new["ended"].notna())
+            runs = folded(pd.concat([runs, new[list(_RUN)].astype(_RUN)], ignore_index=True))
+        came = runs["came"]
+        runs["due"] = runs["due"].where(~came, (runs["latest"] + lost_after_s * 1000).clip(lower=now + 1))
+        over = ~came & (runs["due"] < now)
+        status = runs["ended"].where(runs["ended"].notna(), "running").mask(over, "lost")
+        said = came | (over & runs["ended"].isna())
+        left = runs[~over].assign(came=False)
+        if len(left):
+            _keep(state, left)
+            state.setTimeoutTimestamp(int(left["due"].min()))
+        elif state.exists:
             state.remove()
-            if ended is None:
-                yield row(stage, seq, "lost")
-            return
-        stage, seq, latest, ended, end_seq = state.get if state.exists else (None, None, 0, None, None)
-        for pdf in frames:
-            for s, what, at in zip(pdf["seq"], pdf["stage"], pdf["at"], strict=True):
-                latest = max(latest, int(at.timestamp() * 1000))
-                if seq is None or s > seq:
-                    stage, seq = what, int(s)
-                if what in terminal and (end_seq is None or s < end_seq):
-                    ended, end_seq = terminal[what], int(s)
-        state.update((stage, seq, latest, ended, end_seq))
-        state.setTimeoutTimestamp(max(latest + lost_after_s * 1000, state.getCurrentWatermarkMs() + 1))
-        yield row(stage, seq, ended or "running")
-
-    kept = "stage string, seq long, latest long, ended string, end_seq long"
-    return events.groupBy("run_id").applyInPandasWithState(fold, RUN_STATE, kept, "update", GroupStateTimeout.EventTimeTimeout)
+        yield runs.assign(status=status)[said][["run_id", "stage", "seq", "status"]]
+
+    x = events.select("run_id", "seq", "stage", "at", F.coalesce(F.unix_millis("at"), F.lit(0)).alias("ms"), _group("run_id", groups))
+    return x.groupBy("part").applyInPandasWithState(fold, RUN_STATE, KEPT, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_progress(events: DataFrame) -> DataFrame:
@@ -99,22 +144,28 @@ def late_events(events: DataFrame) -> DataFrame:
 
 
 CARD_STATE = "id long, front_page_rank long, updates long"
+_CARD = {"id": "Int64", "front_page_rank": "Int64", "updates": "int64"}
 
 
-def card_state(changes: DataFrame) -> DataFrame:
+def card_state(changes: DataFrame, groups: int = GROUPS) -> DataFrame:
     """changes(id, kind, rank): a card's rank after its insert and all rank updates, where null demotes.
 
     An update for a card that was never inserted is ignored, as in the batch form.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known, rank, updates = state.get if state.exists else (False, None, 0)
-        for pdf in frames:
-            for kind, new in zip(pdf["kind"], pdf["rank"], strict=True):
-                if kind == "insert" or known:
-                    known, rank, updates = True, None if pd.isna(new) else int(new), updates + (kind != "insert")
-        state.update((known, rank, updates))
-        if known:
-            yield pd.DataFrame({"id": [key[0]], "front_page_rank": pd.array([rank], "Int64"), "updates": [updates]})
-
-    return changes.groupBy("id").applyInPandasWithState(fold, CARD_STATE, "known boolean, rank long, updates long", "update", GroupStateTimeout.NoTimeout)
+        cards, came = _kept(state, _CARD), []
+        for pdf in _in_bulk(frames, lambda: len(cards)):
+            inserted, at = pdf["kind"] == "insert", pdf.index.to_series()
+            since = at.where(inserted).groupby(pdf["id"], dropna=False).transform("min")
+            some = pdf[pdf["id"].isin(cards["id"]) | (at >= since)]  # of a new card, from its insert on
+            some = some[["id"]].assign(front_page_rank=some["rank"], updates=~inserted[some.index]).astype(_CARD)
+            rows = pd.concat([cards, some], ignore_index=True)
+            cards = rows.drop_duplicates("id", keep="last").drop(columns="updates")
+            cards = cards.merge(rows.groupby("id", as_index=False, dropna=False)["updates"].sum(), "inner", "id").astype(_CARD)
+            came.append(some["id"])
+        if len(cards):
+            _keep(state, cards)
+        yield cards[cards["id"].isin(pd.concat(came))] if came else cards[:0]
+
+    return changes.select("id", "kind", "rank", _group("id", groups)).groupBy("part").applyInPandasWithState(fold, CARD_STATE, KEPT, "update", GroupStateTimeout.NoTimeout)

@@ -181,3 +181,26 @@ def test_rival_writers_take_turns(spark, tmp_path):
     assert sorted(c["version"] for c in log.commits()) == list(range(9))
     assert collections.Counter(r["who"] for r in log.read("t", "id long, who string").collect()) == {"x": 6, "y": 6, "z": 6}
     assert log.replace(stale, {"t": spark.range(1)}) is None  # others came in between
+
+
+# ---- many keys
+def test_runs_of_a_group_share_its_state(spark, tmp_path):
+    """200 runs in 4 groups: each run keeps its own timer, and ties of seq, late rows and terminal stages hold."""
+    of = lambda s: streams.run_states(s.withWatermark("at", "1 hour"), {"done": "done"}, 2 * 3600, groups=4)
+    turns = Turns(spark, tmp_path, "run_id string, seq long, stage string, at timestamp", of, "update")
+    got, progress = turns.turn([(f"r{i}", s, "done" if s == 2 and i % 4 == 0 else "ingest", at(i / 100)) for i in range(200) for s in (1, 2)])
+    assert collections.Counter(r["status"] for r in got) == {"running": 150, "done": 50}
+    assert progress[0]["stateOperators"][0]["numRowsTotal"] <= 4
+    got, _ = turns.turn([("new", 1, "ingest", at(4.005)), ("r199", 3, "write", at(4))])  # the watermark goes to 3.005
+    lost = {r["run_id"] for r in got if r["status"] == "lost"}
+    assert lost == {f"r{i}" for i in range(101) if i % 4}
+    assert {(r["run_id"], r["stage"], r["seq"]) for r in got if r["status"] == "running"} == {("new", "ingest", 1), ("r199", "write", 3)}
+
+
+def test_cards_of_a_group_share_its_state(spark, tmp_path):
+    turns = Turns(spark, tmp_path, "id long, kind string, rank long", lambda s: streams.card_state(s, groups=4), "update")
+    got, progress = turns.turn([(i, "insert" if i % 2 else "update", i if i % 3 else None) for i in range(200)])
+    assert {tuple(r) for r in got} == {(i, i if i % 3 else None, 0) for i in range(1, 200, 2)}
+    assert progress[0]["stateOperators"][0]["numRowsTotal"] <= 4
+    got, _ = turns.turn([(1, "update", 7), (1, "update", None), (2, "update", 5), (4, "update", 1), (4, "insert", 2), (4, "update", 3)])
+    assert {tuple(r) for r in got} == {(1, None, 2), (4, 3, 1)}
