@@ -119,3 +119,21 @@ def test_flatten_cuts_by_code_point(spark):
 
 def test_cosine(spark):
     assert one(spark, X.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.9), F.lit(0.1)))) == pytest.approx(0.9)
+
+
+def test_attempts_in_sql_trim_as_the_expression_does(spark):
+    """Line ends, wide spaces and closing quotes: the SQL of the attempts gives what the expression gives."""
+    import duckdb
+
+    from presswork.plans.expr_queries import ATTEMPTS
+
+    texts = ["Fine.\n", "\tFine!\u2003", "'Fine?'\u00a0", "Fine.\u0085", "cut\n", "\n \u3000", "", None]
+    rows = [(100 * i + 10 * j + k, a, stop, b) for i, a in enumerate(texts) for j, stop in enumerate(["end_turn", "max_tokens", None]) for k, b in enumerate(texts)]
+    df = spark.createDataFrame(rows, "card_key long, t1 string, stop string, t2 string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("card_key", X.generation_disposition(F.col("t1"), F.col("stop"), F.col("t2")), X.trim_ws(F.col("t1"))).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE generations (card_key BIGINT, attempt INT, text VARCHAR, stop_reason VARCHAR)")
+    con.executemany("INSERT INTO generations VALUES (?, ?, ?, ?)", [(k, 1, a, s) for k, a, s, _ in rows] + [(k, 2, b, s) for k, _, s, b in rows])
+    found = con.execute(f"WITH {ATTEMPTS} SELECT card_key, disposition, t1 FROM attempts").fetchall()
+    assert {k: (d, t) for k, d, t in found} == {k: (d, t or "") for k, (d, t) in got.items()}
+    assert {d for d, _ in got.values()} == {"failed_empty", "first", "failed_truncated", "to_retry", "retry", "failed_retry"}
