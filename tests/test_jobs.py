@@ -2,6 +2,9 @@
 
 import collections
 
+import pytest
+from pyspark.sql import functions as F
+
 from presswork.plans.bridge import Model
 from presswork.plans.queries import _edition
 
@@ -21,3 +24,22 @@ def test_every_stage_of_the_edition_acts(spark):
     assert any(r["front_page_rank"] is None for r in old) and any(r["front_page_rank"] for r in new)
     assert {r["digest_id"] for r in new} <= {r["digest_id"] for r in rows if r["part"] == "digest" and r["created_s"]}
     assert failures.count() > 0 and failures.where("failed > 0").count() == 0  # every item that landed was read
+
+
+def test_cards_tell_what_feeds_would_give(spark, monkeypatch):
+    """Cards and articles are embedded together, so the texts of both are trimmed and freed of tags."""
+    from presswork.functions import exprs as X
+    from presswork.operators import stories
+
+    class Seen(Exception):
+        pass
+
+    def spy(texts):
+        raise Seen(texts)
+
+    monkeypatch.setattr(stories, "embed_articles", spy)
+    with pytest.raises(Seen) as seen:
+        _edition(Model(spark, "/root/testdata/sf0.001"))
+    texts = seen.value.args[0]
+    assert texts.where("pos < 0").count() > 0
+    assert texts.where((F.col("title") != X.trim_ws(F.col("title"))) | (F.col("snippet") != X.strip_html(F.col("snippet")))).count() == 0
