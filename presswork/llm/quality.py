@@ -15,8 +15,8 @@ from .common import WHITE, materialize, text_or_empty
 SYMBOLS = "#*$%&|<>"
 #: Buckets of the hashed unigrams and bigrams.
 BUCKETS = 1 << 16
-#: The trusted model is fitted on at most so many labelled documents, those of the lowest hashes of doc_id.
-TRUSTED_ROWS = 50_000
+#: At most so many ids of trusted documents, some 64 MB, are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 21
 #: A document is rejected if its score is below that of this share of the trusted documents ...
 TRUSTED_SHARE = 0.001
 #: ... less this margin, in nats for each n-gram.
@@ -78,13 +78,18 @@ def base_rules(text: str, h: np.ndarray) -> tuple[int, int, int, int, int, bool]
     return n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, failed
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most rows doc_ids of good, non-toxic labels: the trusted target."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The doc_ids of all good, non-toxic labels: the trusted target."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return materialize(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "trusted")
+    return materialize(good, "trusted")
 
 
-def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+def _to_join(ids: DataFrame, most: int) -> DataFrame:
+    """ids, a written table, with the hint to broadcast them if they are few, else to shuffle."""
+    return F.broadcast(ids) if ids.count() <= most else ids.hint("merge")
+
+
+def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, most_broadcast: int = BROADCAST_IDS) -> tuple[np.ndarray, np.ndarray]:
     """Counts of every bucket over all documents, and over the trusted ones. At most buckets rows reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +108,7 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
             u = used[i : i + 8192]
             yield pa.RecordBatch.from_pydict({"bucket": u, "raw": raw[u], "target": target[u]})
 
-    known = F.broadcast(trusted.select("doc_id", F.lit(True).alias("good")))
+    known = _to_join(trusted.select("doc_id", F.lit(True).alias("good")), most_broadcast)
     read = docs.select("doc_id", text_or_empty().alias("text")).join(known, "doc_id", "left")
     read = read.select("text", F.coalesce("good", F.lit(False)).alias("good"))
     out = read.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
@@ -149,11 +154,20 @@ class QualityModel:
         return *base, s, not base[-1] and s >= self.threshold
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> QualityModel:
-    """Fit on all documents and the trusted sample; the threshold is a low quantile of the trusted documents' scores, each
+def low_quantile(scores: DataFrame, share: float) -> float | None:
+    """The exact percentile of the column score, between neighbours as percentile has it; only the rows up to it leave
+    the tasks."""
+    n = scores.count()
+    at = share * (n - 1)
+    low = [r[0] for r in scores.orderBy("score").limit(int(at) + 2).collect()] if n else []
+    return low[int(at)] + (at - int(at)) * (low[min(int(at) + 1, n - 1)] - low[int(at)]) if n else None
+
+
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_broadcast: int = BROADCAST_IDS) -> QualityModel:
+    """Fit on all documents and all trusted ones; the threshold is a low quantile of the trusted documents' scores, each
     scored without itself. Without any trusted document every score passes."""
     trusted = trusted_ids(labels)
-    raw, target = ngram_counts(docs, trusted, buckets)
+    raw, target = ngram_counts(docs, trusted, buckets, most_broadcast)
     if not target.sum():
         return QualityModel(np.zeros(buckets), -np.inf)
 
@@ -162,8 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> QualityMo
             h = [word_hashes(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"score": [left_out(x, raw, target) for x in h if len(x) >= LEAST_WORDS]}, schema=pa.schema([("score", pa.float64())]))
 
-    own = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(trusted), "doc_id", "left_semi").select("text")
-    low = own.mapInArrow(scores, "score double").agg(F.percentile("score", F.lit(TRUSTED_SHARE)).alias("p")).first()["p"]
+    own = docs.select("doc_id", text_or_empty().alias("text")).join(_to_join(trusted, most_broadcast), "doc_id", "left_semi").select("text")
+    low = low_quantile(materialize(own.mapInArrow(scores, "score double"), "scores"), TRUSTED_SHARE)
     return QualityModel(log_ratio(raw, target), -np.inf if low is None else low - MARGIN)
 
 

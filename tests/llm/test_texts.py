@@ -582,3 +582,17 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_all_trusted_documents_make_the_model(spark):
+    """More labels than the sample once held, broadcast or not; the threshold is the exact percentile."""
+    labels = spark.range(60_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert quality.trusted_ids(labels).count() == 60_000
+    docs = spark.range(300).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 60), k -> concat('w', cast((id * k) % 97 as string)))) as text")
+    some = labels.where("doc_id < 200")
+    small, large = quality.fit(docs, some), quality.fit(docs, some, most_broadcast=10)
+    assert small.threshold == large.threshold and (small.ratio == large.ratio).all()
+    rows = spark.range(1237).selectExpr("cast((id * 7919) % 1237 as double) / 3 as score")
+    for share in (0.0, 0.001, 0.25, 1.0):
+        assert quality.low_quantile(rows, share) == pytest.approx(rows.selectExpr(f"percentile(score, {share})").first()[0])
+    assert quality.low_quantile(rows.where("score < 0"), 0.5) is None
