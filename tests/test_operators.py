@@ -299,3 +299,26 @@ def test_scratch_tables_go(spark):
         assert len(os.listdir(folder)) == 1
     assert not os.path.exists(folder)
     assert written(spark.range(2)).count() == 2
+
+
+def test_embedding_shuffles_no_words(spark):
+    """Counts are made in the row of a text, so that nothing is grouped by text and word; nulls and blanks have the null vector."""
+    rows = [(1, "t", "One", "two two"), (2, "t", "one", "Zwei\tdrei\n"), (3, "u", " ", "."), (4, "u", None, "x"), (5, "u", "", "one two")]
+    out = stories.embed_articles(spark.createDataFrame(rows, "pos long, topic string, title string, snippet string"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["pos"]: [float(v) for v in r["embedding"]] for r in out.collect()}
+    assert got[4] == [0.0] * 64 and all(len(v) == 64 for v in got.values())
+    assert all(abs(sum(x * x for x in got[k]) - 1) < 1e-6 for k in (1, 2, 3, 5))
+
+
+def test_preferences_are_dealt_before_they_are_made(spark, sf_dir, monkeypatch):
+    """A file of customers is small for the preferences that come of it, which grow the tasks and not a task."""
+    from presswork.plans import bridge
+
+    def parts(name):
+        return bridge.Model(spark, sf_dir)[name].rdd.getNumPartitions()
+
+    whole = {n: sorted(map(tuple, bridge.Model(spark, sf_dir)[n].collect())) for n in bridge.PREFERENCES}
+    monkeypatch.setattr(bridge, "ROWS_A_TASK", 100)
+    assert all(parts(n) == -(-spark.read.parquet(f"{sf_dir}/customer.parquet").count() * 12 // 100) for n in bridge.PREFERENCES)
+    assert whole == {n: sorted(map(tuple, bridge.Model(spark, sf_dir)[n].collect())) for n in bridge.PREFERENCES}
