@@ -2,8 +2,10 @@
 
 import collections
 import statistics
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,98 @@ def test_recall_of_bands(spark, bucket):
     assert found <= exact and len(found) >= 0.9 * len(exact) > 300
 
 
+@pytest.mark.parametrize("tile", [8, 1024])
+@pytest.mark.parametrize("bits, bands", [(1, 15), (3, 40), (6, 110)])
+def test_pairs_by_bands_are_exact_pairs_once(spark, bits, bands, tile):
+    """So many bands that a pair of 0.7 is missed less than once in a thousand million times."""
+    ids, blocks, vectors = pair_rows(4)
+    got = V.pairs_by_bands(frame(spark, ids, blocks, vectors), 0.7, "topic", V.Bands(bits, bands, 1), tile).collect()
+    assert len(got) == len({(r["a"], r["b"]) for r in got})
+    assert {(r["a"], r["b"]): round(r["sim"], 9) for r in got} == brute_pairs(ids, blocks, vectors, 0.7)
+
+
+@pytest.mark.parametrize("bits, bands", [(3, 11), (7, 89)])
+def test_recall_of_pairs_by_bands(spark, bits, bands):
+    """So many bands that a pair of 0.35 is found with a probability of 0.95."""
+    v = Model(spark, SF)["vectors"]
+    exact = {(r["a"], r["b"]) for r in V.exact_pairs(v, 0.35, "topic").collect()}
+    found = {(r["a"], r["b"]) for r in V.pairs_by_bands(v, 0.35, "topic", V.Bands(bits, bands, 1)).collect()}
+    assert found < exact and len(found) >= 0.9 * len(exact) > 300
+
+
+@pytest.mark.parametrize("rows", [2, 200, 5_000, 60_000, 1_000_000])
+def test_bands_are_fewer_than_the_comparisons_that_they_spare(rows):
+    for recall, bucket in ((1 - 1e-9, 8), (0.95, 8), (0.95, 512)):
+        for least in (0.35, 0.65, 0.9):
+            bits, bands = V.bands_for(least, recall, rows, bucket)
+            assert bands <= 1 + rows / 2048 and 0 <= bits <= 24
+    assert V.bands_for(0.65, 0.95, 600_000)[0] > 0
+
+
+def test_banded_query_sends_rows_a_few_times(spark, monkeypatch):
+    """Over 2,000 vectors, and over four times as many in the same blocks."""
+    sent, dealt = [], V._dealt
+    monkeypatch.setattr(V, "_dealt", lambda rows, tiles: sent.append(rows.count()) or dealt(rows, tiles))
+    v = Model(spark, SF)["vectors"]
+    for k in (1, 4):
+        more = v.crossJoin(spark.range(k).withColumnRenamed("id", "k")).select((F.col("id") * 4 + F.col("k")).alias("id"), "topic", "embedding")
+        V.banded_pairs(more, 0.35, "topic", recall=1 - 1e-9, bucket=8)
+        assert sent.pop() <= 3 * 2000 * k
+
+
+@pytest.mark.parametrize("side", [1, 60])
+def test_sides_of_tiles_fit_the_tasks(spark, monkeypatch, side):
+    """Without a tile, sides grow with the pairs within bounds of bytes, here of 16 doubles each."""
+    monkeypatch.setattr(V, "SIDE_BYTES", (side * 128, 1 << 24))
+    ids, blocks, vectors = pair_rows()
+    groups = spark.createDataFrame([(180, 16), (80, 16)], "n_parts long, dims int")
+    assert V._side(groups, 4) == max(side, 49)  # 19,270 pairs in eight tiles
+    assert V._side(groups.where("false"), 4) == side * 16
+    got = V.exact_pairs(frame(spark, ids, blocks, vectors), 0.5, "topic").collect()
+    assert {(r["a"], r["b"]): round(r["sim"], 9) for r in got} == brute_pairs(ids, blocks, vectors, 0.5)
+    assert len(got) == len({(r["a"], r["b"]) for r in got})
+
+
+@pytest.mark.parametrize("cells", [1, 50, 1 << 20])
+def test_similar_rows_by_strips(monkeypatch, cells):
+    monkeypatch.setattr(V, "CELLS", cells)
+    left, right = unit(np.random.default_rng(5), 40), unit(np.random.default_rng(6), 30)
+    for same, other in ((False, right), (True, left)):
+        got = [(int(x), int(y)) for a, b in V._similar(left, other, 0.1, same) for x, y in zip(a, b, strict=True)]
+        want = [(x, y) for x in range(40) for y in range(len(other)) if left[x] @ other[y] >= 0.1 and (not same or x < y)]
+        assert sorted(got) == want and want
+
+
+def peak_of(run):
+    tracemalloc.start()
+    out = run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak / 1e6
+
+
+def test_workers_hold_few_codes():
+    """A batch of 10,000 rows and 1,000 bands of 11 bits, of which a block of 10,000 rows took 4,437."""
+    rows = pa.array(unit(np.random.default_rng(1), 10_000).astype(np.float32).tolist(), pa.list_(pa.float32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(["t"] * 10_000), rows], ["id", "block", "embedding"])
+    n, peak = peak_of(lambda: sum(b.num_rows for b in V._coded(V.Bands(11, 1000, 1))(iter([batch]))))
+    assert n == 10_000 and peak < 150
+
+
+@pytest.mark.parametrize("bands", [None, V.Bands(3, 40, 1)])
+def test_workers_hold_few_rows_of_copies(bands):
+    """A tile of 1,500 near copies, so 1.1 million pairs, of which a worker gathers the rows of some at a time."""
+    n = 1500
+    rng = np.random.default_rng(2)
+    rows = rng.standard_normal(64) + 0.05 * rng.standard_normal((n, 64))
+    rows = pa.array((rows / np.linalg.norm(rows, axis=1, keepdims=True)).tolist(), pa.list_(pa.float64()))
+    names = ["tile", "i", "j", "part", "band", "id", "embedding"]
+    zero = pa.array([0] * n, pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * n), zero, zero, zero, zero, pa.array(range(n)), rows], names)
+    found, peak = peak_of(lambda: sum(b.num_rows for b in V._pairs_of_tiles(0.35, bands)(iter([batch]))))
+    assert found == n * (n - 1) // 2 and peak < 250
+
+
 def test_tiles_are_even(spark):
     """One block holds nearly all rows: no tile, and no task, has more than twice the pairs of the median one."""
     rows = spark.range(8000).select("id", F.when(F.col("id") % 50 == 0, F.col("id").cast("string")).otherwise("hot").alias("block"), F.array(F.rand(1)).alias("embedding"))
